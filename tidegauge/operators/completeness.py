@@ -7,6 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.operators.small import small_table
+
+#: Study-sized tables: channels, and (rule, channel) thresholds.
+MAX_CHANNELS = 1_000
+MAX_THRESHOLDS = 20_000
+
 TOLERANCE = 1e-9
 
 
@@ -24,15 +30,7 @@ def node_fractions(
     node), are joined to it.
     """
     beats = channels.select(channel, (F.lit(float(window_s)) / F.col("cadence_s")).alias("expected"))
-    listed = beats.agg(F.collect_list(F.struct(channel, "expected")).alias("__beats"))
-    # one row holding one entry per channel of the study (tens), so it is broadcast
-    spread = (
-        windows.select(job, node)
-        .withColumn("__one", F.lit(1))
-        .join(F.broadcast(listed.withColumn("__one", F.lit(1))), "__one")
-        .select(job, node, F.explode("__beats").alias("__b"))
-        .select(job, node, f"__b.{channel}", "__b.expected")
-    )
+    spread = windows.select(job, node).crossJoin(small_table(beats, MAX_CHANNELS, "channels"))
     joined = spread.join(counts, [channel, job, node], "left")
     n = F.coalesce("n", F.lit(0)).cast("bigint")
     return joined.select(
@@ -77,7 +75,7 @@ def rule_membership(job_frac: DataFrame, thresholds: DataFrame, *, job: str, cha
     """
     ok = F.coalesce(F.col("frac") >= F.col("threshold") - TOLERANCE, F.lit(False))
     return (
-        job_frac.join(F.broadcast(thresholds), channel)
+        job_frac.join(small_table(thresholds, MAX_THRESHOLDS, "thresholds"), channel)
         .groupBy(job, "rule")
         .agg(F.bool_and(ok).alias("complete"))
     )

@@ -122,26 +122,28 @@ def asof_match(
     (forward, nearest) or the largest (last reading).
 
     Only readings inside the tolerance join (bucketed equi-join); the choice is
-    an aggregate per grid point, so nothing is sorted as a whole.
+    an aggregate per grid point, so nothing is sorted as a whole.  The last
+    reading's time of every node is a plain ``max`` with map-side combine.
     """
     if direction not in ("forward", "nearest"):
         raise ValueError(f"unknown direction: {direction}")
     slim = readings.select(F.col(node), F.col(ts).alias("__ts"), F.col(value).alias("__v"))
     keys = list(dict.fromkeys([*grid_key, node, at]))
-    back = 0 if direction == "forward" else tolerance_ms
-    spans = grid.select(*keys).withColumn("__t0", F.col(at) - back).withColumn("__t1", F.col(at) + tolerance_ms + 1)
-    near = interval_join(slim, spans, node=node, ts="__ts", t0="__t0", t1="__t1", bucket_ms=max(1, tolerance_ms + back + 1))
-    rank = F.struct(F.abs(F.col("__ts") - F.col(at)).alias("d"), F.col("__ts"), F.col("__v"))
-    found = near.groupBy(*keys).agg(F.min(rank).alias("__m")).select(*keys, F.col("__m.__ts").alias("match_ts"), F.col("__m.__v").alias("match_value"))
-    if direction == "forward":
-        ends = slim.groupBy(node).agg(F.max(F.struct("__ts", "__v")).alias("__e"))
-        past = (
-            grid.select(*keys)
-            .join(ends, node)
-            .filter((F.col(at) > F.col("__e.__ts")) & (F.col(at) - F.col("__e.__ts") <= tolerance_ms))
-            .select(*keys, F.col("__e.__ts").alias("match_ts"), F.col("__e.__v").alias("match_value"))
+    spans = grid.select(*keys).withColumn("__t0", F.col(at) - tolerance_ms).withColumn("__t1", F.col(at) + tolerance_ms + 1)
+    near = interval_join(slim, spans, node=node, ts="__ts", t0="__t0", t1="__t1", bucket_ms=2 * tolerance_ms + 1)
+    here = F.struct("__ts", "__v")
+    if direction == "nearest":
+        closest = F.struct(F.abs(F.col("__ts") - F.col(at)).alias("d"), "__ts", "__v")
+        found = near.groupBy(*keys).agg(F.min(closest).alias("__m"))
+    else:
+        sides = near.groupBy(*keys).agg(
+            F.min(F.when(F.col("__ts") >= F.col(at), here)).alias("__next"), F.max(F.when(F.col("__ts") < F.col(at), here)).alias("__last")
         )
-        found = found.unionByName(past)
+        ends = slim.groupBy(node).agg(F.max("__ts").alias("__end"))
+        found = sides.join(ends, node).select(
+            *keys, F.coalesce("__next", F.when(F.col("__end") < F.col(at), F.col("__last"))).alias("__m")
+        )
+    found = found.select(*keys, F.col("__m.__ts").alias("match_ts"), F.col("__m.__v").alias("match_value"))
     return grid.join(found, keys, "left")
 
 
