@@ -20,27 +20,26 @@ def reading_counts(window_readings: DataFrame, keys: Sequence[str]) -> DataFrame
     return window_readings.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
-def node_fractions(
-    windows: DataFrame, counts: DataFrame, channels: DataFrame, *, job: str, node: str, channel: str, window_s: float
-) -> DataFrame:
-    """Delivered share per (channel, job, node): ``min(n, expected) / expected``, 0 for a silent node.
+def node_fractions(counts: DataFrame, channels: DataFrame, *, channel: str, window_s: float) -> DataFrame:
+    """Delivered share of every reporting (channel, job, node): ``min(n, expected) / expected``.
 
-    ``channels`` (one row per channel: ``channel``, ``cadence_s``) spreads each
-    window over the channels; the counts, already one row per (channel, job,
-    node), are joined to it.
+    ``channels`` has one row per channel (``channel``, ``cadence_s``).  Silent
+    windows are not materialised: their share is 0, and the job mean divides by
+    all nodes of the job, so windows never have to be spread over channels.
     """
     beats = channels.select(channel, (F.lit(float(window_s)) / F.col("cadence_s")).alias("expected"))
-    spread = windows.select(job, node).crossJoin(small_table(beats, MAX_CHANNELS, "channels"))
-    joined = spread.join(counts, [channel, job, node], "left")
-    n = F.coalesce("n", F.lit(0)).cast("bigint")
-    return joined.select(
-        channel, job, node, n.alias("n"), "expected", (F.least(n.cast("double"), F.col("expected")) / F.col("expected")).alias("frac")
-    )
+    share = F.least(F.col("n").cast("double"), F.col("expected")) / F.col("expected")
+    return counts.join(small_table(beats, MAX_CHANNELS, "channels"), channel).withColumn("frac", share)
+
+
+def nodes_per_job(windows: DataFrame, *, job: str) -> DataFrame:
+    return windows.groupBy(job).agg(F.count("*").alias("nodes"))
 
 
-def job_fractions(fractions: DataFrame, *, job: str, channel: str) -> DataFrame:
-    """Mean over the nodes of a job."""
-    return fractions.groupBy(channel, job).agg(F.avg("frac").alias("frac"))
+def job_fractions(fractions: DataFrame, job_nodes: DataFrame, *, job: str, channel: str) -> DataFrame:
+    """Mean over all nodes of a job, silent ones included; a (channel, job) without any reading has no row and means 0."""
+    sums = fractions.groupBy(channel, job).agg(F.sum("frac").alias("__s"))
+    return sums.join(job_nodes, job).select(channel, job, (F.col("__s") / F.col("nodes")).alias("frac"))
 
 
 def typical_delivery(fractions: DataFrame, *, channel: str, share_at: float = 0.8) -> DataFrame:
@@ -50,7 +49,7 @@ def typical_delivery(fractions: DataFrame, *, channel: str, share_at: float = 0.
     the values first leaves a table whose size does not grow with the data;
     the exact percentiles then use the counts as frequencies.
     """
-    values = fractions.filter(F.col("n") > 0).groupBy(channel, "expected", "frac").agg(F.count("*").alias("m"))
+    values = fractions.groupBy(channel, "expected", "frac").agg(F.count("*").alias("m"))
     q = lambda p: F.expr(f"percentile(frac, {p}D, m)")
     return values.groupBy(channel).agg(
         F.max("expected").alias("expected"),
@@ -69,32 +68,50 @@ def rule_thresholds(typical: DataFrame, fixed: dict[str, float], *, channel: str
 
 
 def rule_membership(job_frac: DataFrame, thresholds: DataFrame, *, job: str, channel: str) -> DataFrame:
-    """(job, rule, complete): true when every channel reaches the rule's threshold; a missing fraction fails.
+    """(job, rule) for every job that reaches the rule's threshold in all of the rule's channels.
 
-    ``thresholds`` has one row per (rule, channel), both fixed by the study.
+    An absent fraction is 0, so it fails every positive threshold: a job passes
+    when it reaches as many channels as the rule asks for.
     """
-    ok = F.coalesce(F.col("frac") >= F.col("threshold") - TOLERANCE, F.lit(False))
+    level = F.col("threshold") - TOLERANCE
+    asked = thresholds.filter(level > 0)
+    need = asked.groupBy("rule").agg(F.count("*").alias("__need"))
+    rules = small_table(asked.join(need, "rule"), MAX_THRESHOLDS, "thresholds")
     return (
-        job_frac.join(small_table(thresholds, MAX_THRESHOLDS, "thresholds"), channel)
+        job_frac.join(rules, channel)
         .groupBy(job, "rule")
-        .agg(F.bool_and(ok).alias("complete"))
+        .agg(F.count_if(F.col("frac") >= level).alias("__met"), F.max("__need").alias("__need"))
+        .filter(F.col("__met") == F.col("__need"))
+        .select(job, "rule")
     )
 
 
-def presence_flags(job_frac: DataFrame, sources: dict[str, Sequence[str]], *, job: str, channel: str) -> DataFrame:
-    """(job, has_<source>): 1 when every listed channel of the source delivered something."""
-    flags = [
-        F.coalesce(F.bool_and(F.when(F.col(channel).isin(list(chans)), F.coalesce(F.col("frac") > 0, F.lit(False)))), F.lit(False))
-        .cast("int")
-        .alias(f"has_{name}")
-        for name, chans in sources.items()
-    ]
-    return job_frac.groupBy(job).agg(*flags)
-
+def completeness_table(
+    jobs: DataFrame,
+    job_frac: DataFrame,
+    members: DataFrame,
+    *,
+    job: str,
+    channel: str,
+    channels: Sequence[str],
+    rules: dict[str, str],
+    sources: dict[str, Sequence[str]],
+) -> DataFrame:
+    """One row per job: ``frac_<channel>``, one 0/1 flag per rule (rule -> column) and ``has_<source>``.
 
-def wide_fractions(job_frac: DataFrame, channels: Sequence[str], *, job: str, channel: str) -> DataFrame:
-    """(job, frac_<channel> ...) from the long table, one aggregation for all channels."""
-    return job_frac.groupBy(job).agg(*[F.max(F.when(F.col(channel) == c, F.col("frac"))).alias(f"frac_{c}") for c in channels])
+    ``has_<source>`` is 1 when every listed channel of the source delivered
+    something.
+    """
+    fracs = job_frac.groupBy(job).agg(
+        *[F.max(F.when(F.col(channel) == c, F.col("frac"))).alias(f"frac_{c}") for c in channels],
+        *[
+            (F.count_if(F.col(channel).isin(list(chans)) & (F.col("frac") > 0)) == len(chans)).cast("int").alias(f"has_{name}")
+            for name, chans in sources.items()
+        ],
+    )
+    passed = members.groupBy(job).agg(*[F.max((F.col("rule") == r).cast("int")).alias(col) for r, col in rules.items()])
+    zero = {**{f"frac_{c}": 0.0 for c in channels}, **{f"has_{n}": 0 for n in sources}, **{c: 0 for c in rules.values()}}
+    return jobs.select(job).join(fracs, job, "left").join(passed, job, "left").fillna(zero)
 
 
 def typical_test(typical: DataFrame, level: float = 0.8) -> DataFrame:
