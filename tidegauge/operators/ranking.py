@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegauge.functions import columns as C
 from tidegauge.operators import ordering
 from tidegauge.operators.windows import pearson
 
@@ -85,7 +84,3 @@ def chance_top_in_two_of_three(k: int, n: int) -> Column:
     p = F.lit(float(k)) / F.lit(float(n))
     return 3 * p * p * (1 - p) + p * p * p
 
-
-def sign_agreement(df: DataFrame, *, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Share of items whose two values have the same sign."""
-    return df.groupBy(*keys).agg(F.avg(C.same_sign(F.col(x), F.col(y)).cast("double")).alias("same_sign_share"))

@@ -163,7 +163,7 @@ def rule_viability(members: DataFrame, *, rule: str, user: str, targets: dict[st
     return members.groupBy(rule).agg(*aggs).withColumn("min_block_pos", F.least(*blocks))
 
 
-def test_positives(members: DataFrame, *, population: str, queue: str, queues: Sequence[str], targets: dict[str, str]) -> DataFrame:
+def positives_per_test(members: DataFrame, *, population: str, queue: str, queues: Sequence[str], targets: dict[str, str]) -> DataFrame:
     """(population, split, target, positives) for every test set and, in the main test, for every listed queue."""
     tests = members.filter(F.col("role") == "test")
     main_queue = F.when((F.col("split") == "main") & F.col(queue).isin(list(queues)), F.concat(F.lit("main, queue "), F.col(queue).cast("string")))
