@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegauge.functions import columns as C
+from tidegauge.operators.small import literal_table
 
 
 def select_cohort(
@@ -137,7 +138,7 @@ def excess_by_state(df: DataFrame, state: str, flag: str, day: str, kind: str, o
 
 def in_fixed_order(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
     """One row per listed category, in list order (``position``); absent categories get NULLs."""
-    ref = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(order)], f"{column} string, position int")
+    ref = literal_table(df.sparkSession, [(v, i) for i, v in enumerate(order)], f"{column} string, position int")
     return ref.join(df, column, "left").orderBy("position")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import columns as C
 from tidegauge.operators import ordering
+from tidegauge.operators.small import literal_table
 
 #: Time span of one unit of work of a (channel, node).  A node that sends every
 #: 20 s holds 30,240 readings per week, whatever the length of the lake.
@@ -30,7 +31,8 @@ def interval_cells(pairs: DataFrame, *, channel: str, ts_ms: str, value: str, ma
     At most ``max_interval_s + 2`` rows per channel, combined on the map side;
     every figure of the inventory follows from this table.
     """
-    gap = F.least(C.floor_div(F.col(ts_ms) - F.col(f"prev_{ts_ms}"), 1000), F.lit(max_interval_s).cast("bigint"))
+    seconds = C.floor_div(F.col(ts_ms) - F.col(f"prev_{ts_ms}"), 1000)
+    gap = F.when(seconds.isNotNull(), F.least(seconds, F.lit(max_interval_s).cast("bigint")))
     change = F.col(value) - F.col(f"prev_{value}")
     return pairs.groupBy(channel, gap.alias("interval_s")).agg(
         F.count("*").alias("rows"),
@@ -129,7 +131,7 @@ def list_by(df: DataFrame, key: str, item: str, position: str, name: str, sep: s
 def metric_groups(inventory: DataFrame, groups: dict[str, Sequence[str]], *, channel: str, source: str) -> DataFrame:
     """One row per group: its source, its channels in order, and the distinct cadences joined by "/"."""
     rows = [(i, g, j, c) for i, (g, chans) in enumerate(groups.items()) for j, c in enumerate(chans)]
-    ref = inventory.sparkSession.createDataFrame(rows, f"position int, grp string, slot int, {channel} string")
+    ref = literal_table(inventory.sparkSession, rows, f"position int, grp string, slot int, {channel} string")
     joined = F.broadcast(ref).join(inventory.select(channel, source, "cadence_s"), channel)
     ordered = F.sort_array(F.collect_list(F.struct("slot", channel)))
     beats = F.transform(F.sort_array(F.collect_set("cadence_s")), lambda v: v.cast("string"))

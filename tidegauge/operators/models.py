@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import columns as C
 from tidegauge.operators import evaluate, ordering
+from tidegauge.operators.small import literal_table
 from tidegauge.session import ensure_checkpoint_dir
 
 #: Hyperparameters fixed in advance, no search.  Trees are bounded by depth
@@ -67,7 +68,7 @@ def grid(df: DataFrame, analyses: Iterable[Analysis], targets: Sequence[str], sp
     rows = [
         (a.name, t, s, m.name, fs) for a in analyses for t in targets for s in splits for m in a.models for fs in a.feature_sets()
     ]
-    return df.sparkSession.createDataFrame(rows, "analysis string, target string, split string, model string, feature_set string")
+    return literal_table(df.sparkSession, rows, "analysis string, target string, split string, model string, feature_set string")
 
 
 def with_missing_marks(df: DataFrame, columns: Sequence[str], floors: dict[str, float]) -> tuple[DataFrame, list[str]]:

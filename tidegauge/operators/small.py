@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,3 +20,12 @@ def small_table(df: DataFrame, max_rows: int, what: str) -> DataFrame:
     message = F.lit(f"{what}: more than {max_rows} rows, not a study-sized table")
     checked = F.when(F.size("__rows") <= max_rows, F.col("__rows")).otherwise(F.raise_error(message))
     return F.broadcast(packed.select(F.explode(checked).alias("__r")).select("__r.*"))
+
+
+def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A table of constants as a plan of literals: no Python rows are shipped and its tiny size is known to the planner."""
+    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
+    structs = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields)]) for row in rows]
+    if not structs:
+        return spark.createDataFrame([], schema)
+    return spark.range(1).select(F.explode(F.array(*structs)).alias("r")).select("r.*")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions import columns as C
 from tidegauge.operators import ordering
 from tidegauge.operators.small import small_table
+from tidegauge.session import materialize
 
 #: A population is an entry of a study's own list.
 MAX_POPULATIONS = 10_000
@@ -38,7 +39,8 @@ def split_limits(rows: DataFrame, *, population: str, end: str, positive: Column
     Columns ``main_cut``, ``b1``, ``b2``, ``cut1``, ``cut2``, ``cut3``; a NULL
     training limit means an empty training side.
     """
-    ran = end_counts(rows, population=population, end=end, positive=positive)
+    # read three times below: once per level of cuts
+    ran = materialize(end_counts(rows, population=population, end=end, positive=positive), "end-counts")
     share = F.lit(1.0 - test_frac)
 
     def first_end(cond: Column) -> Column:

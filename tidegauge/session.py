@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that change results (time zone) or let AQE repair skew and
 #: partition counts at run time.  Sizes stay with the cluster's own defaults.
@@ -66,3 +66,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a table written mid-query."""
     return f"{shared_folder(spark).rstrip('/')}/tidegauge/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back.
+
+    Cuts the lineage at a place any executor can read again, computes a result
+    that several later steps share only once, and gives the planner its true
+    size, so that joins with it are broadcast only while it is small.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
