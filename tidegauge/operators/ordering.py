@@ -19,18 +19,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PIVOTS = 32
 
 
-def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+def task_count(spark: SparkSession) -> int:
+    """Tasks for a step whose work is far larger than its input bytes, which is all AQE sees."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Hash-partition ahead of an expansion, by the session's parallelism.
+
+    AQE sizes partitions by the bytes it has seen, so a small table that is
+    about to grow a thousandfold would otherwise be expanded by one task.
+    """
+    return df.repartition(task_count(df.sparkSession), *[F.col(c) for c in by])
 
 
 def pivot_table(df: DataFrame, keys: Sequence[str], order: str, n: int = PIVOTS) -> DataFrame:
@@ -66,21 +73,25 @@ def running_totals(
     *,
     descending: bool = False,
     chunk: Column | None = None,
-    cuts: DataFrame | None = None,
-    cut_keys: Sequence[str] | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Running and total sums of ``measures`` in ``order`` within ``keys``.
 
     Input rows must be unique on ``keys + order`` (aggregate ties first), and
     keys must not be NULL.  Adds ``run_<m>`` (inclusive) and ``tot_<m>``.
+
+    Rows are placed by (keys, chunk) in one exchange that the running sums and
+    the chunk totals share.  ``tasks`` fixes its width where the work per byte
+    is high; otherwise AQE decides.
     """
     keys = list(keys)
     if chunk is not None:
         placed = df.withColumn("__chunk", chunk)
     else:
-        by = list(keys if cut_keys is None else cut_keys)
-        placed = with_chunk(df, pivot_table(df, by, order) if cuts is None else cuts, by, order)
+        placed = with_chunk(df, pivot_table(df, keys, order), keys, order)
 
+    by = [F.col(k) for k in (*keys, "__chunk")]
+    placed = placed.repartition(*by) if tasks is None else placed.repartition(tasks, *by)
     inside = W.partitionBy(*keys, "__chunk").orderBy(F.desc(order) if descending else F.asc(order))
     inside = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     local = placed.select("*", *[F.sum(m).over(inside).alias(f"__in_{m}") for m in measures])

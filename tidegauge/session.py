@@ -33,6 +33,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .appName("tidegauge")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .getOrCreate()
     )
