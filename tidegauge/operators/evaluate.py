@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,10 +63,14 @@ def subset_tags(scored: DataFrame, *, split: str, main: str, queue: str, queues:
 def gain_over_baseline(values: DataFrame, *, keys: Sequence[str], set_col: str, baseline: str, value: str, name: str) -> DataFrame:
     """``value`` of every feature set minus the baseline's value under the same keys.
 
-    ``values`` holds one row per (keys, set).
+    ``values`` holds one row per (keys, set), so a key's window is as large as
+    the list of sets; one pass, where a self join would compute ``values`` twice.
+    Keys without a baseline drop out.
     """
-    ref = values.filter(F.col(set_col) == baseline).select(*keys, F.col(value).alias("__ref"))
-    return values.filter(F.col(set_col) != baseline).join(ref, list(keys)).withColumn(name, F.col(value) - F.col("__ref")).drop("__ref")
+    ref = F.max(F.when(F.col(set_col) == baseline, F.col(value))).over(W.partitionBy(*keys))
+    met = F.max((F.col(set_col) == baseline).cast("int")).over(W.partitionBy(*keys))
+    paired = values.withColumn("__ref", ref).withColumn("__met", met).filter((F.col("__met") == 1) & (F.col(set_col) != baseline))
+    return paired.withColumn(name, F.col(value) - F.col("__ref")).drop("__ref", "__met")
 
 
 # ------------------------------------------------------------------ cluster bootstrap

@@ -227,7 +227,8 @@ def gains_stage(
     spread = evaluate.wide_by(ci, row, "split", ["main", "pooled"], ["ci_low", "ci_high", "p"])
     spread = spread.select(*row, *[F.col(f"ci_{side}_{s}").alias(f"ci_{s}_{side}") for s in ("main", "pooled") for side in ("low", "high")], "p_main", "p_pooled")
     joined = wide.join(spread, row, "left").join(importance, row).withColumn("is_placebo", evaluate.is_placebo("feature_set"))
-    return ranking.holm_real_only(joined, [*keys, "model"], "p_pooled", "p_holm_pooled")
+    # a result table of the study: the rules below read it several times
+    return materialize(ranking.holm_real_only(joined, [*keys, "model"], "p_pooled", "p_holm_pooled"), "gains")
 
 
 def verdict_stage(gains: DataFrame, *, keys: Sequence[str], queues: Sequence[str], floor: int, verifiers: dict[str, str] | None = None) -> DataFrame:

@@ -87,14 +87,11 @@ def write_json(df: DataFrame, path: str) -> None:
 def write_windows(df: DataFrame, path: str, *, channel: str = "channel", sort_by: Sequence[str] = ("job_id", "node", "ts_ms")) -> None:
     """Window readings by channel directory, replacing only the channels present in ``df``.
 
-    A round-robin salt beside the channel keeps a channel with most of the
-    rows from being written by one task.
+    A hash salt beside the channel keeps a channel with most of the rows from
+    being written by one task.
     """
-    spread = df.withColumn("__salt", F.pmod(F.xxhash64(*sort_by), F.lit(64)))
     (
-        spread.repartition(F.col(channel), F.col("__salt"))
-        .drop("__salt")
-        .sortWithinPartitions(channel, *sort_by)
+        _salted(df, [channel], list(sort_by))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(channel)
@@ -102,6 +99,18 @@ def write_windows(df: DataFrame, path: str, *, channel: str = "channel", sort_by
     )
 
 
+def write_lake(df: DataFrame, path: str, *, sort_by: Sequence[str] = ("node", "timestamp")) -> None:
+    """Raw readings as a lake: one directory per month, plugin and metric, a few sorted files in each."""
+    _salted(df, list(LAKE_KEYS), list(sort_by)).write.mode("overwrite").partitionBy(*LAKE_KEYS).parquet(path)
+
+
+def _salted(df: DataFrame, directories: Sequence[str], sort_by: Sequence[str], salts: int = 32) -> DataFrame:
+    """Rows of one directory spread over at most ``salts`` tasks, sorted inside each."""
+    salt = F.pmod(F.xxhash64(sort_by[0]), F.lit(salts))
+    spread = df.withColumn("__salt", salt).repartition(*[F.col(d) for d in directories], F.col("__salt")).drop("__salt")
+    return spread.sortWithinPartitions(*directories, *sort_by)
+
+
 def missing_keys(spark: SparkSession, path: str, requested: DataFrame, key: str) -> DataFrame:
     """Requested keys a table does not hold yet; all of them when there is no table."""
     try:
