@@ -42,17 +42,16 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
     Only where the session names none (tests, a single machine) a temporary
-    folder is made, and remembered for the rest of the session.
+    folder is made and set on the context, so it is found again.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if folder is None:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="spark-tidegauge-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-tidegauge-", dir="/tmp"))
+        folder = context.getCheckpointDir()
     return folder
 
 
