@@ -62,7 +62,12 @@ def lake_pass(spark, sf, readings) -> None:
     wins = base.jobs(spark, sf).join(base.job_nodes(spark, sf), "job_id").select(
         "job_id", "node", (F.unix_millis("start_time")).alias("t0_ms"), (F.unix_millis("start_time") + 1_200_000).alias("t1_ms")
     )
-    run(windows.interval_join(readings, wins, node="node", ts="ts_ms", t0="t0_ms", t1="t1_ms", bucket_ms=1_200_000))
+    wins = materialize(wins, "bench-windows")
+    run(
+        windows.interval_join(
+            readings, wins, node="node", ts="ts_ms", t0="t0_ms", t1="t1_ms", bucket_ms=1_200_000, window_rows=wins.count()
+        )
+    )
 
 
 def main() -> None:

@@ -23,9 +23,11 @@ def test_inventory_traits(spark):
 
 def test_interval_histogram_ends(spark):
     df = spark.createDataFrame([("a", 1, t, 1.0) for t in (0, 0, 3_599_999, 7_199_999, 99_999_999)], "channel string, node int, ts_ms bigint, value double")
-    pairs = inventory.reading_pairs(df, channel="channel", node="node", ts_ms="ts_ms", value="value")
-    hist = inventory.interval_histogram(inventory.interval_cells(pairs, channel="channel", ts_ms="ts_ms", value="value", max_interval_s=3600), channel="channel")
-    assert sorted((r.interval_s, r.n) for r in hist.collect()) == [(0, 1), (3599, 1), (3600, 2)]
+    for chunk in (1000, 10**12):
+        cells, nodes = inventory.interval_cells(df, channel="channel", node="node", ts_ms="ts_ms", value="value", max_interval_s=3600, chunk_ms=chunk)
+        hist = inventory.interval_histogram(cells, channel="channel")
+        assert sorted((r.interval_s, r.n) for r in hist.collect()) == [(0, 1), (3599, 1), (3600, 2)]
+        assert nodes.first().nodes == 1
 
 
 #: published figures of a 19-channel inventory: channel -> (cadence, source)

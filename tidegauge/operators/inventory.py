@@ -9,32 +9,48 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegauge.functions import columns as C
-from tidegauge.operators import ordering
 from tidegauge.operators.small import literal_table
+from tidegauge.session import materialize
 
 #: Time span of one unit of work of a (channel, node).  A node that sends every
-#: 20 s holds 30,240 readings per week, whatever the length of the lake.
-CHUNK_MS = 7 * 24 * 3_600_000
+#: 20 s holds 120,960 readings in it, whatever the length of the lake.
+CHUNK_MS = 28 * 24 * 3_600_000
 
 
-def reading_pairs(readings: DataFrame, *, channel: str, node: str, ts_ms: str, value: str, chunk_ms: int = CHUNK_MS) -> DataFrame:
-    """Each reading with the previous reading of the same channel and node."""
-    slim = readings.select(channel, node, ts_ms, C.nan_to_null(value).alias(value))
-    return ordering.consecutive_pairs(
-        slim, [channel, node], ts_ms, [ts_ms, value], chunk=C.floor_div(ts_ms, chunk_ms), tiebreak=[value]
-    )
-
+def interval_cells(
+    readings: DataFrame, *, channel: str, node: str, ts_ms: str, value: str, max_interval_s: int, chunk_ms: int = CHUNK_MS
+) -> tuple[DataFrame, DataFrame]:
+    """One pass over the readings.  Returns (cells, nodes), both small.
 
-def interval_cells(pairs: DataFrame, *, channel: str, ts_ms: str, value: str, max_interval_s: int) -> DataFrame:
-    """Counters per (channel, interval in whole seconds), the last bin holding everything from ``max_interval_s`` on.
+    ``cells``: per (channel, whole seconds since the previous reading of the
+    node) the pairs ``n``, rows, rises, falls, zeros and range; the last bin
+    holds everything from ``max_interval_s`` on, and rows without a predecessor
+    have a NULL interval.  ``nodes``: (channel, nodes).
 
-    At most ``max_interval_s + 2`` rows per channel, combined on the map side;
-    every figure of the inventory follows from this table.
+    The readings are shuffled and sorted once, by (channel, node, chunk of
+    time), and combined on the map side.  First and last readings of chunks
+    keep their identity in that aggregate, so the pairs that straddle two
+    chunks are found afterwards from the written aggregate alone.
     """
-    seconds = C.floor_div(F.col(ts_ms) - F.col(f"prev_{ts_ms}"), 1000)
-    gap = F.when(seconds.isNotNull(), F.least(seconds, F.lit(max_interval_s).cast("bigint")))
-    change = F.col(value) - F.col(f"prev_{value}")
-    return pairs.groupBy(channel, gap.alias("interval_s")).agg(
+    seconds = lambda prev: C.floor_div(F.col(ts_ms) - F.col(prev), 1000)
+    binned = lambda prev: F.when(
+        F.col(prev).isNotNull(), F.least(seconds(prev), F.lit(max_interval_s).cast("bigint"))
+    )
+    slim = readings.select(
+        channel, node, ts_ms, C.nan_to_null(value).alias(value), C.floor_div(ts_ms, chunk_ms).alias("__chunk")
+    ).withColumn("__g", F.xxhash64(channel, node, "__chunk"))  # a number to sort by before any text
+    w = W.partitionBy("__g", channel, node, "__chunk").orderBy(ts_ms, value)
+    local = slim.select(
+        channel, node, ts_ms, value, "__chunk", F.lag(ts_ms).over(w).alias("__pt"), F.lag(value).over(w).alias("__pv"),
+        F.lead(ts_ms).over(w).alias("__nt"),
+    )
+    first, last = F.col("__pt").isNull(), F.col("__nt").isNull()
+    keep = lambda c: F.when(first | last, F.col(c)).alias(f"e_{c}")
+    change = F.col(value) - F.col("__pv")
+    raw = local.groupBy(
+        channel, binned("__pt").alias("interval_s"), keep(node), keep("__chunk"), keep(ts_ms), keep(value), first.alias("first"),
+        (first | last).alias("edge"),
+    ).agg(
         F.count("*").alias("rows"),
         F.count_if(change > 0).alias("rises"),
         F.count_if(change < 0).alias("falls"),
@@ -42,11 +58,36 @@ def interval_cells(pairs: DataFrame, *, channel: str, ts_ms: str, value: str, ma
         F.min(value).alias("vmin"),
         F.max(value).alias("vmax"),
     )
+    raw = materialize(raw, "interval-cells")
+
+    inside = raw.select(
+        channel, "interval_s", F.when(F.col("interval_s").isNotNull(), F.col("rows")).otherwise(0).alias("n"), "rows", "rises", "falls",
+        "zeros", "vmin", "vmax",
+    )
+    edges = raw.filter("edge").select(channel, F.col(f"e_{node}").alias(node), F.col("e___chunk").alias("__chunk"), F.col(f"e_{ts_ms}").alias(ts_ms), F.col(f"e_{value}").alias(value), "first")
+    # at most two rows per node and chunk
+    across = W.partitionBy(channel, node).orderBy("__chunk", ts_ms, value, F.desc("first"))
+    joints = edges.withColumn("__pt", F.lag(ts_ms).over(across)).withColumn("__pv", F.lag(value).over(across))
+    joints = joints.filter(F.col("first") & F.col("__pt").isNotNull()).select(
+        channel,
+        binned("__pt").alias("interval_s"),
+        F.lit(1).cast("bigint").alias("n"),
+        F.lit(0).cast("bigint").alias("rows"),
+        F.when(change > 0, 1).otherwise(0).cast("bigint").alias("rises"),
+        F.when(change < 0, 1).otherwise(0).cast("bigint").alias("falls"),
+        F.lit(0).cast("bigint").alias("zeros"),
+        F.lit(None).cast("double").alias("vmin"),
+        F.lit(None).cast("double").alias("vmax"),
+    )
+    cells = inside.unionByName(joints).groupBy(channel, "interval_s").agg(
+        *[F.sum(c).alias(c) for c in ("n", "rows", "rises", "falls", "zeros")], F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax")
+    )
+    return cells, edges.groupBy(channel).agg(F.countDistinct(node).alias("nodes"))
 
 
 def interval_histogram(cells: DataFrame, *, channel: str) -> DataFrame:
     """(channel, interval_s, n): how often each interval between consecutive readings occurs."""
-    return cells.filter(F.col("interval_s").isNotNull()).select(channel, "interval_s", F.col("rows").alias("n"))
+    return cells.filter(F.col("interval_s").isNotNull()).select(channel, "interval_s", "n")
 
 
 def cadence(hist: DataFrame, *, channel: str, max_interval_s: int) -> DataFrame:
@@ -79,12 +120,12 @@ def channel_inventory(
     chunk_ms: int = CHUNK_MS,
 ) -> DataFrame:
     """One row per channel: rows, nodes, cadence, rise share, zero share, range, ``cumulative`` and ``constant``."""
-    pairs = reading_pairs(readings, channel=channel, node=node, ts_ms=ts_ms, value=value, chunk_ms=chunk_ms)
-    cells = interval_cells(pairs, channel=channel, ts_ms=ts_ms, value=value, max_interval_s=max_interval_s)
+    cells, nodes = interval_cells(
+        readings, channel=channel, node=node, ts_ms=ts_ms, value=value, max_interval_s=max_interval_s, chunk_ms=chunk_ms
+    )
     totals = cells.groupBy(channel).agg(
         *[F.sum(c).alias(c) for c in ("rows", "rises", "falls", "zeros")], F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax")
     )
-    nodes = readings.groupBy(channel).agg(F.countDistinct(node).alias("nodes"))
     beat = cadence(interval_histogram(cells, channel=channel), channel=channel, max_interval_s=max_interval_s)
     joined = totals.join(nodes, channel).join(beat, channel, "left")
     rises_share = C.ratio("rises", F.col("rises") + F.col("falls"))

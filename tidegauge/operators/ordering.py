@@ -171,8 +171,9 @@ def consecutive_pairs(
     """
     keys, carry = list(keys), list(carry)
     order_by = [F.col(order), *[F.col(t) for t in tiebreak]]
-    inside = W.partitionBy(*keys, "__chunk").orderBy(*order_by)
+    inside = W.partitionBy("__g", *keys, "__chunk").orderBy(*order_by)
     placed = df.withColumn("__chunk", chunk).withColumn("__this", F.struct(*carry))
+    placed = placed.withColumn("__g", F.xxhash64(*keys, "__chunk"))  # a number to sort by before any text
     local = placed.withColumn("__prev", F.lag("__this").over(inside))
 
     def unpack(frame: DataFrame) -> DataFrame:

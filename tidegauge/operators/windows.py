@@ -11,6 +11,10 @@ from tidegauge.functions import columns as C
 from tidegauge.operators import ordering
 
 
+#: Most windows to broadcast: two buckets each at about 60 bytes, some 250 MB on an executor.
+BROADCAST_WINDOWS = 2_000_000
+
+
 def node_windows(jobs: DataFrame, *, job: str, t0_ms: str, nodes: str, window_ms: int) -> DataFrame:
     """(job, node, t0_ms, t1_ms): one half-open window per job and node of its node array."""
     return jobs.select(F.col(job), F.explode(nodes).alias("node"), F.col(t0_ms).alias("t0_ms")).withColumn(
@@ -27,6 +31,7 @@ def interval_join(
     t0: str,
     t1: str,
     bucket_ms: int,
+    window_rows: int | None = None,
 ) -> DataFrame:
     """Every (window, reading) pair on the same node with ``t0 <= ts < t1``.
 
@@ -35,12 +40,19 @@ def interval_join(
     one, so the join is an equi-join on (node, bucket): Spark hashes, sorts or
     broadcasts it as sizes tell, AQE splits skewed buckets, and one busy node is
     already spread over its buckets.  No pair can appear twice.
+
+    ``window_rows``: the counted size of ``windows``.  Up to
+    :data:`BROADCAST_WINDOWS` they go to every executor and the readings are
+    joined where they are read; above it, or uncounted, Spark decides by its
+    own statistics and shuffles both sides if it must.
     """
     bucketed = readings.withColumn("__bucket", C.floor_div(ts, bucket_ms))
     last = C.floor_div(F.col(t1) - 1, bucket_ms)
     unfolded = windows.filter(F.col(t1) > F.col(t0)).withColumn(
         "__bucket", F.explode(F.sequence(C.floor_div(t0, bucket_ms), last))
     )
+    if window_rows is not None and window_rows <= BROADCAST_WINDOWS:
+        unfolded = F.broadcast(unfolded)
     return bucketed.join(unfolded, [node, "__bucket"]).filter(C.in_half_open(ts, t0, t1)).drop("__bucket")
 
 

@@ -34,8 +34,13 @@ def windows_stage(jobs: DataFrame, study: Study) -> DataFrame:
 
 
 def window_readings_stage(readings: DataFrame, job_windows: DataFrame, study: Study) -> DataFrame:
-    """Readings inside the windows, one per (channel, job, node, timestamp)."""
-    pairs = windows.interval_join(readings, job_windows, node="node", ts="ts_ms", t0="t0_ms", t1="t1_ms", bucket_ms=study.window_s * 1000)
+    """Readings inside the windows, one per (channel, job, node, timestamp).
+
+    ``job_windows`` is a written table, so counting it reads only footers.
+    """
+    pairs = windows.interval_join(
+        readings, job_windows, node="node", ts="ts_ms", t0="t0_ms", t1="t1_ms", bucket_ms=study.window_s * 1000, window_rows=job_windows.count()
+    )
     slim = pairs.select("channel", "job_id", "node", "ts_ms", "t0_ms", "value")
     return windows.keep_first(slim, ["channel", "job_id", "node", "ts_ms"], ["value"])
 

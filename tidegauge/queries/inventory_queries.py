@@ -36,8 +36,8 @@ SELECT channel, least(gap, {MAX_S}) AS interval_s, count(*) AS n FROM p WHERE ga
 
 
 def _cells(spark, sf):
-    pairs = inventory.reading_pairs(base.readings(spark, sf), channel="channel", node="node", ts_ms="ts_ms", value="value")
-    return inventory.interval_cells(pairs, channel="channel", ts_ms="ts_ms", value="value", max_interval_s=MAX_S)
+    cells, _ = inventory.interval_cells(base.readings(spark, sf), channel="channel", node="node", ts_ms="ts_ms", value="value", max_interval_s=MAX_S)
+    return cells
 
 
 def _inventory(spark, sf):

@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # shuffled joins hash instead of sort where every build partition was measured to be small
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "67108864",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
