@@ -44,12 +44,11 @@ def interval_cells(
         channel, node, ts_ms, value, "__chunk", F.lag(ts_ms).over(w).alias("__pt"), F.lag(value).over(w).alias("__pv"),
         F.lead(ts_ms).over(w).alias("__nt"),
     )
-    first, last = F.col("__pt").isNull(), F.col("__nt").isNull()
-    keep = lambda c: F.when(first | last, F.col(c)).alias(f"e_{c}")
+    edge = F.col("__pt").isNull() | F.col("__nt").isNull()
+    keep = lambda c: F.when(edge, F.col(c)).alias(f"e_{c}")
     change = F.col(value) - F.col("__pv")
     raw = local.groupBy(
-        channel, binned("__pt").alias("interval_s"), keep(node), keep("__chunk"), keep(ts_ms), keep(value), first.alias("first"),
-        (first | last).alias("edge"),
+        channel, binned("__pt").alias("interval_s"), keep(node), keep("__chunk"), keep(ts_ms), keep(value)
     ).agg(
         F.count("*").alias("rows"),
         F.count_if(change > 0).alias("rises"),
@@ -58,13 +57,17 @@ def interval_cells(
         F.min(value).alias("vmin"),
         F.max(value).alias("vmax"),
     )
+    # a chunk's first reading is the one without an interval, an edge the one with a chunk
     raw = materialize(raw, "interval-cells")
 
     inside = raw.select(
         channel, "interval_s", F.when(F.col("interval_s").isNotNull(), F.col("rows")).otherwise(0).alias("n"), "rows", "rises", "falls",
         "zeros", "vmin", "vmax",
     )
-    edges = raw.filter("edge").select(channel, F.col(f"e_{node}").alias(node), F.col("e___chunk").alias("__chunk"), F.col(f"e_{ts_ms}").alias(ts_ms), F.col(f"e_{value}").alias(value), "first")
+    edges = raw.filter("e___chunk IS NOT NULL").select(
+        channel, F.col(f"e_{node}").alias(node), F.col("e___chunk").alias("__chunk"), F.col(f"e_{ts_ms}").alias(ts_ms), F.col(f"e_{value}").alias(value),
+        F.col("interval_s").isNull().alias("first"),
+    )
     # at most two rows per node and chunk
     across = W.partitionBy(channel, node).orderBy("__chunk", ts_ms, value, F.desc("first"))
     joints = edges.withColumn("__pt", F.lag(ts_ms).over(across)).withColumn("__pv", F.lag(value).over(across))

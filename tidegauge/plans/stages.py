@@ -41,8 +41,8 @@ def window_readings_stage(readings: DataFrame, job_windows: DataFrame, study: St
     pairs = windows.interval_join(
         readings, job_windows, node="node", ts="ts_ms", t0="t0_ms", t1="t1_ms", bucket_ms=study.window_s * 1000, window_rows=job_windows.count()
     )
-    slim = pairs.select("channel", "job_id", "node", "ts_ms", "t0_ms", "value")
-    return windows.keep_first(slim, ["channel", "job_id", "node", "ts_ms"], ["value"])
+    # a timestamp repeated on a node keeps its smallest value; one primitive per key, so copies combine before the shuffle
+    return pairs.groupBy("channel", "job_id", "node", "ts_ms", "t0_ms").agg(F.min("value").alias("value"))
 
 
 def refresh_window_readings(spark: SparkSession, root: str, out: str, job_windows: DataFrame, study: Study) -> list[str]:

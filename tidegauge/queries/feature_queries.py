@@ -170,5 +170,7 @@ def placebo_permutation(spark, sf):
 def marginal_check(spark, sf):
     real = line_stats(spark, sf)
     made = features.placebos(real, key="job_id", groups=PLACEBO_GROUPS, count=2, seed=42, name="placebo")
-    odd = checks.marginal_mismatches(real, made, "quantity__mean", "placebo00__mean").agg(F.count("*").alias("mismatches"))
-    return odd.crossJoin(F.broadcast(made.agg(F.count("*").alias("jobs"))))
+    odd = checks.marginal_mismatches(real, made, "quantity__mean", "placebo00__mean")
+    found = odd.agg(F.count("*").alias("mismatches"), F.lit(0).cast("bigint").alias("jobs"))
+    counted = made.agg(F.lit(0).cast("bigint").alias("mismatches"), F.count("*").alias("jobs"))
+    return found.unionByName(counted).agg(F.sum("mismatches").alias("mismatches"), F.sum("jobs").alias("jobs"))
