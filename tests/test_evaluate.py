@@ -55,12 +55,13 @@ def test_bootstrap_weights_move_users_together(spark):
     assert np.sum(v.tolist()) == 150
 
 
-def test_bootstrap_average_precision_equals_brute_force(spark, scored):
+@pytest.mark.parametrize("hot_cells", [3, 50_000])
+def test_bootstrap_average_precision_equals_brute_force(spark, scored, hot_cells):
     pdf, _ = scored
     base = pdf[pdf.k.isin([0, 99])].copy()
     sets = pd.concat([base.assign(fs="B0"), base.assign(fs="g", score=np.round(base.score * 7 % 1, 1))])
     df = spark.createDataFrame(sets)
-    got = evaluate.bootstrap_average_precision(df, test_keys=["k"], set_keys=["fs"], y="y", score="score", cluster="u", n_boot=25, seed=5, pivots=7).toPandas()
+    got = evaluate.bootstrap_average_precision(df, test_keys=["k"], set_keys=["fs"], y="y", score="score", cluster="u", n_boot=25, seed=5, pivots=7, hot_cells=hot_cells).toPandas()
     w = evaluate.bootstrap_weights(df, keys=["k"], cluster="u", n_boot=25, seed=5).toPandas().set_index(["k", "u", "b"]).weight.to_dict()
     assert len(got) == 2 * 2 * 25
     for r in got.itertuples():

@@ -73,3 +73,17 @@ def test_pivots_do_not_depend_on_partitioning(spark, skewed):
     a = {r.k: r["__cuts"] for r in ordering.pivot_table(df, ["k"], "v", 8).collect()}
     b = {r.k: r["__cuts"] for r in ordering.pivot_table(df.repartition(13), ["k"], "v", 8).collect()}
     assert a == b and all(len(v) <= 8 and v == sorted(v) for v in a.values())
+
+
+def test_plans_limit_groups_on_the_map_side_and_avoid_nested_loops(spark, skewed):
+    from tidegauge.operators import cohort, windows
+
+    _, df = skewed
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert plan(ordering.pivot_table(df, ["k"], "v")).count("WindowGroupLimit") == 2
+    assert plan(cohort.seeded_sample(df, ["k"], 5, "id", 1)).count("WindowGroupLimit") == 2
+    wins = df.select("k", F.col("id").alias("t0"), (F.col("id") + 10).alias("t1"))
+    joined = windows.interval_join(df, wins, node="k", ts="m", t0="t0", t1="t1", bucket_ms=10)
+    assert "NestedLoop" not in plan(joined) and "Cartesian" not in plan(joined)
+    small = windows.interval_join(df, wins, node="k", ts="m", t0="t0", t1="t1", bucket_ms=10, window_rows=3000)
+    assert "BroadcastHashJoin" in plan(small)

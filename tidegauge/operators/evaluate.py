@@ -132,6 +132,22 @@ def weight_vectors(rows: DataFrame, *, keys: Sequence[str], cluster: str, n_boot
     return named.mapInPandas(count, _fields(named, [*keys, cluster], T.StructField("w", T.ArrayType(T.IntegerType()))))
 
 
+def _with_weights(cells: DataFrame, weights: DataFrame, *, on: Sequence[str], within: Sequence[str], hot_cells: int) -> DataFrame:
+    """Each cell with its cluster's weight vector; clusters with many cells are salted over several tasks.
+
+    A cluster gets one salt per ``hot_cells`` of its cells and its vector is
+    copied that often, so a user with a third of all rows is no single task.
+    The list of hot clusters is short: at most cells / ``hot_cells`` rows.
+    """
+    salts = (1 + F.floor(F.count("*") / F.lit(hot_cells))).alias("__salts")
+    sizes = cells.groupBy(*on).agg(salts)
+    copies = weights.join(sizes, list(on)).withColumn("__salt", F.explode(F.sequence(F.lit(0), (F.col("__salts") - 1).cast("int")))).drop("__salts")
+    salt = F.coalesce(F.pmod(F.xxhash64(*within), F.col("__salts")).cast("int"), F.lit(0))
+    salted = cells.join(sizes.filter("__salts > 1"), list(on), "left").withColumn("__salt", salt).drop("__salts")
+    keys = [*on, "__salt"]
+    return spread(salted, *keys).join(spread(copies, *keys), keys).drop("__salt")
+
+
 def _tie_sums(joined: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     """(keys, __part, score, side, vec): weighted counts of all resamples, equal scores of a batch already added up.
 
@@ -177,6 +193,7 @@ def bootstrap_average_precision(
     n_boot: int,
     seed: int,
     pivots: int = 64,
+    hot_cells: int = 50_000,
 ) -> DataFrame:
     """(test_keys, set_keys, b, ap): weighted PR-AUC of every set in every cluster resample of its test set.
 
@@ -196,7 +213,7 @@ def bootstrap_average_precision(
     cells = scored.groupBy(*keys, score, cluster).agg(F.sum(label).alias("__p"), F.sum(1 - label).alias("__q"))
     cells = ordering.with_chunk(cells, ordering.pivot_table(cells, keys, score, pivots), keys, score).withColumnRenamed("__chunk", "__part")
     weights = weight_vectors(scored, keys=test_keys, cluster=cluster, n_boot=n_boot, seed=seed)
-    joined = spread(cells, *test_keys, cluster).join(spread(weights, *test_keys, cluster), [*test_keys, cluster])
+    joined = _with_weights(cells, weights, on=[*test_keys, cluster], within=[*set_keys, score], hot_cells=hot_cells)
     ties = _tie_sums(joined, keys, score)
     by_range = spread(ties, *keys, "__part")
     vector = lambda n: T.StructField(n, T.ArrayType(T.DoubleType()))
