@@ -341,12 +341,12 @@ def average_rank_with_ties(spark, sf):
     return ordering.average_rank(lines, ["l_returnflag"], "l_quantity", "avg_rank").drop("l_returnflag")
 
 
-@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 4) AS p025, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM lineitem GROUP BY l_returnflag")
+@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 8) AS p025, round(quantile_cont(l_extendedprice, 0.5), 8) AS p50, round(quantile_cont(l_extendedprice, 0.95), 8) AS p95 FROM lineitem GROUP BY l_returnflag")
 def distributed_quantiles(spark, sf):
     from tidegauge.operators import ordering
 
     out = ordering.exact_quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p025": 0.025, "p50": 0.5, "p95": 0.95})
-    return rounded(out, "p025", "p50", "p95", digits=4)
+    return rounded(out, "p025", "p50", "p95", digits=8)
 
 
 @query(f"""
