@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tidegauge.functions import columns as C
 from tidegauge.operators import ordering
 from tidegauge.operators.ordering import spread
+from tidegauge.session import materialize
 
 
 def threshold_points(scored: DataFrame, *, keys: Sequence[str], y: str, score: str, weight: str | None = None) -> DataFrame:
@@ -132,15 +133,16 @@ def weight_vectors(rows: DataFrame, *, keys: Sequence[str], cluster: str, n_boot
     return named.mapInPandas(count, _fields(named, [*keys, cluster], T.StructField("w", T.ArrayType(T.IntegerType()))))
 
 
-def _with_weights(cells: DataFrame, weights: DataFrame, *, on: Sequence[str], within: Sequence[str], hot_cells: int) -> DataFrame:
+def _with_weights(cells: DataFrame, weights: DataFrame, rows: DataFrame, *, on: Sequence[str], within: Sequence[str], hot_cells: int) -> DataFrame:
     """Each cell with its cluster's weight vector; clusters with many cells are salted over several tasks.
 
     A cluster gets one salt per ``hot_cells`` of its cells and its vector is
     copied that often, so a user with a third of all rows is no single task.
     The list of hot clusters is short: at most cells / ``hot_cells`` rows.
+    ``rows`` are the same cells as a written table, to count them cheaply.
     """
     salts = (1 + F.floor(F.count("*") / F.lit(hot_cells))).alias("__salts")
-    sizes = cells.groupBy(*on).agg(salts)
+    sizes = rows.groupBy(*on).agg(salts)
     copies = weights.join(sizes, list(on)).withColumn("__salt", F.explode(F.sequence(F.lit(0), (F.col("__salts") - 1).cast("int")))).drop("__salts")
     salt = F.coalesce(F.pmod(F.xxhash64(*within), F.col("__salts")).cast("int"), F.lit(0))
     salted = cells.join(sizes.filter("__salts > 1"), list(on), "left").withColumn("__salt", salt).drop("__salts")
@@ -211,9 +213,11 @@ def bootstrap_average_precision(
     keys = [*test_keys, *set_keys]
     label = F.col(y).cast("int")
     cells = scored.groupBy(*keys, score, cluster).agg(F.sum(label).alias("__p"), F.sum(1 - label).alias("__q"))
+    cells = materialize(cells, "bootstrap-cells")  # read for the pivots, the cluster list, the cluster sizes and the sums
+    rows = cells
     cells = ordering.with_chunk(cells, ordering.pivot_table(cells, keys, score, pivots), keys, score).withColumnRenamed("__chunk", "__part")
-    weights = weight_vectors(scored, keys=test_keys, cluster=cluster, n_boot=n_boot, seed=seed)
-    joined = _with_weights(cells, weights, on=[*test_keys, cluster], within=[*set_keys, score], hot_cells=hot_cells)
+    weights = weight_vectors(rows, keys=test_keys, cluster=cluster, n_boot=n_boot, seed=seed)
+    joined = _with_weights(cells, weights, rows, on=[*test_keys, cluster], within=[*set_keys, score], hot_cells=hot_cells)
     ties = _tie_sums(joined, keys, score)
     by_range = spread(ties, *keys, "__part")
     vector = lambda n: T.StructField(n, T.ArrayType(T.DoubleType()))
