@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegauge.llm import licenses, secrets, urls
+from tidegauge.llm import decontaminate, licenses, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,3 +36,16 @@ def op2_license_scans(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge(table(spark, sf, "pages"), keep=["page_id"])
+
+
+@query
+def op5_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    rows, found = decontaminate.find(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return decontaminate.summary(rows, found).select(
+        F.col("doc").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
