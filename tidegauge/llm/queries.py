@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import decontaminate, licenses, secrets, urls
+from tidegauge.llm import context_tree, decontaminate, langid, licenses, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,3 +49,21 @@ def op5_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def remainder(key: str, n: int) -> Column:
+    return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(n))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = langid.train(docs.filter(remainder("doc_id", 3) != 1), key="doc_id", text="text", lang="lang")
+    out = langid.predict(docs, model, keep=["doc_id"])
+    return out.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    out = context_tree.score(table(spark, sf, "documents"), held_out=remainder("doc_id", 7) == 2)
+    return out.withColumnRenamed("doc", "doc_id").drop("train_types")
