@@ -33,11 +33,12 @@ class Kind:
     base: bool = True
 
 
-# The patterns, in the order in which kinds are listed.
+# The patterns, in the order in which kinds are listed.  A run of one class of characters that is too short is
+# no match of ``{n,}`` wherever it is entered, so access and hex leave them out at once and not by ``least``.
 KINDS = (
     Kind("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
-    Kind("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Kind("hex", r"[0-9a-f]+", 0, 24),
+    Kind("access", r"AKIA[A-Z0-9]{16,}"),
+    Kind("hex", r"[0-9a-f]{24,}"),
     Kind("vendor", r"\b(?:gh[pousr]_|glpat-|sk_live_|xox[abpr]-|AIza)[A-Za-z0-9_-]{16,}", base=False),
     Kind("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", base=False),
     Kind("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", base=False),
