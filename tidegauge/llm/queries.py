@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import context_tree, decontaminate, langid, licenses, secrets, urls
+from tidegauge.llm import context_tree, decontaminate, langid, licenses, ngram_join, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,3 +67,8 @@ def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     out = context_tree.score(table(spark, sf, "documents"), held_out=remainder("doc_id", 7) == 2)
     return out.withColumnRenamed("doc", "doc_id").drop("train_types")
+
+
+@query
+def op8_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf, "documents"), size=4, percent=85).withColumnRenamed("doc", "doc_id")

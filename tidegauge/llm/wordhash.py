@@ -119,3 +119,21 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     for i in range(1, k):
         out = out * np.uint64(0x9FB21C651E98DF25) + hashes[i : i + n]
     return mix(out + np.uint64(k))
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned numbers as bytes, each in the narrowest type that holds it."""
+    out = [len(arrays).to_bytes(1, "little")]
+    for x in arrays:
+        width = next(w for w in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << (8 * w))
+        out += [width.to_bytes(1, "little"), len(x).to_bytes(8, "little"), x.astype(f"<u{width}").tobytes()]
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    out, at = [], 1
+    for _ in range(data[0]):
+        width, n = data[at], int.from_bytes(data[at + 1 : at + 9], "little")
+        out.append(np.frombuffer(data, f"<u{width}", n, at + 9))
+        at += 9 + width * n
+    return out
