@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import context_tree, decontaminate, langid, licenses, ngram_join, secrets, urls
+from tidegauge.llm import context_tree, decontaminate, langid, licenses, ngram_join, pieces, secrets, sentencepiece_codec, token_counts, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,3 +72,22 @@ def op10_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op8_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.join(table(spark, sf, "documents"), size=4, percent=85).withColumnRenamed("doc", "doc_id")
+
+
+@query
+def op3_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Sampled pieces of every document, their digest, and whether decoding gives the text back."""
+    vocabulary = pieces.load()
+    rows = sentencepiece_codec.encode(table(spark, sf, "documents"), keep=["doc_id", "text"], pieces=vocabulary)
+    out = sentencepiece_codec.decode(rows, keep=["doc_id", "text", "ids"], pieces=vocabulary)
+    return out.select(
+        "doc_id",
+        F.size(F.coalesce("ids", F.array().cast("array<int>"))).cast("long").alias("n_pieces"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.count(table(spark, sf, "documents"), keep=["doc_id"])
