@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import context_tree, decontaminate, langid, licenses, ngram_join, pieces, secrets, sentencepiece_codec, token_counts, urls
+from tidegauge.llm import context_tree, decontaminate, graph_ann, langid, licenses, ngram_join, pieces, secrets, sentencepiece_codec, token_counts, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +91,8 @@ def op3_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count(table(spark, sf, "documents"), keep=["doc_id"])
+
+
+@query
+def op7_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return graph_ann.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
