@@ -185,5 +185,5 @@ def redact(docs: DataFrame, *, text: str = "text", owner: str = "source", repo:
         ),
         lambda a: F.concat(a["out"], F.substring(t, (a["at"] + 1).cast("int"), F.length(t))),
     )
-    out = keyed.join(lists, n, "left")
+    out = keyed.join(materialize(lists, "secret-spans"), n, "left")
     return out.select(*[F.when(F.col(f"{n}_spans").isNull(), F.col(c)).otherwise(cut).alias(c) if c == text else F.col(c) for c in docs.columns])
