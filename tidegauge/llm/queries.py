@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import context_tree, decontaminate, graph_ann, langid, licenses, ngram_join, pieces, secrets, sentencepiece_codec, token_counts, urls
+from tidegauge.llm import context_tree, decontaminate, graph_ann, langid, licenses, ngram_join, pieces, secrets, sentencepiece_codec, token_counts, twins, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_license_scans": twins.LICENSES,
+    "op4_url_filters": twins.URLS,
+    "op5_benchmark_decontamination": twins.DECONTAMINATION,
+    "op8_ngram_jaccard_join": twins.NGRAM_JOIN,
+}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
