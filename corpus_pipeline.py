@@ -19,8 +19,7 @@ from tidegauge.session import materialize
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any letter, and those of which the calibrated model is unsure, go."""
     model = langid.train(docs, key="doc_id", text="text", lang="lang")
-    judged = langid.predict(docs, model, text="text", keep=docs.columns)
-    return judged.filter(~F.col("rejected")).select(docs.columns)
+    return langid.accepted(docs, model, text="text")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +33,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = docs.join(materialize(gone, "near-copies"), "doc_id", "left_anti").select(docs.columns)
     repeated = materialize(groups.groupBy(F.col("doc").alias("doc_id")).count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated")
     if repeated.limit(1).count():
-        one = out.join(repeated, "doc_id", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")))
-        out = out.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(one.filter("nth = 1").select(docs.columns))
+        one = out.join(repeated, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")))
+        out = out.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(one.filter("__nth = 1").select(docs.columns))
     return out
 
 
@@ -43,7 +42,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Documents with any window of a benchmark item go."""
     _, found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = materialize(found.select(F.col("doc").alias("hit_id"), F.col("digest").alias("hit_digest")).distinct(), "contaminated")
-    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("hit_digest"))
+    same = docs["doc_id"].eqNullSafe(hit["hit_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == hit["hit_digest"])
     return docs.join(hit, same, "left_anti").select(docs.columns)
 
 
@@ -54,8 +53,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled pieces of every document, beside what else is known of it."""
-    out = sentencepiece_codec.encode(docs, text="text", key="doc_id", keep=[c for c in docs.columns if c != "text"])
+    """Sampled pieces of every document, beside what else is known of it; they take the place of columns of their names."""
+    out = sentencepiece_codec.encode(docs, text="text", key="doc_id", keep=[c for c in docs.columns if c not in ("text", "ids", "n_pieces")])
     return out.withColumn("n_pieces", F.size("ids").cast("long"))
 
 

@@ -193,6 +193,14 @@ def _predict(batches: Iterator[pa.RecordBatch], sent, keep: list[str]) -> Iterat
             yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(first, end - first) for c in keep], pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], [*keep, "lang_pred", "score", "rejected"])
 
 
+def _predicted(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
+    """Like :func:`predict`, with ``keep_`` before the names that are kept."""
+    rows = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"), _padded(F.col(text)).alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets x labels
+    names, kinds = [f"keep_{c}" for c in keep], dict(docs.dtypes)
+    return rows.mapInArrow(lambda b: _predict(b, sent, names), ", ".join([f"`keep_{c}` {kinds[c]}" for c in keep] + ["lang_pred string, score double, rejected boolean"]))
+
+
 def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str]) -> DataFrame:
     """``keep``, lang_pred, score (calibrated probability) and rejected for each row; only the text is looked at.
 
@@ -201,10 +209,11 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str
     probabilities the first label wins; repeated rows are predicted alike; an
     empty table gives an empty result; other columns are not read.
     """
-    spark = docs.sparkSession
-    rows = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"), _padded(F.col(text)).alias("text"))
-    sent = spark.sparkContext.broadcast(model)  # buckets x labels
-    kinds = ", ".join(f"`keep_{c}` {dict(docs.dtypes)[c]}" for c in keep)
-    names = [f"keep_{c}" for c in keep]
-    out = rows.mapInArrow(lambda b: _predict(b, sent, names), f"{kinds}, lang_pred string, score double, rejected boolean")
+    out = _predicted(docs, model, text, keep)
     return out.select(*[F.col(f"keep_{c}").alias(c) for c in keep], "lang_pred", "score", "rejected")
+
+
+def accepted(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the model does not reject."""
+    out = _predicted(docs, model, text, docs.columns).filter(~F.col("rejected"))
+    return out.select(*[F.col(f"keep_{c}").alias(c) for c in docs.columns])

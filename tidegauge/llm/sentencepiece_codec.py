@@ -30,7 +30,7 @@ def forward(pieces: pc.Pieces, rows: np.ndarray, n: np.ndarray, sharpness: float
     words, width = rows.shape
     total = np.full((words, width + 1), -np.inf)
     total[:, 0] = 0
-    share = np.zeros((words, width + 1, len(lengths)), np.float32)
+    share = np.full((words, width + 1, len(lengths)), 2, np.float32)  # above any draw, where no piece ends
     ids = np.full((words, width + 1, len(lengths)), -1, np.int32)
     with np.errstate(invalid="ignore", divide="ignore"):
         for end in range(1, width + 1):
