@@ -14,12 +14,14 @@ counts there; the counts of all fragments are summed per document, or per pair.
    fragments in full: document frequencies, then per document its shared
    n-grams in the global order.  Documents that lack too many end here.
 3. **Pairs.**  By the prefix filter two linked documents share an n-gram among
-   their first ``n - ceil(t n) + 1``.  In the list of such an n-gram the most
-   typical document is the centre, and is paired with all others.  Pairs are
+   their first ``n - ceil(t n) + 1``.  The most typical document that holds such
+   an n-gram is its centre, and is paired with all in its list.  Pairs are
    counted fragment by fragment and summed; links make components.
 4. **The rest of the pairs.**  Only members outside their centre's component can
    still link to something new; they are paired with the members of other
-   components whose sizes and lacking n-grams leave a link possible.
+   components as far as sizes, lacking n-grams and a bitmap of the others (each
+   n-gram turns one bit over; bits that differ are n-grams that differ) leave a
+   link possible.
 
 So no link between components goes untested, and a group of near copies costs
 its size, not its square.  Documents with equal sets are one class throughout.
@@ -42,6 +44,8 @@ from tidegauge.session import materialize
 SCREEN = 0.3
 #: Bits of the table of documents that passed the screen: fixed, whatever the corpus.
 BITS = 1 << 24
+#: 64-bit words of a class's bitmap.
+BITMAP = 8
 #: Fragments of the order in which pairs are counted.
 FRAGMENTS = 8
 LOW = np.uint64((1 << 48) - 1)
@@ -251,9 +255,12 @@ def _classes(group: pa.Table, percent: int) -> pa.Table:
     half = FRAGMENTS // 2
     fragment = (wh.mix(gram) >> np.uint64(40)).astype(np.int64) % half + half * (df > 2)
     cuts = np.searchsorted(owner, np.arange(len(distinct) + 1))
-    out = {"key": [], "n": [], "lacking": [], "fragment": [], "grams": [], "prefix": []}
+    bit = (wh.mix(gram ^ np.uint64(0x5A5A5A5A)) & np.uint64(64 * BITMAP - 1)).astype(np.int64)
+    out = {"key": [], "n": [], "lacking": [], "fragment": [], "grams": [], "prefix": [], "bits": []}
     for i in np.flatnonzero(np.diff(cuts)):
         a, b = cuts[i], cuts[i + 1]
+        turned = np.bincount(bit[a:b], minlength=64 * BITMAP).astype(np.uint8) & 1
+        bits = np.packbits(turned, bitorder="little").view(np.int64)
         # n-grams that nobody else has come first in the order
         first_ones = np.arange(b - a) < spare[i] + 1 - lacking[i]
         g, f = gram[a:b].view(np.int64), fragment[a:b]
@@ -266,7 +273,9 @@ def _classes(group: pa.Table, percent: int) -> pa.Table:
                 out["fragment"].append(k)
                 out["grams"].append(g[at])
                 out["prefix"].append(g[at & first_ones])
-    kinds = {"key": pa.int64(), "n": pa.int64(), "lacking": pa.int64(), "fragment": pa.int32(), "grams": pa.list_(pa.int64()), "prefix": pa.list_(pa.int64())}
+                out["bits"].append(bits)
+                bits = None  # once for a class
+    kinds = {"key": pa.int64(), "n": pa.int64(), "lacking": pa.int64(), "fragment": pa.int32(), "grams": pa.list_(pa.int64()), "prefix": pa.list_(pa.int64()), "bits": pa.list_(pa.int64())}
     return pa.table({c: pa.array(v, kinds[c]) for c, v in out.items()})
 
 
@@ -290,7 +299,7 @@ def classes(docs: DataFrame, *, doc: str, text: str, size: int, percent: int) ->
 
     read = materialize(base.mapInArrow(lambda b: _segments_map(b, size, parts, sent, arrow), f"doc {kind}, key long, n long, {PACKED}"), "ngram-segments")
     shared = read.filter("part is not null").select("part", "payload").groupBy("part").applyInArrow(lambda t: _shared(t, parts), PACKED)
-    left = shared.groupBy("part").applyInArrow(lambda t: _classes(t, percent), "key long, n long, lacking long, fragment int, grams array<long>, prefix array<long>")
+    left = shared.groupBy("part").applyInArrow(lambda t: _classes(t, percent), "key long, n long, lacking long, fragment int, grams array<long>, prefix array<long>, bits array<long>")
     return read.filter("part is null").select("doc", "key", "n"), materialize(left, "ngram-classes")
 
 
@@ -306,10 +315,17 @@ def count_pairs(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFram
 def possible(a: str, b: str, percent: int):
     """Whether sizes, and n-grams that only one has, leave a link between members ``a`` and ``b`` possible."""
     n_a, n_b, l_a, l_b = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.lacking"), F.col(f"{b}.lacking")
-    need = percent * (n_a + n_b)
+    need = percent * (n_a + n_b)  # linked documents share need / (100 + percent)
     return ((100 + percent) * (n_a - l_a) >= need) & ((100 + percent) * (n_b - l_b) >= need) & (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
 
 
+def alike(a: str, b: str, percent: int):
+    """Whether the bitmaps leave a link possible: the n-grams in common are at most half of all less the bits that differ."""
+    differ = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(BITMAP)), F.lit(0))
+    n_a, n_b, l_a, l_b = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.lacking"), F.col(f"{b}.lacking")
+    return (100 + percent) * (n_a - l_a + n_b - l_b - differ) >= 2 * percent * (n_a + n_b)
+
+
 def join(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """One row per row of ``docs``: doc, n_shingles and component_id, the smallest doc reachable by links.
 
@@ -324,8 +340,10 @@ def join(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", size: int
     """
     rows, segments = classes(docs, doc=doc, text=text, size=size, percent=percent)
     tokens = materialize(segments.filter(F.size("prefix") > 0).select("key", "n", "lacking", F.explode("prefix").alias("gram")), "ngram-prefixes")
-    # the centre lacks least for its size, and so stands nearest to what its group has in common
-    centre = tokens.groupBy("gram").agg(F.min(F.struct((F.col("lacking") / F.col("n")).alias("rest"), "key", "n", "lacking")).alias("c"))
+    # the centre lacks least for its size, and so stands nearest to what its group has in common; it is sought among all that
+    # hold the n-gram, not only in their prefix, so that the n-grams of one group agree on it
+    holders = segments.select("key", "n", "lacking", F.explode("grams").alias("gram"))
+    centre = holders.groupBy("gram").agg(F.min(F.struct((F.col("lacking") / F.col("n")).alias("rest"), "key", "n", "lacking")).alias("c"))
     centres = centre.select("gram", F.col("c.key").alias("key"), F.col("c.n").alias("n"), F.col("c.lacking").alias("lacking"))
     stars = tokens.alias("t").join(centres.alias("c"), "gram").filter((F.col("t.key") != F.col("c.key")) & possible("t", "c", percent))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -337,7 +355,10 @@ def join(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", size: int
     members = materialize(own(tokens), "ngram-members")
     centres = own(centres)
     outside = members.alias("m").join(centres.alias("c"), "gram").filter("m.root != c.root").select("m.*")
-    rest = outside.alias("x").join(members.alias("y"), "gram").filter((F.col("x.root") != F.col("y.root")) & possible("x", "y", percent))
+    bits = segments.filter("bits is not null").select("key", "bits")
+    outside = materialize(outside.join(bits, "key"), "ngram-outside")
+    around = members.join(outside.select("gram").distinct(), "gram", "left_semi").join(bits, "key")
+    rest = outside.alias("x").join(around.alias("y"), "gram").filter((F.col("x.root") != F.col("y.root")) & possible("x", "y", percent) & alike("x", "y", percent))
     rest = rest.select(*pair(F.col("x.key"), F.col("y.key"))).distinct().join(stars, ["a", "b"], "left_anti")
     links = links.unionByName(materialize(count_pairs(materialize(rest, "ngram-rest"), segments, percent), "ngram-links"))
     root = components(links)
