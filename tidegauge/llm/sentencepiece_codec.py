@@ -22,31 +22,38 @@ from pyspark.sql import functions as F
 from tidegauge.llm import pieces as pc
 from tidegauge.llm import wordhash as wh
 
+#: Bytes of texts that share the forward pass over their distinct words.
+BLOCK_BYTES = 1 << 22
 
-def forward(pieces: pc.Pieces, rows: np.ndarray, n: np.ndarray, sharpness: float) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Cumulative shares and ids of the pieces that end behind each byte: [word, end, choice], by lengths."""
+
+def forward(pieces: pc.Pieces, rows: np.ndarray, n: np.ndarray, sharpness: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cumulative shares and ids of the pieces that end behind each byte, [word, end, choice], and their lengths, [end, choice]."""
     found = pc.matches(pieces, rows, n)
-    lengths = sorted(found)
     words, width = rows.shape
-    total = np.full((words, width + 1), -np.inf)
-    total[:, 0] = 0
-    share = np.full((words, width + 1, len(lengths)), 2, np.float32)  # above any draw, where no piece ends
-    ids = np.full((words, width + 1, len(lengths)), -1, np.int32)
+    choices = [[k for k in sorted(found) if k <= end and (found[k][:, end - k] >= 0).any()] for end in range(width + 1)]
+    most = max(map(len, choices))
+    logp = np.append(sharpness * pieces.logp, -np.inf)  # -1, for no piece, is the last
+    total = np.full((width + 1, words), -np.inf)
+    total[0] = 0
+    share = np.full((words, width + 1, most), 2, np.float32)  # above any draw, where no piece ends
+    ids = np.full((words, width + 1, most), -1, np.int32)
+    length = np.zeros((width + 1, most), np.int64)
     with np.errstate(invalid="ignore", divide="ignore"):
-        for end in range(1, width + 1):
-            usable = [k for k, length in enumerate(lengths) if length <= end]
-            score = np.full((words, len(usable)), -np.inf)
-            for j, k in enumerate(usable):
-                at = end - lengths[k]
-                i = found[lengths[k]][:, at]
-                ids[:, end, k] = i
-                score[:, j] = np.where(i >= 0, sharpness * pieces.logp[i] + total[:, at], -np.inf)
-            best = score.max(axis=1)
-            weight = np.exp(score - np.where(np.isfinite(best), best, 0)[:, None])
-            mass = weight.sum(axis=1)
-            total[:, end] = np.where(mass > 0, best + np.log(mass), -np.inf)
-            share[:, end, : len(usable)] = np.cumsum(weight, axis=1) / np.maximum(mass, 1e-300)[:, None]
-    return share, ids, lengths
+        for end, lengths in enumerate(choices):
+            if not lengths:
+                continue
+            length[end, : len(lengths)] = lengths
+            score = np.empty((len(lengths), words))
+            for j, k in enumerate(lengths):
+                i = found[k][:, end - k]
+                ids[:, end, j] = i
+                score[j] = logp[i] + total[end - k]
+            best = score.max(axis=0)
+            weight = np.exp(score - np.where(best > -np.inf, best, 0))
+            mass = np.cumsum(weight, axis=0)
+            total[end] = best + np.log(mass[-1])
+            share[:, end, : len(lengths)] = (mass / np.maximum(mass[-1], 1e-300)).T
+    return share, ids, length
 
 
 def _uniform(seed: np.ndarray, step: int) -> np.ndarray:
@@ -66,8 +73,7 @@ def sample_block(pieces: pc.Pieces, data: np.ndarray, offsets: np.ndarray, seeds
     cuts = np.searchsorted(number[by_word], np.arange(len(chosen) + 1))
     word_of, step_of, id_of = [], [], []
     for part, rows, n in pc.by_length(data, starts, chosen):
-        share, ids, lengths = forward(pieces, rows, n, sharpness)
-        length = np.array(lengths)
+        share, ids, length = forward(pieces, rows, n, sharpness)
         count = cuts[part + 1] - cuts[part]
         local = np.repeat(np.arange(len(part)), count)
         spot = np.repeat(cuts[part], count) + np.arange(len(local)) - np.repeat(np.cumsum(count) - count, count)
@@ -78,7 +84,7 @@ def sample_block(pieces: pc.Pieces, data: np.ndarray, offsets: np.ndarray, seeds
             while len(row):
                 u = _uniform(seed[occ], step)
                 s = share[row, at]
-                pick = np.minimum((u[:, None] >= s).sum(axis=1), len(lengths) - 1)
+                pick = np.minimum((u[:, None] >= s).sum(axis=1), share.shape[2] - 1)
                 got = ids[row, at, pick]
                 # rounding may point past the last piece that is there
                 while (bad := got < 0).any():
@@ -87,7 +93,7 @@ def sample_block(pieces: pc.Pieces, data: np.ndarray, offsets: np.ndarray, seeds
                 word_of.append(occ)
                 step_of.append(np.full(len(occ), step))
                 id_of.append(got)
-                at = at - length[pick]
+                at = at - length[at, pick]
                 on = at > 0
                 row, occ, at, step = row[on], occ[on], at[on], step + 1
     word, step, ids = np.concatenate(word_of), np.concatenate(step_of), np.concatenate(id_of)
@@ -98,7 +104,7 @@ def sample_block(pieces: pc.Pieces, data: np.ndarray, offsets: np.ndarray, seeds
 def _encode(batches: Iterator[pa.RecordBatch], sent, sharpness: float, keep: list[str]) -> Iterator[pa.RecordBatch]:
     pieces = sent.value
     for batch in batches:
-        for first, end, data, offsets in wh.blocks(batch.column("text")):
+        for first, end, data, offsets in wh.blocks(batch.column("text"), BLOCK_BYTES):
             seeds = batch.column("seed").slice(first, end - first).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             ids, counts = sample_block(pieces, data, offsets, seeds, sharpness)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids, pa.int32()))
