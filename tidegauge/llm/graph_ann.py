@@ -70,7 +70,8 @@ def prune(x: np.ndarray, of: np.ndarray, candidates: np.ndarray, degree: int, al
     """Diverse neighbours of entries ``of`` from their ``candidates`` (-1 pads)."""
     bad = (candidates < 0) | (candidates == of[:, None])
     c = np.where(bad, 0, candidates)
-    d = ((x[c] - x[of][:, None]) ** 2).sum(axis=2)
+    norms = (x * x).sum(axis=1)
+    d = norms[c] + norms[of][:, None] - 2 * np.einsum("qcd,qd->qc", x[c], x[of])
     d[bad] = np.inf
     order = np.argsort(d, axis=1, kind="stable")
     row = np.arange(len(of))
@@ -80,7 +81,7 @@ def prune(x: np.ndarray, of: np.ndarray, candidates: np.ndarray, degree: int, al
     sorted_ids = c[row[:, None], by_id]
     again[row[:, None], by_id[:, 1:]] = sorted_ids[:, 1:] == sorted_ids[:, :-1]
     d[again & ~np.isinf(d)] = np.inf  # one of each
-    vectors = x[c]
+    vectors, sizes = x[c], norms[c]
     out = np.full((len(of), degree), -1, np.int64)
     for k in range(degree):
         first = d.argmin(axis=1)
@@ -88,7 +89,7 @@ def prune(x: np.ndarray, of: np.ndarray, candidates: np.ndarray, degree: int, al
         if not found.any():
             break
         out[found, k] = c[row, first][found]
-        between = ((vectors - vectors[row, first][:, None]) ** 2).sum(axis=2)
+        between = sizes + sizes[row, first][:, None] - 2 * np.einsum("qcd,qd->qc", vectors, vectors[row, first])
         d[(alpha * alpha * between <= d) & found[:, None]] = np.inf
         d[row, first] = np.inf
     return out
@@ -117,20 +118,32 @@ def build(x: np.ndarray, *, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha:
 
 
 def _draw_back(x: np.ndarray, graph: np.ndarray, of: np.ndarray, degree: int, alpha: float) -> None:
-    """Add the edges of ``of`` the other way round."""
-    to = graph[of].ravel()
-    source = np.repeat(of, degree)[to >= 0]
-    to = to[to >= 0]
+    """Add the edges of ``of`` the other way round; where there is no room, prune."""
+    to, source = graph[of].ravel(), np.repeat(of, degree)
+    new = to >= 0
+    new[new] = ~(graph[to[new]] == source[new][:, None]).any(axis=1)
+    to, source = to[new], source[new]
     order = np.argsort(to, kind="stable")
     to, source = to[order], source[order]
     targets, first, counts = np.unique(to, return_index=True, return_counts=True)
+    held = (graph[targets] >= 0).sum(axis=1)
+    fits = held + counts <= degree
+    room = np.repeat(fits, counts)
     nth = np.arange(len(to)) - np.repeat(first, counts)
-    extra = np.full((len(targets), int(counts.max()) if len(counts) else 0), -1, np.int64)
-    extra[np.repeat(np.arange(len(targets)), counts), nth] = source
-    wide = 1 + (1 << 22) // max(1, (degree + extra.shape[1]) * x.shape[1])
-    for i in range(0, len(targets), wide):
-        t = targets[i : i + wide]
-        graph[t] = prune(x, t, np.concatenate([graph[t], extra[i : i + wide]], axis=1), degree, alpha)
+    graph[to[room], (np.repeat(held, counts) + nth)[room]] = source[room]
+    # entries that gain about as many edges are pruned together
+    size = np.ceil(np.log2(np.maximum(counts, 4))).astype(int)
+    for g in np.unique(size[~fits]):
+        chosen = np.flatnonzero(~fits & (size == g))
+        step = max(1, (1 << 21) // ((degree + (1 << g)) * x.shape[1]))
+        for i in range(0, len(chosen), step):
+            c = chosen[i : i + step]
+            extra = np.full((len(c), 1 << g), -1, np.int64)
+            row = np.repeat(np.arange(len(c)), counts[c])
+            column = np.arange(len(row)) - np.repeat(np.cumsum(counts[c]) - counts[c], counts[c])
+            extra[row, column] = source[np.repeat(first[c], counts[c]) + column]
+            t = targets[c]
+            graph[t] = prune(x, t, np.concatenate([graph[t], extra], axis=1), degree, alpha)
 
 
 def usable(vector: Column) -> Column:
