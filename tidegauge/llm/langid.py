@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,11 +115,17 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _fit(rows: list, labels: list[str], s: Settings) -> Model:
+def _fit(rows: pa.Table, labels: list[str], s: Settings) -> Model:
     """Plain SGD, one text at a time, then temperature and threshold on the held-back fifth."""
     rng = np.random.default_rng(7)
     number = {x: i for i, x in enumerate(labels)}
-    data = [(np.asarray(r["at"], np.int64), np.asarray(r["share"], np.float32), number[r["lang"]], r["whole"], (r["draw"] >> 8) % 1000 < 1000 * s.held_back) for r in rows]
+    lists = rows.column("at").combine_chunks()
+    at, share = np.asarray(lists.flatten(), np.int64), np.asarray(rows.column("share").combine_chunks().flatten(), np.float32)
+    ends = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))])
+    heads = list(zip(rows.column("draw").to_pylist(), rows.column("lang").to_pylist(), rows.column("whole").to_pylist(), strict=True))
+    # rows arrive in any order; equal ones are interchangeable
+    order = sorted(range(len(heads)), key=lambda i: (*heads[i][:2], not heads[i][2], ends[i + 1] - ends[i], at[ends[i] : ends[i + 1]].tobytes()))
+    data = [(at[ends[i] : ends[i + 1]], share[ends[i] : ends[i + 1]], number[heads[i][1]], heads[i][2], (heads[i][0] >> 8) % 1000 < 1000 * s.held_back) for i in order]
     train, back = [d for d in data if not d[4]], [d for d in data if d[4]]
     train, back = train or back, back or train
     embed = rng.normal(0, 0.1, (BUCKETS, s.dimensions)).astype(np.float32)
@@ -161,8 +168,7 @@ def train(rows: DataFrame, *, key: str, text: str, lang: str, settings: Settings
     share = F.create_map(*[x for k in labels for x in (F.lit(k), F.lit(min(1.0, settings.per_label / counts[k])))])
     sample = labelled.select(F.col(lang).alias("lang"), draw.alias("draw"), F.col(text).alias("text")).filter(F.pmod("draw", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
     sample = sample.select("lang", "draw", _padded(F.col("text")).alias("text"))
-    got = sample.mapInArrow(lambda b, k=settings.fragments: _sample_features(b, k), "lang string, draw long, whole boolean, at array<int>, share array<float>").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["draw"], r["lang"], not r["whole"], len(r["at"]), r["at"]))
+    got = sample.mapInArrow(lambda b, k=settings.fragments: _sample_features(b, k), "lang string, draw long, whole boolean, at array<int>, share array<float>").toArrow()
     return _fit(got, labels, settings)
 
 
