@@ -65,7 +65,7 @@ def lake_pass(spark, sf, readings) -> None:
     wins = materialize(wins, "bench-windows")
     run(
         windows.interval_join(
-            readings, wins, node="node", ts="ts_ms", t0="t0_ms", t1="t1_ms", bucket_ms=1_200_000, window_rows=wins.count()
+            readings, wins, node="node", ts="ts_ms", t0="t0_ms", t1="t1_ms", bucket_ms=1_200_000
         )
     )
 

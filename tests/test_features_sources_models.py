@@ -1,11 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.operators import features, models, small
+from tidegauge.operators import completeness, features, models
 from tidegauge.operators.small import literal_table
 from tidegauge.plans import settings
 from tidegauge.plans.stages import analyses
-from tidegauge.session import scratch_path
+from tidegauge.session import is_one_machine, scratch_path
 from tidegauge.sources import tables
 
 
@@ -46,10 +46,24 @@ def test_request_columns_sort_categories_as_numbers(spark):
     assert shares == {"b0_n": 0.0, "b0_t": pytest.approx(1 / 3)}
 
 
-def test_small_table_refuses_to_cut(spark):
-    assert small.small_table(spark.range(5), 5, "five").count() == 5
-    with pytest.raises(Exception, match="more than 4 rows"):
-        small.small_table(spark.range(5), 4, "five").collect()
+def test_many_categories_of_any_kind(spark):
+    df = spark.range(1500).selectExpr("cast(id AS string) AS qos").unionByName(spark.createDataFrame([("high",), ("low",), (None,)], "qos string"))
+    cats = features.category_list(df, "qos")
+    assert cats[:3] == ["0", "1", "2"] and cats[-2:] == ["high", "low"] and len(cats) == 1502
+
+
+def test_many_channels_and_thresholds(spark):
+    channels = spark.range(1500).selectExpr("cast(id AS string) AS channel", "20 AS cadence_s")
+    counts = channels.selectExpr("channel", "1 AS job_id", "2 AS node", "60 AS n")
+    assert completeness.node_fractions(counts, channels, channel="channel", window_s=1200.0).filter("frac = 1").count() == 1500
+    free = spark.createDataFrame([("R0", "a", 0.0), ("R0", "b", 0.0)], "rule string, channel string, threshold double")
+    frac = spark.createDataFrame([(1, "a", 0.5)], "job_id int, channel string, frac double")
+    jobs = spark.createDataFrame([(1,), (2,)], "job_id int")
+    assert completeness.rule_membership(frac, free, job="job_id", channel="channel", jobs=jobs).count() == 2
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    assert is_one_machine("local[8]") and is_one_machine("local") and not is_one_machine("local-cluster[3,2,1024]") and not is_one_machine("yarn")
 
 
 def test_lake_scan_prunes_and_pushes(spark):

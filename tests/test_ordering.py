@@ -85,5 +85,5 @@ def test_plans_limit_groups_on_the_map_side_and_avoid_nested_loops(spark, skewed
     wins = df.select("k", F.col("id").alias("t0"), (F.col("id") + 10).alias("t1"))
     joined = windows.interval_join(df, wins, node="k", ts="m", t0="t0", t1="t1", bucket_ms=10)
     assert "NestedLoop" not in plan(joined) and "Cartesian" not in plan(joined)
-    small = windows.interval_join(df, wins, node="k", ts="m", t0="t0", t1="t1", bucket_ms=10, window_rows=3000)
+    small = windows.interval_join(df, wins, node="k", ts="m", t0="t0", t1="t1", bucket_ms=10)
     assert "BroadcastHashJoin" in plan(small)

@@ -7,12 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.operators.small import small_table
-
-#: Study-sized tables: channels, and (rule, channel) thresholds.
-MAX_CHANNELS = 1_000
-MAX_THRESHOLDS = 20_000
-
 TOLERANCE = 1e-9
 
 
@@ -29,7 +23,7 @@ def node_fractions(counts: DataFrame, channels: DataFrame, *, channel: str, wind
     """
     beats = channels.select(channel, (F.lit(float(window_s)) / F.col("cadence_s")).alias("expected"))
     share = F.least(F.col("n").cast("double"), F.col("expected")) / F.col("expected")
-    return counts.join(small_table(beats, MAX_CHANNELS, "channels"), channel).withColumn("frac", share)
+    return counts.join(beats, channel).withColumn("frac", share)
 
 
 def nodes_per_job(windows: DataFrame, *, job: str) -> DataFrame:
@@ -67,23 +61,29 @@ def rule_thresholds(typical: DataFrame, fixed: dict[str, float], *, channel: str
     return typical.select(channel, F.explode(F.array(*levels)).alias("l")).select(channel, "l.rule", "l.threshold")
 
 
-def rule_membership(job_frac: DataFrame, thresholds: DataFrame, *, job: str, channel: str) -> DataFrame:
+def rule_membership(job_frac: DataFrame, thresholds: DataFrame, *, job: str, channel: str, jobs: DataFrame | None = None) -> DataFrame:
     """(job, rule) for every job that reaches the rule's threshold in all of the rule's channels.
 
     An absent fraction is 0, so it fails every positive threshold: a job passes
-    when it reaches as many channels as the rule asks for.
+    when it reaches as many channels as the rule asks for.  A rule whose
+    thresholds are all 0 asks for nothing; where ``jobs`` is given, all of them
+    pass it, those without any reading too.
     """
     level = F.col("threshold") - TOLERANCE
     asked = thresholds.filter(level > 0)
     need = asked.groupBy("rule").agg(F.count("*").alias("__need"))
-    rules = small_table(asked.join(need, "rule"), MAX_THRESHOLDS, "thresholds")
-    return (
+    rules = asked.join(need, "rule")
+    passed = (
         job_frac.join(rules, channel)
         .groupBy(job, "rule")
         .agg(F.count_if(F.col("frac") >= level).alias("__met"), F.max("__need").alias("__need"))
         .filter(F.col("__met") == F.col("__need"))
         .select(job, "rule")
     )
+    if jobs is None:
+        return passed
+    free = thresholds.groupBy("rule").agg(F.max(level).alias("__most")).filter(F.col("__most") <= 0).select("rule")
+    return passed.unionByName(jobs.select(job).distinct().crossJoin(free))
 
 
 def completeness_table(

@@ -88,16 +88,14 @@ def wide_stats(stats: DataFrame, groups: Sequence[str], *, job: str) -> DataFram
     return stats.groupBy(job).agg(*aggs)
 
 
-def category_list(df: DataFrame, column: str, limit: int = 1000) -> list[str]:
-    """Distinct values of a request column in numeric order.
+def category_list(df: DataFrame, column: str) -> list[str]:
+    """Distinct values of a request column, numbers first and in numeric order, then the others.
 
-    The values name output columns, so they must be known when the plan is
-    built; a column with more than ``limit`` values is refused.
+    The values name output columns, so they must be known when the plan is built.
     """
-    rows = df.select(F.col(column).cast("string").alias("v")).distinct().filter("v is not null").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column}: more than {limit} categories")
-    return sorted((r.v for r in rows), key=lambda v: (int(v), v))
+    rows = df.select(F.col(column).cast("string").alias("v")).distinct().filter("v is not null").collect()
+    number = lambda v: (0, int(v), v) if v.lstrip("-").isdecimal() else (1, 0, v)
+    return sorted((r.v for r in rows), key=number)
 
 
 def request_columns(

@@ -78,7 +78,7 @@ def running_totals(
     """Running and total sums of ``measures`` in ``order`` within ``keys``.
 
     Input rows must be unique on ``keys + order`` (aggregate ties first), and
-    keys must not be NULL.  Adds ``run_<m>`` (inclusive) and ``tot_<m>``.
+    rows without a key are a key of their own.  Adds ``run_<m>`` (inclusive) and ``tot_<m>``.
 
     Rows are placed by (keys, chunk) in one exchange that the running sums and
     the chunk totals share.  ``tasks`` fixes its width where the work per byte
@@ -100,12 +100,12 @@ def running_totals(
     across = W.partitionBy(*keys).orderBy(F.desc("__chunk") if descending else F.asc("__chunk"))
     earlier, whole = across.rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys)
     carry = sums.select(
-        *keys,
-        "__chunk",
+        *[F.col(k).alias(f"__k_{k}") for k in (*keys, "__chunk")],
         *[F.coalesce(F.sum(f"__c_{m}").over(earlier), F.lit(0)).alias(f"__before_{m}") for m in measures],
         *[F.sum(f"__c_{m}").over(whole).alias(f"tot_{m}") for m in measures],
     )
-    out = local.join(carry, [*keys, "__chunk"])
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in (*keys, "__chunk")]
+    out = local.join(carry, same)
     return out.select(
         *df.columns,
         *[(F.col(f"__in_{m}") + F.col(f"__before_{m}")).alias(f"run_{m}") for m in measures],

@@ -18,12 +18,17 @@ from tidegauge.operators.windows import pearson
 
 
 def holm(df: DataFrame, keys: Sequence[str], p: str, name: str = "p_holm") -> DataFrame:
-    """Holm step-down adjusted p-values within ``keys``; ties get equal values."""
-    order = W.partitionBy(*keys).orderBy(p)
-    size = F.count("*").over(W.partitionBy(*keys))
+    """Holm step-down adjusted p-values within ``keys``; ties get equal values.
+
+    An item without a p-value is no test: it does not count, and its adjusted
+    value is NULL.
+    """
+    order = W.partitionBy(*keys).orderBy(F.col(p).asc_nulls_last())
+    size = F.count(p).over(W.partitionBy(*keys))
     stepped = df.withColumn("__s", (size - F.row_number().over(order) + 1) * F.col(p))
     upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    return stepped.withColumn(name, F.least(F.lit(1.0), F.max("__s").over(upto))).drop("__s")
+    adjusted = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.max("__s").over(upto)))
+    return stepped.withColumn(name, adjusted).drop("__s")
 
 
 def holm_real_only(gains: DataFrame, keys: Sequence[str], p: str, name: str) -> DataFrame:

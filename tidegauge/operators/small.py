@@ -1,4 +1,4 @@
-"""Broadcast of study-sized tables, with the size proven at run time."""
+"""Tables of constants."""
 
 from __future__ import annotations
 
@@ -8,20 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def small_table(df: DataFrame, max_rows: int, what: str) -> DataFrame:
-    """``df`` with a broadcast hint that is only honoured up to ``max_rows`` rows.
-
-    For tables sized by the study's own lists (channels, rules, populations,
-    models), never for anything that grows with the data.  At most
-    ``max_rows + 1`` rows are gathered; one row too many fails the query
-    instead of dropping anything.
-    """
-    packed = df.limit(max_rows + 1).agg(F.collect_list(F.struct(*df.columns)).alias("__rows"))
-    message = F.lit(f"{what}: more than {max_rows} rows, not a study-sized table")
-    checked = F.when(F.size("__rows") <= max_rows, F.col("__rows")).otherwise(F.raise_error(message))
-    return F.broadcast(packed.select(F.explode(checked).alias("__r")).select("__r.*"))
-
-
 def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A table of constants as a plan of literals: no Python rows are shipped and its tiny size is known to the planner."""
     fields = [f.strip().split(" ", 1) for f in schema.split(",")]

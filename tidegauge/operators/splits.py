@@ -15,12 +15,9 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import columns as C
 from tidegauge.operators import ordering
-from tidegauge.operators.small import small_table
+from tidegauge.operators.small import literal_table
 from tidegauge.session import materialize
 
-#: A population is an entry of a study's own list.
-MAX_POPULATIONS = 10_000
-
 
 def end_counts(rows: DataFrame, *, population: str, end: str, positive: Column) -> DataFrame:
     """Rows and positives per distinct end time with running and total counts.
@@ -52,13 +49,12 @@ def split_limits(rows: DataFrame, *, population: str, end: str, positive: Column
         first_end(F.col("run_pos") >= F.col("tot_pos") / 3).alias("b1"),
         first_end(F.col("run_pos") >= 2 * F.col("tot_pos") / 3).alias("b2"),
     )
-    outer_small = small_table(outer, MAX_POPULATIONS, "populations")
     block = F.when(F.col("end_at") <= F.col("b1"), 1).when(F.col("end_at") <= F.col("b2"), 2).otherwise(3)
-    blocked = ran.select(population, "end_at", "n", "run_n").join(outer_small, population).withColumn("block", block)
+    blocked = ran.select(population, "end_at", "n", "run_n").join(outer, population).withColumn("block", block)
     sizes = blocked.groupBy(population, "block").agg(F.min(F.col("run_n") - F.col("n")).alias("before"), F.max("run_n").alias("upto"))
     inner_target = C.half_even(share * (F.col("upto") - F.col("before")))
     inner = (
-        blocked.join(small_table(sizes, 3 * MAX_POPULATIONS, "blocks"), [population, "block"])
+        blocked.join(sizes, [population, "block"])
         .groupBy(population, "block")
         .agg(first_end((F.col("run_n") - F.col("before") >= inner_target) & (inner_target > 0)).alias("cut"))
         .groupBy(population)
@@ -94,12 +90,14 @@ def split_ranges(limits: DataFrame, *, population: str) -> DataFrame:
 def assign_splits(rows: DataFrame, ranges: DataFrame, *, population: str, end: str) -> DataFrame:
     """Each row once per split it belongs to (main and one block), with ``split`` and ``role``.
 
-    ``ranges`` has eight rows per population.
+    ``ranges`` has eight rows per population.  They are written first, so Spark
+    broadcasts them by their measured size, or else shuffles and splits a
+    population that holds most rows.
     """
-    small = small_table(ranges, 8 * MAX_POPULATIONS, "split ranges")
+    ranges = materialize(ranges, "split-ranges")
     at = F.col(end).cast("timestamp")
     inside = (F.col("after").isNull() | (at > F.col("after"))) & (F.col("upto").isNull() | (at <= F.col("upto")))
-    return rows.join(small, population).filter(inside).drop("after", "upto")
+    return rows.join(ranges, population).filter(inside).drop("after", "upto")
 
 
 def temporal_splits(rows: DataFrame, *, population: str, end: str, positive: Column, test_frac: float = 0.2) -> DataFrame:
@@ -147,9 +145,11 @@ def split_violations(members: DataFrame, *, population: str, end: str, total: Da
     return found
 
 
-def rule_viability(members: DataFrame, *, rule: str, user: str, targets: dict[str, str], main: str) -> DataFrame:
+def rule_viability(members: DataFrame, *, rule: str, user: str, targets: dict[str, str], main: str, rules: Sequence[str] = ()) -> DataFrame:
     """Per rule: rows, positives per target, positives in every test set, users with a ``main`` positive in
-    the main test, and the smallest number of ``main`` positives over the block tests."""
+    the main test, and the smallest number of ``main`` positives over the block tests.
+
+    Every rule of ``rules`` has a row, with zeros where nobody passes it."""
     splits = ("main", "block1", "block2", "block3")
     is_main = F.col("split") == "main"
     aggs = [F.count_if(is_main).alias("jobs")]
@@ -162,17 +162,28 @@ def rule_viability(members: DataFrame, *, rule: str, user: str, targets: dict[st
     aggs.append(F.countDistinct(F.when(hit, F.col(user))).alias("users_with_failure_in_main_test"))
     suffix = targets[main]
     blocks = [F.col(f"block{k}_test_pos_{suffix}") for k in (1, 2, 3)]
-    return members.groupBy(rule).agg(*aggs).withColumn("min_block_pos", F.least(*blocks))
+    counted = members.groupBy(rule).agg(*aggs).withColumn("min_block_pos", F.least(*blocks))
+    if not rules:
+        return counted
+    listed = literal_table(members.sparkSession, [(r,) for r in rules], f"{rule} string")
+    return listed.join(counted, rule, "left").fillna(0)
 
 
 def positives_per_test(members: DataFrame, *, population: str, queue: str, queues: Sequence[str], targets: dict[str, str]) -> DataFrame:
-    """(population, split, target, positives) for every test set and, in the main test, for every listed queue."""
+    """(population, split, target, positives) for every test set and, in the main test, for every listed queue.
+
+    Every population of ``members`` has all sets, with zeros where a set has no row.
+    """
     tests = members.filter(F.col("role") == "test")
     main_queue = F.when((F.col("split") == "main") & F.col(queue).isin(list(queues)), F.concat(F.lit("main, queue "), F.col(queue).cast("string")))
     tagged = tests.withColumn("__set", F.explode(F.filter(F.array(F.col("split"), main_queue), lambda t: t.isNotNull())))
     cells = F.array(*[F.struct(F.lit(s).alias("target"), (F.col(label) == 1).alias("hit")) for label, s in targets.items()])
     long = tagged.select(population, F.col("__set").alias("split"), F.explode(cells).alias("c"))
-    return long.groupBy(population, "split", F.col("c.target").alias("target")).agg(F.count_if("c.hit").alias("positives"))
+    counted = long.groupBy(population, "split", F.col("c.target").alias("target")).agg(F.count_if("c.hit").alias("positives"))
+    sets = ["main", "block1", "block2", "block3", *[f"main, queue {q}" for q in queues]]
+    cells = F.array(*[F.struct(F.lit(s).alias("split"), F.lit(t).alias("target")) for s in sets for t in targets.values()])
+    listed = members.select(population).distinct().select(population, F.inline(cells))
+    return listed.join(counted, [population, "split", "target"], "left").fillna(0, ["positives"])
 
 
 def below_floor(positives: DataFrame, floor: int) -> DataFrame:

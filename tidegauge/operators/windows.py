@@ -12,8 +12,6 @@ from tidegauge.functions import columns as C
 from tidegauge.operators import ordering
 
 
-#: Most windows to broadcast: two buckets each at about 60 bytes, some 250 MB on an executor.
-BROADCAST_WINDOWS = 2_000_000
 
 
 def node_windows(jobs: DataFrame, *, job: str, t0_ms: str, nodes: str, window_ms: int) -> DataFrame:
@@ -32,7 +30,6 @@ def interval_join(
     t0: str,
     t1: str,
     bucket_ms: int,
-    window_rows: int | None = None,
 ) -> DataFrame:
     """Every (window, reading) pair on the same node with ``t0 <= ts < t1``.
 
@@ -41,19 +38,12 @@ def interval_join(
     one, so the join is an equi-join on (node, bucket): Spark hashes, sorts or
     broadcasts it as sizes tell, AQE splits skewed buckets, and one busy node is
     already spread over its buckets.  No pair can appear twice.
-
-    ``window_rows``: the counted size of ``windows``.  Up to
-    :data:`BROADCAST_WINDOWS` they go to every executor and the readings are
-    joined where they are read; above it, or uncounted, Spark decides by its
-    own statistics and shuffles both sides if it must.
     """
     bucketed = readings.withColumn("__bucket", C.floor_div(ts, bucket_ms))
     last = C.floor_div(F.col(t1) - 1, bucket_ms)
     unfolded = windows.filter(F.col(t1) > F.col(t0)).withColumn(
         "__bucket", F.explode(F.sequence(C.floor_div(t0, bucket_ms), last))
     )
-    if window_rows is not None and window_rows <= BROADCAST_WINDOWS:
-        unfolded = F.broadcast(unfolded)
     return bucketed.join(unfolded, [node, "__bucket"]).filter(C.in_half_open(ts, t0, t1)).drop("__bucket")
 
 
@@ -73,13 +63,18 @@ def event_aligned(
     return pairs.withColumn("rel_ms", F.col(ts) - F.col(at)).drop("__t0", "__t1")
 
 
-def aligned_profile(pairs: DataFrame, *, value: str, lo_ms: int, hi_ms: int, bin_ms: int) -> DataFrame:
-    """Mean value per bin of ``rel_ms`` over ``[lo, hi)``; a bin without readings has mean 0 and count 0."""
+def aligned_profile(pairs: DataFrame, *, value: str, lo_ms: int, hi_ms: int, bin_ms: int, places: int | None = None) -> DataFrame:
+    """Mean value per bin of ``rel_ms`` over ``[lo, hi)``; a bin without readings has mean 0 and count 0.
+
+    ``places``: add values as decimals of so many places and divide once, so that
+    the order in which Spark adds them cannot show in the last digit.
+    """
+    mean = F.avg(value) if places is None else F.sum(F.col(value).cast(f"decimal(28,{places})")).cast("double") / F.count(value)
     n_bins = (hi_ms - lo_ms) // bin_ms
     sums = (
         pairs.filter((F.col("rel_ms") >= lo_ms) & (F.col("rel_ms") < hi_ms))
         .groupBy(C.floor_div(F.col("rel_ms") - lo_ms, bin_ms).alias("bin"))
-        .agg(F.count(value).alias("n"), F.avg(value).alias("mean_value"))
+        .agg(F.count(value).alias("n"), mean.alias("mean_value"))
     )
     scaffold = pairs.sparkSession.range(n_bins).select(F.col("id").alias("bin"))
     return scaffold.join(sums, "bin", "left").select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.operators import cohort, completeness, evaluate, features, inventory, models, ranking, rules, splits, windows
-from tidegauge.operators.small import literal_table, small_table
+from tidegauge.operators.small import literal_table
 from tidegauge.plans import settings
 from tidegauge.plans.settings import Study
 from tidegauge.session import materialize
@@ -34,12 +34,9 @@ def windows_stage(jobs: DataFrame, study: Study) -> DataFrame:
 
 
 def window_readings_stage(readings: DataFrame, job_windows: DataFrame, study: Study) -> DataFrame:
-    """Readings inside the windows, one per (channel, job, node, timestamp).
-
-    ``job_windows`` is a written table, so counting it reads only footers.
-    """
+    """Readings inside the windows, one per (channel, job, node, timestamp)."""
     pairs = windows.interval_join(
-        readings, job_windows, node="node", ts="ts_ms", t0="t0_ms", t1="t1_ms", bucket_ms=study.window_s * 1000, window_rows=job_windows.count()
+        readings, job_windows, node="node", ts="ts_ms", t0="t0_ms", t1="t1_ms", bucket_ms=study.window_s * 1000
     )
     # a timestamp repeated on a node keeps its smallest value; one primitive per key, so copies combine before the shuffle
     return pairs.groupBy("channel", "job_id", "node", "ts_ms", "t0_ms").agg(F.min("value").alias("value"))
@@ -79,9 +76,10 @@ def completeness_stage(jobs: DataFrame, job_windows: DataFrame, window_readings:
     )
     typical = completeness.typical_delivery(fractions, channel="channel", share_at=settings.TYPICAL_LEVEL)
     thresholds = completeness.rule_thresholds(typical, settings.RULES_FIXED, channel="channel", relative=settings.RULES_RELATIVE)
-    members = materialize(completeness.rule_membership(per_job, thresholds, job="job_id", channel="channel"), "rule-members")
+    members = materialize(completeness.rule_membership(per_job, thresholds, job="job_id", channel="channel", jobs=gpu), "rule-members")
     placed = splits.temporal_splits(gpu.join(members, "job_id"), population="rule", end="end_time", positive=F.col("target_a") == 1)
-    viability = splits.rule_viability(placed, rule="rule", user="user_id", targets=SUFFIX, main="target_a")
+    asked = [*settings.RULES_FIXED, *settings.RULES_RELATIVE]
+    viability = splits.rule_viability(placed, rule="rule", user="user_id", targets=SUFFIX, main="target_a", rules=asked)
     outcome = completeness.choose_rule(
         viability, completeness.typical_test(typical, settings.TYPICAL_LEVEL), floor=study.floor, strict="R80", relative="Rrel", fallback="R1"
     )
@@ -113,7 +111,7 @@ def populations_report(jobs: DataFrame, flags: DataFrame) -> DataFrame:
 
 def features_stage(jobs: DataFrame, flags: DataFrame, window_readings: DataFrame, inv: DataFrame, study: Study) -> tuple[DataFrame, list[str]]:
     """One row per GPU job: ids, labels, request baseline, group statistics and the three placebo families."""
-    used = small_table(inv.filter(~F.col("constant")).select("channel", "cadence_s"), completeness.MAX_CHANNELS, "channels")
+    used = inv.filter(~F.col("constant")).select("channel", "cadence_s")
     gpu = jobs.filter("gpu")
     mine = window_readings.join(gpu.select("job_id"), "job_id", "left_semi").join(used, "channel")
     series = features.window_series(mine, job="job_id", channel="channel", node="node", ts="ts_ms", t0="t0_ms", value="value", cadence_s="cadence_s")

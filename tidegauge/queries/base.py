@@ -115,7 +115,7 @@ def channel_table(spark: SparkSession) -> DataFrame:
 #: Purchases as jobs on two nodes each; the amount decides the final state.
 SALES_SQL = """
 SELECT event_id AS job_id, user_id, epoch_us(ts) // 1000 AS t0_ms, ts AS start_time, ts + INTERVAL 48 HOUR AS end_time, value,
-       [user_id, (user_id + 37) % 150] AS nodes,
+       [user_id, (user_id + 37) % (SELECT count(*) FROM customer)] AS nodes,
        CASE WHEN value > 60 THEN 'F' WHEN value < 15 THEN 'P' ELSE 'O' END AS job_state,
        CASE WHEN value > 60 THEN 1.0::DOUBLE WHEN value < 15 THEN NULL ELSE 0.0::DOUBLE END AS target_a,
        CASE WHEN value > 60 THEN NULL WHEN value < 15 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS target_b
@@ -140,7 +140,7 @@ def sales(spark: SparkSession, sf: str) -> DataFrame:
             F.col("ts").cast("timestamp").alias("start_time"),
             (F.col("ts").cast("timestamp") + F.expr("INTERVAL 48 HOURS")).alias("end_time"),
             "value",
-            F.array(F.col("user_id"), (F.col("user_id") + 37) % 150).alias("nodes"),
+            F.array(F.col("user_id"), (F.col("user_id") + 37) % table(spark, sf, "customer").count()).alias("nodes"),
             state.alias("job_state"),
         )
     )

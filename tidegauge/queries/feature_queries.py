@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.operators import checks, features
-from tidegauge.operators.small import small_table
 from tidegauge.queries import base
 from tidegauge.queries.base import CADENCE_SQL, JOBS_SQL, PAIRS_SQL, SALES_SQL, query, rounded, table
 
@@ -38,7 +37,7 @@ WIDE_SQL = (
 
 
 def series(spark, sf):
-    beats = small_table(base.channel_table(spark), 100, "channels")
+    beats = base.channel_table(spark)
     pairs = base.window_pairs(spark, sf).join(beats, "channel")
     return features.window_series(pairs, job="job_id", channel="channel", node="node", ts="ts_ms", t0="t0_ms", value="value", cadence_s="cadence_s")
 

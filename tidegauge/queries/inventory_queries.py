@@ -200,13 +200,15 @@ v AS (SELECT rule, count(*) FILTER (split = 'main') AS jobs, count(*) FILTER (sp
   count(*) FILTER (split = 'main' AND target_b = 1) AS pos_b,
   {', '.join(f"count(*) FILTER (split = '{s}' AND role = 'test' AND target_{t} = 1) AS {s}_test_pos_{t}" for s in ('main', 'block1', 'block2', 'block3') for t in 'ab')},
   count(DISTINCT user_id) FILTER (split = 'main' AND role = 'test' AND target_a = 1) AS users_with_failure_in_main_test
-FROM mem GROUP BY rule)
-SELECT *, least(block1_test_pos_a, block2_test_pos_a, block3_test_pos_a) AS min_block_pos FROM v"""
+FROM mem GROUP BY rule),
+zz AS (SELECT r.rule, COLUMNS(v.* EXCLUDE (rule)) FROM (VALUES {', '.join(f"('{r}')" for r in (*FIXED, *RELATIVE))}) AS r(rule) LEFT JOIN v ON v.rule = r.rule),
+yy AS (SELECT rule, coalesce(COLUMNS(* EXCLUDE (rule)), 0) FROM zz)
+SELECT *, least(block1_test_pos_a, block2_test_pos_a, block3_test_pos_a) AS min_block_pos FROM yy"""
 
 
 def viability(spark, sf):
     placed = splits.temporal_splits(_rule_rows(spark, sf), population="rule", end="end_time", positive=F.col("target_a") == 1)
-    return splits.rule_viability(placed, rule="rule", user="user_id", targets=base.SUFFIX, main="target_a")
+    return splits.rule_viability(placed, rule="rule", user="user_id", targets=base.SUFFIX, main="target_a", rules=[*FIXED, *RELATIVE])
 
 
 @query(VIABILITY_SQL)

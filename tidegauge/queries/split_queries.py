@@ -64,8 +64,10 @@ def split_invariants(spark, sf):
 {CHAIN_SQL}, t AS (SELECT population, split, target_a, target_b FROM mem WHERE role = 'test'
   UNION ALL SELECT population, 'main, queue ' || queue, target_a, target_b FROM mem WHERE role = 'test' AND split = 'main' AND queue IN ('1', '5')),
 l AS (SELECT population, split, 'a' AS target, count(*) FILTER (target_a = 1) AS positives FROM t GROUP BY ALL
-  UNION ALL SELECT population, split, 'b', count(*) FILTER (target_b = 1) FROM t GROUP BY ALL)
-SELECT * FROM l WHERE positives < 300""")
+  UNION ALL SELECT population, split, 'b', count(*) FILTER (target_b = 1) FROM t GROUP BY ALL),
+c AS (SELECT * FROM (SELECT DISTINCT population FROM mem), (VALUES ('main'), ('block1'), ('block2'), ('block3'), ('main, queue 1'), ('main, queue 5')) AS s(split),
+  (VALUES ('a'), ('b')) AS x(target))
+SELECT population, split, target, coalesce(positives, 0) AS positives FROM c LEFT JOIN l USING (population, split, target) WHERE coalesce(positives, 0) < 300""")
 def floors(spark, sf):
     pos = splits.positives_per_test(_members(spark, sf), population="population", queue="queue", queues=["1", "5"], targets=base.SUFFIX)
     return splits.below_floor(pos, 300)

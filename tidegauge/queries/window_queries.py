@@ -82,7 +82,7 @@ PROFILE_SQL = f"""
 WITH p AS (SELECT floor((r.ts_ms - e.t0_ms + {96 * HOUR_MS}) / {6 * HOUR_MS})::BIGINT AS bin, r.value
   FROM ({READINGS_SQL}) r JOIN ({SALES_SQL}) e ON r.node = e.user_id
    AND r.ts_ms >= e.t0_ms - {96 * HOUR_MS} AND r.ts_ms < e.t0_ms + {96 * HOUR_MS}),
-a AS (SELECT bin, count(value) AS n, avg(value) AS m FROM p GROUP BY bin)
+a AS (SELECT bin, count(value) AS n, sum(value::DECIMAL(28, 10))::DOUBLE / count(value) AS m FROM p GROUP BY bin)
 SELECT s.bin, s.bin * {6 * HOUR_MS} - {96 * HOUR_MS} AS bin_start_ms, coalesce(a.n, 0) AS n, round(coalesce(a.m, 0.0), 6) AS mean_value
 FROM (SELECT unnest(range(32))::BIGINT AS bin) s LEFT JOIN a USING (bin)"""
 
@@ -90,7 +90,7 @@ FROM (SELECT unnest(range(32))::BIGINT AS bin) s LEFT JOIN a USING (bin)"""
 def _profile(spark, sf):
     events = base.sales(spark, sf).select("job_id", F.col("user_id").alias("node"), "t0_ms")
     near = windows.event_aligned(base.readings(spark, sf), events, node="node", ts="ts_ms", at="t0_ms", before_ms=96 * HOUR_MS, after_ms=96 * HOUR_MS)
-    return windows.aligned_profile(near, value="value", lo_ms=-96 * HOUR_MS, hi_ms=96 * HOUR_MS, bin_ms=6 * HOUR_MS)
+    return windows.aligned_profile(near, value="value", lo_ms=-96 * HOUR_MS, hi_ms=96 * HOUR_MS, bin_ms=6 * HOUR_MS, places=10)
 
 
 @query(PROFILE_SQL)
@@ -106,22 +106,24 @@ def profile_largest_step(spark, sf):
 
 
 GRID_SQL = f"""
-SELECT vec_id, vec_id % 150 AS node, 1704067200000 + (vec_id % 240) * {HOUR_MS} AS start_ms, h * {HOUR_MS} AS shift_ms, k::INTEGER AS k,
+SELECT vec_id, vec_id % (SELECT count(*) FROM customer) AS node, 1704067200000 + (vec_id % 240) * {HOUR_MS} AS start_ms, h * {HOUR_MS} AS shift_ms, k::INTEGER AS k,
   embedding[k + 1] AS sample, 1704067200000 + (vec_id % 240) * {HOUR_MS} + h * {HOUR_MS} + k * {6 * HOUR_MS} AS grid_ms
 FROM embeddings, (SELECT unnest([-48, -24, 0, 24, 48])::BIGINT AS h), (SELECT unnest(range(48)) AS k)"""
 
 FORWARD_SQL = f"""
 WITH g AS ({GRID_SQL}), r AS ({READINGS_SQL}), e AS (SELECT node, max(ts_ms) AS last_ms FROM r GROUP BY node),
-nx AS (SELECT vec_id, shift_ms, k, min(ROW(ts_ms, value)) AS m FROM g JOIN r ON g.node = r.node AND ts_ms >= grid_ms AND ts_ms <= grid_ms + {24 * HOUR_MS} GROUP BY ALL),
-la AS (SELECT vec_id, shift_ms, k, max(ROW(ts_ms, value)) AS m FROM g JOIN r ON g.node = r.node AND ts_ms < grid_ms AND ts_ms >= grid_ms - {24 * HOUR_MS}
-       JOIN e ON e.node = g.node AND e.last_ms < grid_ms GROUP BY ALL)
-SELECT g.vec_id, g.shift_ms, g.k, g.sample, coalesce(nx.m, la.m)[1] AS match_ts, coalesce(nx.m, la.m)[2] AS match_value
-FROM g LEFT JOIN nx USING (vec_id, shift_ms, k) LEFT JOIN la USING (vec_id, shift_ms, k)"""
+u AS (SELECT node, ts_ms, min(value) AS lo, max(value) AS hi FROM r GROUP BY node, ts_ms),
+nx AS (SELECT g.*, u.ts_ms AS next_ms, u.lo FROM g ASOF LEFT JOIN u ON g.node = u.node AND g.grid_ms <= u.ts_ms),
+la AS (SELECT nx.*, e.last_ms, u.hi FROM nx LEFT JOIN e ON nx.node = e.node LEFT JOIN u ON u.node = e.node AND u.ts_ms = e.last_ms)
+SELECT vec_id, shift_ms, k, sample,
+  CASE WHEN next_ms <= grid_ms + {24 * HOUR_MS} THEN next_ms WHEN last_ms < grid_ms AND last_ms >= grid_ms - {24 * HOUR_MS} THEN last_ms END AS match_ts,
+  CASE WHEN next_ms <= grid_ms + {24 * HOUR_MS} THEN lo WHEN last_ms < grid_ms AND last_ms >= grid_ms - {24 * HOUR_MS} THEN hi END AS match_value
+FROM la"""
 
 
 def _grid(spark, sf):
     traces = table(spark, sf, "embeddings").select(
-        "vec_id", (F.col("vec_id") % 150).alias("node"), (F.lit(1704067200000) + (F.col("vec_id") % 240) * HOUR_MS).alias("start_ms"), "embedding"
+        "vec_id", (F.col("vec_id") % table(spark, sf, "customer").count()).alias("node"), (F.lit(1704067200000) + (F.col("vec_id") % 240) * HOUR_MS).alias("start_ms"), "embedding"
     )
     return windows.grid_points(
         traces, ids=["vec_id", "node"], start_ms="start_ms", values="embedding", n=48, step_ms=6 * HOUR_MS, shifts_ms=[h * HOUR_MS for h in (-48, -24, 0, 24, 48)]

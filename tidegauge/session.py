@@ -43,15 +43,22 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return configure(spark)
 
 
+def is_one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only where the session names none (tests, a single machine) a temporary
-    folder is made and set on the context, so it is found again.
+    Only on a single machine (tests) that names none a temporary folder is made
+    and set on the context, so it is found again; a cluster has to name one,
+    since its executors do not share /tmp.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if folder is None:
+        if not is_one_machine(context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-tidegauge-", dir="/tmp"))
         folder = context.getCheckpointDir()
     return folder
