@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.operators import ordering
+from tidegauge.operators import ordering, windows
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +87,12 @@ def test_plans_limit_groups_on_the_map_side_and_avoid_nested_loops(spark, skewed
     assert "NestedLoop" not in plan(joined) and "Cartesian" not in plan(joined)
     small = windows.interval_join(df, wins, node="k", ts="m", t0="t0", t1="t1", bucket_ms=10)
     assert "BroadcastHashJoin" in plan(small)
+
+
+def test_windows_of_many_buckets_and_rows_without_a_key(spark):
+    wins = spark.createDataFrame([(1, 0, 1000)], "k int, t0 long, t1 long")
+    df = spark.range(0, 1200, 7).selectExpr("1 AS k", "id AS m")
+    assert windows.interval_join(df, wins, node="k", ts="m", t0="t0", t1="t1", bucket_ms=10).count() == 143
+    rows = spark.createDataFrame([(None, 1, 2), (None, 2, 3), ("a", 1, 5)], "key string, at int, n int")
+    got = sorted((str(r.key), r["at"], r.run_n, r.tot_n) for r in ordering.running_totals(rows, ["key"], "at", ["n"]).collect())
+    assert got == [("None", 1, 2, 5), ("None", 2, 5, 5), ("a", 1, 5, 5)]

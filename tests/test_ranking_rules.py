@@ -96,3 +96,9 @@ def test_spearman_with_ties(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 2.0), (3.0, 5.0), (4.0, 4.0)], "x double, y double")
     got = ranking.spearman(df.withColumn("k", F.lit(1)), keys=["k"], x="x", y="y").first().spearman
     assert got == pytest.approx(0.7378647873726218)
+
+
+def test_holm_leaves_untested_items_null(spark):
+    df = spark.createDataFrame([("a", 0.01), ("b", 0.02), ("c", None)], "g string, p double").withColumn("k", F.lit(1))
+    got = {r.g: r.p_holm for r in ranking.holm(df, ["k"], "p").collect()}
+    assert got == {"a": pytest.approx(0.02), "b": pytest.approx(0.02), "c": None}

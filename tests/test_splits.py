@@ -63,5 +63,13 @@ def test_no_violations_and_detects_broken_splits(spark):
 def test_floors_per_queue(spark):
     d = spark.createDataFrame([("p", "main", "test", "1", 1.0)] * 3 + [("p", "main", "test", "7", 1.0)] + [("p", "main", "train", "1", 1.0)] * 9, "pop string, split string, role string, qos string, target_a double")
     pos = splits.positives_per_test(d, population="pop", queue="qos", queues=["1", "11"], targets={"target_a": "a"})
-    assert sorted((r.split, r.positives) for r in pos.collect()) == [("main", 4), ("main, queue 1", 3)]
-    assert splits.below_floor(pos, 4).count() == 1
+    got = {r.split: r.positives for r in pos.collect()}
+    # sets without any row are listed: they are the ones most below the floor
+    assert got == {"main": 4, "main, queue 1": 3, "main, queue 11": 0, "block1": 0, "block2": 0, "block3": 0}
+    assert splits.below_floor(pos, 4).count() == 5
+
+
+def test_every_asked_rule_has_a_row(spark):
+    d = spark.createDataFrame([("R1", "main", "test", 1, 1.0)], "rule string, split string, role string, user int, target_a double")
+    out = splits.rule_viability(d, rule="rule", user="user", targets={"target_a": "a"}, main="target_a", rules=["R1", "R50"])
+    assert {r.rule: (r.jobs, r.min_block_pos) for r in out.collect()} == {"R1": (1, 0), "R50": (0, 0)}
