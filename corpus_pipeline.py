@@ -54,7 +54,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled pieces of every document, beside what else is known of it; they take the place of columns of their names."""
-    out = sentencepiece_codec.encode(docs, text="text", key="doc_id", keep=[c for c in docs.columns if c not in ("text", "ids", "n_pieces")])
+    out = sentencepiece_codec.encode(docs, text="text", key="doc_id", keep=[c for c in docs.columns if c not in ("text", "ids", "lossless", "n_pieces")])
     return out.withColumn("n_pieces", F.size("ids").cast("long"))
 
 

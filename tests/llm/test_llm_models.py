@@ -183,6 +183,7 @@ def test_round_trip_and_reproducible_samples(spark):
     docs = documents(spark)
     vocabulary = pieces.load()
     rows = sentencepiece_codec.encode(docs, keep=["doc_id", "text"], pieces=vocabulary)
+    assert rows.filter("NOT lossless").count() == 0
     back = sentencepiece_codec.decode(rows, keep=["doc_id", "text", "ids"], pieces=vocabulary).collect()
     assert len(back) == docs.count()
     for r in back:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import context_tree, decontaminate, graph_ann, langid, licenses, ngram_join, pieces, secrets, sentencepiece_codec, token_counts, twins, urls
+from tidegauge.llm import context_tree, decontaminate, graph_ann, langid, licenses, ngram_join, secrets, sentencepiece_codec, token_counts, twins, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {
@@ -82,15 +82,12 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op3_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     """Sampled pieces of every document, their digest, and whether decoding gives the text back."""
-    vocabulary = pieces.load()
-    docs = table(spark, sf, "documents").withColumn("text_md5", F.md5("text"))
-    rows = sentencepiece_codec.encode(docs, keep=["doc_id", "text_md5"], pieces=vocabulary)
-    out = sentencepiece_codec.decode(rows, keep=["doc_id", "text_md5", "ids"], pieces=vocabulary)
-    return out.select(
+    rows = sentencepiece_codec.encode(table(spark, sf, "documents"), keep=["doc_id"])
+    return rows.select(
         "doc_id",
         F.size(F.coalesce("ids", F.array().cast("array<int>"))).cast("long").alias("n_pieces"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.md5("decoded").eqNullSafe(F.col("text_md5")).alias("lossless"),
+        "lossless",
     )
 
 

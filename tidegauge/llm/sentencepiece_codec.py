@@ -23,7 +23,7 @@ from tidegauge.llm import pieces as pc
 from tidegauge.llm import wordhash as wh
 
 #: Bytes of texts that share the forward pass over their distinct words.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
 
 
 def forward(pieces: pc.Pieces, rows: np.ndarray, n: np.ndarray, sharpness: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,7 +71,7 @@ def sample_block(pieces: pc.Pieces, data: np.ndarray, offsets: np.ndarray, seeds
     seed = wh.mix(seeds[text] + wh.mix(nth.astype(np.uint64) + np.uint64(1)))
     by_word = np.argsort(number, kind="stable")
     cuts = np.searchsorted(number[by_word], np.arange(len(chosen) + 1))
-    word_of, step_of, id_of = [], [], []
+    place_of, id_of = [], []
     for part, rows, n in pc.by_length(data, starts, chosen):
         share, ids, length = forward(pieces, rows, n, sharpness)
         count = cuts[part + 1] - cuts[part]
@@ -90,15 +90,22 @@ def sample_block(pieces: pc.Pieces, data: np.ndarray, offsets: np.ndarray, seeds
                 while (bad := got < 0).any():
                     pick[bad] -= 1
                     got[bad] = ids[row[bad], at[bad], pick[bad]]
-                word_of.append(occ)
-                step_of.append(np.full(len(occ), step))
+                place_of.append((occ << 24) + ((1 << 24) - 1 - step))  # by word, the last step first
                 id_of.append(got)
                 at = at - length[at, pick]
                 on = at > 0
                 row, occ, at, step = row[on], occ[on], at[on], step + 1
-    word, step, ids = np.concatenate(word_of), np.concatenate(step_of), np.concatenate(id_of)
-    order = np.lexsort((-step, word))
-    return ids[order], np.bincount(text[word], minlength=len(offsets) - 1)
+    place, ids = np.concatenate(place_of), np.concatenate(id_of)
+    return ids[np.argsort(place)], np.bincount(text[place >> 24], minlength=len(offsets) - 1)
+
+
+def _same(pieces: pc.Pieces, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text of a block whether its ids spell its bytes."""
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    back, bounds = spelled(pieces, ids, ends)
+    if len(back) == len(data) and (back == data).all() and (bounds == offsets).all():
+        return np.ones(len(counts), bool)
+    return np.array([np.array_equal(back[bounds[i] : bounds[i + 1]], data[offsets[i] : offsets[i + 1]]) for i in range(len(counts))])
 
 
 def _encode(batches: Iterator[pa.RecordBatch], sent, sharpness: float, keep: list[str]) -> Iterator[pa.RecordBatch]:
@@ -110,11 +117,12 @@ def _encode(batches: Iterator[pa.RecordBatch], sent, sharpness: float, keep: lis
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids, pa.int32()))
             null = batch.column("null").slice(first, end - first)
             lists = pa.compute.if_else(null, pa.nulls(end - first, lists.type), lists)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(first, end - first) for c in keep], lists], [*keep, "ids"])
+            same = pa.array(_same(pieces, ids, counts, data, offsets))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(first, end - first) for c in keep], lists, same], [*keep, "ids", "lossless"])
 
 
 def encode(docs: DataFrame, *, text: str = "text", key: str = "doc_id", keep: list[str], pieces: pc.Pieces | None = None, sharpness: float = 1.0, seed: int = 0) -> DataFrame:
-    """``keep`` and ``ids`` (array<int>) of each row.
+    """``keep``, ``ids`` (array<int>) and ``lossless`` of each row: the ids are decoded at once and held against the text.
 
     Edge cases: a null text has null ids, an empty one none; a null key is a key
     of its own; repeated rows have equal ids; an empty table gives an empty
@@ -130,16 +138,21 @@ def encode(docs: DataFrame, *, text: str = "text", key: str = "doc_id", keep: li
     )
     names = [f"keep_{c}" for c in keep]
     kinds = dict(docs.dtypes)
-    out = rows.mapInArrow(lambda b: _encode(b, sent, sharpness, names), ", ".join([f"`keep_{c}` {kinds[c]}" for c in keep] + ["ids array<int>"]))
-    return out.select(*[F.col(f"keep_{c}").alias(c) for c in keep], "ids")
+    out = rows.mapInArrow(lambda b: _encode(b, sent, sharpness, names), ", ".join([f"`keep_{c}` {kinds[c]}" for c in keep] + ["ids array<int>, lossless boolean"]))
+    return out.select(*[F.col(f"keep_{c}").alias(c) for c in keep], "ids", "lossless")
 
 
-def decode_block(pieces: pc.Pieces, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts, and where each begins; the space put before a text is taken off again."""
+def spelled(pieces: pc.Pieces, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all pieces, and where each text begins."""
     size = pieces.starts[ids + 1] - pieces.starts[ids]
     ends = np.concatenate([[0], np.cumsum(size)])
     data = pieces.flat[np.repeat(pieces.starts[ids] - ends[:-1], size) + np.arange(ends[-1])] if len(ids) else np.zeros(0, np.uint8)
-    bounds = ends[offsets]
+    return data, ends[offsets]
+
+
+def decode_block(pieces: pc.Pieces, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts, and where each begins; the space put before a text is taken off again."""
+    data, bounds = spelled(pieces, ids, offsets)
     keep = np.ones(len(data), bool)
     some = bounds[1:] > bounds[:-1]
     keep[bounds[:-1][some]] = False
