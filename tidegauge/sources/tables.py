@@ -76,8 +76,8 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), so
 
 
 def write_result_csv(df: DataFrame, path: str) -> None:
-    """A result table (study-sized) as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A result table as one CSV file with a header; only the finished rows meet in one task."""
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -112,9 +112,15 @@ def _salted(df: DataFrame, directories: Sequence[str], sort_by: Sequence[str], s
 
 
 def missing_keys(spark: SparkSession, path: str, requested: DataFrame, key: str) -> DataFrame:
-    """Requested keys a table does not hold yet; all of them when there is no table."""
+    """Requested keys a table does not hold yet; all of them when there is no table.
+
+    Any other trouble with the table (a missing column, no access) is an error.
+    """
     try:
-        present = spark.read.parquet(path).select(key).distinct()
-    except AnalysisException:
+        table = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return requested
+    present = table.select(key).distinct()
     return requested.join(present.withColumn(key, F.col(key).cast(dict(requested.dtypes)[key])), key, "left_anti")
