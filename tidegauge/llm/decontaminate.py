@@ -109,6 +109,7 @@ def find(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str =
     empty tables on either side give no windows; other columns are not read.
     """
     spark = docs.sparkSession
+    wh.bound_batches(spark)
     windows = materialize(item_windows(items, item=item, text=item_text, window=window, shingle=shingle), "benchmark-windows")
     shingles = windows.select("width", F.explode("shingles").alias("shingle")).distinct()
     n_blocks = max(1, -(-shingles.count() // block))

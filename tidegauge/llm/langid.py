@@ -159,6 +159,7 @@ def _fit(rows: pa.Table, labels: list[str], s: Settings) -> Model:
 
 def train(rows: DataFrame, *, key: str, text: str, lang: str, settings: Settings = Settings()) -> Model:
     """Fit on ``rows``; those without text or label are left out."""
+    wh.bound_batches(rows.sparkSession)
     labelled = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
     labels = sorted(counts)
@@ -201,6 +202,7 @@ def _predict(batches: Iterator[pa.RecordBatch], sent, keep: list[str]) -> Iterat
 
 def _predicted(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
     """Like :func:`predict`, with ``keep_`` before the names that are kept."""
+    wh.bound_batches(docs.sparkSession)
     rows = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"), _padded(F.col(text)).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets x labels
     names, kinds = [f"keep_{c}" for c in keep], dict(docs.dtypes)

@@ -282,6 +282,7 @@ def _classes(group: pa.Table, percent: int) -> pa.Table:
 def classes(docs: DataFrame, *, doc: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Documents as (doc, key, n), and the classes that may link, by fragment (see :func:`_classes`)."""
     spark = docs.sparkSession
+    wh.bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     few = max(4, parts // 4)
     base = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))

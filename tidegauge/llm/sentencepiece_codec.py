@@ -128,6 +128,7 @@ def encode(docs: DataFrame, *, text: str = "text", key: str = "doc_id", keep: li
     of its own; repeated rows have equal ids; an empty table gives an empty
     result; other columns are not read.
     """
+    wh.bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(pieces or pc.load())
     t = F.col(text)
     rows = docs.select(
@@ -180,6 +181,7 @@ def _decode(batches: Iterator[pa.RecordBatch], sent, keep: list[str]) -> Iterato
 
 def decode(rows: DataFrame, *, ids: str = "ids", keep: list[str], pieces: pc.Pieces | None = None) -> DataFrame:
     """``keep`` and ``decoded``: the text that ``ids`` spell, null for null."""
+    wh.bound_batches(rows.sparkSession)
     sent = rows.sparkSession.sparkContext.broadcast(pieces or pc.load())
     kinds, names = dict(rows.dtypes), [f"keep_{c}" for c in keep]
     out = rows.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.col(ids).alias("ids")).mapInArrow(

@@ -85,6 +85,7 @@ def count(docs: DataFrame, *, text: str = "text", keep: list[str], pieces: pc.Pi
     a token for each of their bytes; repeated rows have equal counts; an empty
     table gives an empty result; other columns are not read.
     """
+    wh.bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(pieces or pc.load())
     names, kinds, t = [f"keep_{c}" for c in keep], dict(docs.dtypes), F.col(text)
     rows = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.when(F.length(t) > 0, F.concat(F.lit(" "), t)).otherwise("").alias("text"))

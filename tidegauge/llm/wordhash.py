@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 21
 PIECE_BYTES = 1 << 20
+BATCH_ROWS = 1000
 #: Bytes that separate words: white space, and everything in ASCII but digits and letters.
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -56,6 +57,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def bound_batches(spark) -> None:
+    """Hand texts to Arrow tasks ``BATCH_ROWS`` rows at a time, or fewer if the session says so.
+
+    Spark's own bound of 10,000 rows is some 100 MB of texts for each task, in the
+    JVM and again in Python.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    set_to = int(spark.conf.get(key, "10000"))
+    if set_to <= 0 or set_to > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets into them) for runs of whole texts; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
