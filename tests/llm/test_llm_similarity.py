@@ -104,6 +104,21 @@ def test_ngram_join_matches_brute_force(spark, seed, size, percent):
         assert (got[i]["n_shingles"], got[i]["component_id"]) == (len(s), want[i])
 
 
+@pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80)])
+def test_ngram_join_links_short_texts(spark, size, percent):
+    texts = []
+    for seed in range(30):
+        rng = random.Random(seed)
+        for n in range(8, 21):
+            words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n + 1)]
+            texts += [" ".join(words[:n]), " ".join(words)]
+    _, want = brute_components(texts, size, percent)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc"]: r["component_id"] for r in ngram_join.join(docs, size=size, percent=percent).collect()}
+    assert sum(w != i for i, w in enumerate(want)) >= 300
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_ngram_join_of_awkward_and_empty_tables(spark):
     docs = documents(spark)
     got = ngram_join.join(docs).collect()

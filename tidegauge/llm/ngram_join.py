@@ -8,7 +8,8 @@ counts there; the counts of all fragments are summed per document, or per pair.
    for each document, the n-grams that no other text has.  A document of n
    n-grams can lack at most ``n - ceil(t n)`` of them in a partner; whoever lacks
    more in this part alone has no partner.  That ends most documents with a
-   third of the data shuffled.
+   third of the data shuffled.  A document without an n-gram in this part is not
+   judged by it and goes on.
 2. **Segments.**  The rest is read again (a fixed-size bit table tells who is
    left; what it lets through by chance only costs a little) and put through
    fragments in full: document frequencies, then per document its shared
@@ -191,7 +192,7 @@ def _bit(keys: np.ndarray) -> np.ndarray:
 
 def _segments_map(batches: Iterator[pa.RecordBatch], size: int, parts: int, sent, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """A row for each document (key and size of its set), and segments of those that the bit table lets through."""
-    table, run, seen = sent.value, _Segments(parts, 1.0), set()
+    table, run, seen, limit = sent.value, _Segments(parts, 1.0), set(), np.uint64(int(SCREEN * (1 << 64)))
     names = ["doc", "key", "n", "part", "payload"]
 
     def packed():
@@ -208,7 +209,8 @@ def _segments_map(batches: Iterator[pa.RecordBatch], size: int, parts: int, sent
                 sizes.append(len(g))
                 if key is not None and key not in seen:
                     seen.add(key)
-                    if table[_bit(np.array([key], np.int64).view(np.uint64))[0]]:
+                    # the screen saw nothing of a set whose least hash lies above its part
+                    if g[0] >= limit or table[_bit(np.array([key], np.int64).view(np.uint64))[0]]:
                         run.add(key, len(g), g)
             n = end - first
             yield pa.RecordBatch.from_arrays([batch.column("doc").slice(first, n), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
