@@ -1,5 +1,6 @@
 """Secret scans, license scans and url filters."""
 
+import base64
 import hashlib
 import os
 import re
@@ -47,6 +48,29 @@ def test_widely_copied_candidates_are_examples(spark):
     assert clean[9] == "<secret> " and clean[0] == rows[0][1] and clean[11] == rows[7][1]
 
 
+def pem(seed, end="\n", size=1600, kind="RSA "):
+    body = base64.b64encode(b"".join(hashlib.sha256(f"{seed} {i}".encode()).digest() for i in range(60))).decode()[:size]
+    return f"-----BEGIN {kind}PRIVATE KEY-----{end}" + end.join(body[i : i + 64] for i in range(0, size, 64)) + f"{end}-----END {kind}PRIVATE KEY-----"
+
+
+def test_private_keys_are_reported_and_redacted(spark):
+    keys = [pem(i) for i in range(4)]
+    header = "-----BEGIN RSA PRIVATE KEY-----"
+    # many owners have a private key each; only key 3 is everybody's, with other line ends here and there
+    rows = [(i, f"one {keys[i]} two {keys[3]} end", f"o{i}") for i in range(3)]
+    rows += [(3, f"a{pem(9, size=64, kind='')}b{pem(8, end=chr(92) + 'n', kind='EC ')}c", "o1"), (4, pem(3, end="\r\n"), "o4"), (5, f"{header} is how it begins", "o5"), (6, f"{header}\nyour key: 1 goes here, in lines of 64 characters each\n-----END RSA PRIVATE KEY-----", "o6")]
+    rows += [(7, f"{header}\nDEK-Info: AES-128-CBC,{keys[0][:5]} -- {header}\n" * 300 + keys[0][32:], "o0"), (8, f"{header}\n" + "-a" * 50_000, "o8")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["doc_id"]: [(s["start"], s["end"], s["n_owners"]) for s in r["found"] if s["name"] == "pem"] for r in secrets.scan(docs, keep=["doc_id"]).collect()}
+    for i in range(3):
+        assert found[i] == [(4, 4 + len(keys[i]), 1)]
+    assert [e - s for s, e, _ in found[3]] == [len(pem(9, size=64, kind="")), len(pem(8, end="\\n", kind="EC "))]
+    assert found[4] == found[5] == found[6] == found[8] == [] and len(found[7]) == 1
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert [clean[i] for i in range(3)] == [f"one <secret> two {keys[3]} end" for i in range(3)]
+    assert clean[3] == "a<secret>b<secret>c" and all(clean[i] == rows[i][1] for i in (4, 5, 6, 8))
+
+
 def test_redact_keeps_rows_columns_and_empty_tables(spark):
     docs = documents(spark)
     out = secrets.redact(docs)

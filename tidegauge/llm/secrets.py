@@ -24,33 +24,42 @@ from tidegauge.session import materialize
 
 @dataclass(frozen=True)
 class Kind:
-    """A pattern (Java syntax), the group that holds the value, and the value's least length."""
+    """A pattern (Java syntax), the group that holds the value, and the value's least length.
+
+    A ``block`` is a value of several lines: it is hashed and judged without its
+    white space and escaped line ends, and only its head may make it a placeholder.
+    """
 
     name: str
     pattern: str
     group: int = 0
     least: int = 1
     base: bool = True
+    block: bool = False
 
 
 # The patterns, in the order in which kinds are listed.  A run of one class of characters that is too short is
-# no match of ``{n,}`` wherever it is entered, so access and hex leave them out at once and not by ``least``.
+# no match of ``{n,}`` wherever it is entered, so access and hex leave them out at once and not by ``least``.  The header of a
+# private key is the same for everybody, so its value is the body, which ends at the first five dashes; loops are possessive, so
+# that a header without its END line costs no more than the text up to there.
 KINDS = (
     Kind("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     Kind("access", r"AKIA[A-Z0-9]{16,}"),
     Kind("hex", r"[0-9a-f]{24,}"),
     Kind("vendor", r"\b(?:gh[pousr]_|glpat-|sk_live_|xox[abpr]-|AIza)[A-Za-z0-9_-]{16,}", base=False),
     Kind("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", base=False),
-    Kind("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", base=False),
+    Kind("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----([^-]*+(?:-{1,4}+[^-]++)*+)-----END [A-Z ]{0,40}PRIVATE KEY-----", 1, 40, base=False, block=True),
     Kind("opaque", r"\b(?=[A-Za-z_-]{0,80}[0-9])(?=[A-Z0-9_-]{0,80}[a-z])(?=[a-z0-9_-]{0,80}[A-Z])[A-Za-z0-9_-]{24,}\b", base=False),
 )
 PLACEHOLDER = r"(?i)example|changeme|placeholder|dummy|sample|your|xxxx|0000|1234"
+#: So much of a block is searched for placeholders: one of them stands somewhere in a few of a thousand real keys by chance.
+HEAD = 64
 
 
-def looks_live(value: Column) -> Column:
-    """Long and varied enough for a real credential, and not a placeholder."""
+def looks_live(value: Column, head: int | None = None) -> Column:
+    """Long and varied enough for a real credential, and not a placeholder (looked for in the first ``head`` characters)."""
     variety = F.size(F.array_distinct(F.split(value, "")))
-    return (F.length(value) >= 8) & (variety >= 6) & value.rlike("[0-9]") & ~value.rlike(PLACEHOLDER)
+    return (F.length(value) >= 8) & (variety >= 6) & value.rlike("[0-9]") & ~(value if head is None else F.substring(value, 1, head)).rlike(PLACEHOLDER)
 
 
 def _pieces(text: Column, kind: Kind, number: int) -> Column:
@@ -60,6 +69,7 @@ def _pieces(text: Column, kind: Kind, number: int) -> Column:
         F.regexp_extract_all(text, F.lit(kind.pattern), 0).alias("hit"),
         F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group)).alias("value"),
     )
+    value = lambda z: F.regexp_replace(z["value"], r"\s|\\[nr]", "") if kind.block else z["value"]
     # the last piece stands behind the last match
     return F.transform(
         F.filter(zipped, lambda z: z["hit"].isNotNull()),
@@ -68,9 +78,9 @@ def _pieces(text: Column, kind: Kind, number: int) -> Column:
             i.alias("i"),
             F.length(z["before"]).cast("long").alias("before"),
             F.length(z["hit"]).cast("long").alias("size"),
-            (F.length(z["value"]) >= kind.least).alias("ok"),
-            looks_live(z["value"]).alias("live"),
-            F.sha2(z["value"], 256).alias("hash"),
+            (F.length(value(z)) >= kind.least).alias("ok"),
+            looks_live(value(z), HEAD if kind.block else None).alias("live"),
+            F.sha2(value(z), 256).alias("hash"),
         ),
     )
 
