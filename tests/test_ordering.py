@@ -68,11 +68,44 @@ def test_consecutive_pairs_cross_chunks_and_gaps(spark):
     assert got.prev_t.fillna(-1).tolist() == want.prev.fillna(-1).tolist()
 
 
-def test_pivots_do_not_depend_on_partitioning(spark, skewed):
-    _, df = skewed
-    a = {r.k: r["__cuts"] for r in ordering.pivot_table(df, ["k"], "v", 8).collect()}
-    b = {r.k: r["__cuts"] for r in ordering.pivot_table(df.repartition(13), ["k"], "v", 8).collect()}
-    assert a == b and all(len(v) <= 8 and v == sorted(v) for v in a.values())
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("width", [1, 5, 40])
+@pytest.mark.parametrize("descending", [False, True])
+def test_prefix_sums_over_any_number_of_ranges(spark, skewed, width, descending):
+    """Keys with NULL and NaN, one key over many ranges, many keys in one range, ints and doubles."""
+    rng = np.random.default_rng(width)
+    pdf = pd.DataFrame({"v": rng.permutation(4000), "n": rng.integers(-3, 9, 4000), "x": rng.normal(size=4000)})
+    pdf["k"] = np.where(pdf.v % 10 < 9, 7.0, rng.integers(0, 300, 4000) * 1.0)
+    pdf.loc[pdf.v % 97 == 0, "k"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("k", F.when(F.col("v") % 101 == 0, None).otherwise(F.col("k")))
+    got = ordering.running_totals(df, ["k"], "v", ["n", "x"], descending=descending, width=width).collect()
+    groups = {}
+    for r in df.collect():
+        groups.setdefault("null" if r.k is None else str(r.k), []).append(r)
+    want = {}
+    for rows in groups.values():
+        n = x = 0
+        for r in sorted(rows, key=lambda r: -r.v if descending else r.v):
+            n, x = n + r.n, x + r.x
+            want[r.v] = (n, x, sum(q.n for q in rows))
+    assert len(got) == len(want) == 4000
+    for r in got:
+        n, x, total = want[r.v]
+        assert r.run_n == n and r.tot_n == total and abs(r.run_x - x) < 1e-9
+
+
+def test_hot_key_lies_in_many_ranges_behind_one_exchange(spark):
+    df = spark.range(40_000).select(F.when(F.col("id") % 10 < 9, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("v"), F.lit(1).alias("n"))
+    placed = ordering.placed_sums(df, ["k"], "v", ["n"], width=16)
+    plan = _plan(placed)
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange") == 1 and "Window" not in plan
+    sizes = [r["count"] for r in placed.filter("k = 'hot'").groupBy("__part").count().collect()]
+    assert len(sizes) >= 13 and max(sizes) < 5_000
+    edges = placed.filter("__tail AND __edge > 0").groupBy("__part").count().collect()
+    assert all(r["count"] <= 2 for r in edges)
 
 
 def test_plans_limit_groups_on_the_map_side_and_avoid_nested_loops(spark, skewed):
@@ -80,7 +113,6 @@ def test_plans_limit_groups_on_the_map_side_and_avoid_nested_loops(spark, skewed
 
     _, df = skewed
     plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
-    assert plan(ordering.pivot_table(df, ["k"], "v")).count("WindowGroupLimit") == 2
     assert plan(cohort.seeded_sample(df, ["k"], 5, "id", 1)).count("WindowGroupLimit") == 2
     wins = df.select("k", F.col("id").alias("t0"), (F.col("id") + 10).alias("t1"))
     joined = windows.interval_join(df, wins, node="k", ts="m", t0="t0", t1="t1", bucket_ms=10)
