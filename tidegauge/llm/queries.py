@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import context_tree, decontaminate, graph_ann, langid, licenses, ngram_join, secrets, sentencepiece_codec, token_counts, twins, urls
+from tidegauge.llm import context_tree, decontaminate, graph_ann, langid, lexical, licenses, ngram_join, packing, periodic, secrets, sentencepiece_codec, token_counts, twins, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {
@@ -15,6 +15,7 @@ SQL: dict[str, str] = {
     "op4_url_filters": twins.URLS,
     "op5_benchmark_decontamination": twins.DECONTAMINATION,
     "op8_ngram_jaccard_join": twins.NGRAM_JOIN,
+    "op12_ranked_lexical_search": twins.LEXICAL_SEARCH,
 }
 
 
@@ -99,3 +100,19 @@ def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return graph_ann.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op11_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+@query
+def op12_ranked_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    found = lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=10)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic.detect(table(spark, sf, "documents"), keep=["doc_id"], key="doc_id")
