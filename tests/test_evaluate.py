@@ -1,9 +1,13 @@
+import hashlib
+from collections import Counter
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.operators import evaluate
+from tidegauge.operators import bootstrap, evaluate
 
 
 def ap_by_definition(y, score, w=None):
@@ -47,29 +51,77 @@ def test_average_precision_equals_the_definition(scored, weight):
 
 def test_bootstrap_weights_move_users_together(spark):
     df = spark.createDataFrame([("t", 1), ("t", 1), ("t", 2), ("t", 3), ("t", 3), ("t", 3)], "k string, u int")
-    w = evaluate.bootstrap_weights(df, keys=["k"], cluster="u", n_boot=50, seed=0).toPandas()
+    w = bootstrap.bootstrap_weights(df, keys=["k"], cluster="u", n_boot=50, seed=0).toPandas()
     assert (w.groupby("b").weight.sum() == 3).all() and w.b.nunique() == 50 and not w.duplicated(["u", "b"]).any()
-    v = evaluate.weight_vectors(df, keys=["k"], cluster="u", n_boot=50, seed=0).toPandas().set_index("u").w
-    for r in w.itertuples():
-        assert v[r.u][r.b] == r.weight
-    assert np.sum(v.tolist()) == 150
 
 
-@pytest.mark.parametrize("hot_cells", [3, 50_000])
-def test_bootstrap_average_precision_equals_brute_force(spark, scored, hot_cells):
+def test_weights_equal_the_draws_by_definition(spark):
+    """Several keys, chunks that end inside a key, and weights that need two bytes."""
+    sizes = {"a": 11, "b": 1, "c": 4}
+    df = spark.createDataFrame([(k, u) for k, n in sizes.items() for u in range(n)], "k string, u int")
+    got = bootstrap.bootstrap_weights(df, keys=["k"], cluster="u", n_boot=71, seed=3, chunk=4).collect()
+    want = Counter()
+    for k, n in sizes.items():
+        for b in range(71):
+            for i in range(n):
+                h = hashlib.md5(f"3|{b // 4}|{i}".encode()).hexdigest()
+                want[k, int(h[8 * (b % 4) : 8 * (b % 4) + 8], 16) * n >> 32, b] += 1
+    assert {(r.k, r.u, r.b): r.weight for r in got} == want
+    blobs = pa.array([np.array([1, 300, 2], "<u2").tobytes(), np.array([7, 8, 9], np.uint8).tobytes()])
+    assert bootstrap.unpack_weights(blobs, 3).tolist() == [[1, 300, 2], [7, 8, 9]]
+
+
+@pytest.mark.parametrize("cells, lane", [(3, 7), (25, 40), (1 << 14, 1 << 16)])
+def test_bootstrap_average_precision_equals_brute_force(spark, scored, cells, lane):
+    """Ranges and lanes of every size: scores hotter than a range, sets of one score, sets without positives."""
     pdf, _ = scored
     base = pdf[pdf.k.isin([0, 99])].copy()
-    sets = pd.concat([base.assign(fs="B0"), base.assign(fs="g", score=np.round(base.score * 7 % 1, 1))])
+    sets = pd.concat([base.assign(fs="B0"), base.assign(fs="g", score=np.round(base.score * 7 % 1, 1)), base.assign(fs="one", score=0.5)])
     df = spark.createDataFrame(sets)
-    got = evaluate.bootstrap_average_precision(df, test_keys=["k"], set_keys=["fs"], y="y", score="score", cluster="u", n_boot=25, seed=5, pivots=7, hot_cells=hot_cells).toPandas()
-    w = evaluate.bootstrap_weights(df, keys=["k"], cluster="u", n_boot=25, seed=5).toPandas().set_index(["k", "u", "b"]).weight.to_dict()
-    assert len(got) == 2 * 2 * 25
+    got = bootstrap.average_precision(df, test_keys=["k"], set_keys=["fs"], y="y", score="score", cluster="u", n_boot=25, seed=5, cells=cells, lane=lane).toPandas()
+    w = bootstrap.bootstrap_weights(df, keys=["k"], cluster="u", n_boot=25, seed=5).toPandas().set_index(["k", "u", "b"]).weight.to_dict()
+    assert len(got) == 2 * 3 * 25
     for r in got.itertuples():
         g = sets[(sets.k == r.k) & (sets.fs == r.fs)]
         want = ap_by_definition(g.y, g.score, [w.get((r.k, u, r.b), 0) for u in g.u])
         assert (pd.isna(r.ap) and want is None) or abs(r.ap - want) < 1e-9
 
 
+def test_ranges_and_lanes_keep_their_bounds(spark):
+    """The number of ranges follows the cells; a score with half of them is split; a lane has few cells too many."""
+    rng = np.random.default_rng(2)
+    n = 6000
+    pdf = pd.DataFrame({"t": np.where(np.arange(n) < 5000, "x", "y"), "fs": rng.choice(["a", "b"], n), "score": np.where(rng.random(n) < 0.5, 7.0, np.round(rng.random(n), 3)), "slot": np.arange(n), "__p": 1, "__q": 0})
+    cells = spark.createDataFrame(pdf)
+    placed = bootstrap.placed_cells(cells, test_keys=["t"], set_keys=["fs"], score="score", limit=100, lane=400).toPandas()
+    assert len(placed) == n
+    units = placed.groupby(["t", "fs", "__part", "__sub"])
+    assert units.size().max() <= 200 and len(units) > 50
+    assert (placed.groupby(["t", "fs", "score"])["__part"].nunique() == 1).all()
+    for _, g in placed.groupby(["t", "fs"]):  # ranges are in the order of falling scores
+        edges = g.groupby("__part").score.agg(["min", "max"]).sort_index()
+        assert (edges["min"].to_numpy()[:-1] > edges["max"].to_numpy()[1:]).all()
+    lanes = placed.groupby(["t", "__lane"]).size()
+    assert lanes.max() <= 400 + 200
+    assert bootstrap.lane_bytes(bootstrap.LANE + 2 * bootstrap.CELLS, 2 * bootstrap.CELLS, 1000) < 320 << 20
+
+
+def test_a_lane_holds_what_the_formula_says(spark):
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    n, n_boot = 4000, 1000
+    left = pa.table({"fs": ["a"] * n, "score": rng.random(n), "__part": np.zeros(n, np.int64), "__sub": np.zeros(n, np.int32), "slot": np.arange(n), "__p": np.ones(n, np.int64), "__q": np.ones(n, np.int64)})
+    right = pa.table({"slot": np.arange(n), "w": [rng.poisson(1, n_boot).astype(np.uint8).tobytes() for _ in range(n)], "b0": pa.nulls(n, pa.int32())})
+    tracemalloc.start()
+    out = bootstrap._lane(left, right, ["fs"], "score", n_boot, True, ["fs", "__part"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == n_boot // bootstrap.SLICE
+    # the strings of bytes stand beside the matrix while it is made
+    assert peak <= bootstrap.lane_bytes(n, n, n_boot) + n * n_boot
+
+
 def test_paired_gain_of_a_copy_is_zero(spark, scored):
     pdf, _ = scored
     g = pdf[pdf.k == 1]

@@ -102,9 +102,9 @@ def test_hot_key_lies_in_many_ranges_behind_one_exchange(spark):
     placed = ordering.placed_sums(df, ["k"], "v", ["n"], width=16)
     plan = _plan(placed)
     assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange") == 1 and "Window" not in plan
-    sizes = [r["count"] for r in placed.filter("k = 'hot'").groupBy("__part").count().collect()]
+    sizes = [r["count"] for r in placed.filter("k = 'hot'").groupBy("__range").count().collect()]
     assert len(sizes) >= 13 and max(sizes) < 5_000
-    edges = placed.filter("__tail AND __edge > 0").groupBy("__part").count().collect()
+    edges = placed.filter("__range_tail AND __range_edge > 0").groupBy("__range").count().collect()
     assert all(r["count"] <= 2 for r in edges)
 
 

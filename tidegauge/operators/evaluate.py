@@ -1,20 +1,15 @@
-"""Precision-recall evaluation with ties, and the paired cluster bootstrap."""
+"""Precision-recall evaluation with ties, and gains with intervals from the cluster bootstrap."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidegauge.functions import columns as C
-from tidegauge.operators import ordering
-from tidegauge.operators.ordering import spread
-from tidegauge.session import materialize
+from tidegauge.operators import bootstrap, ordering
 
 
 def threshold_points(scored: DataFrame, *, keys: Sequence[str], y: str, score: str, weight: str | None = None) -> DataFrame:
@@ -74,195 +69,7 @@ def gain_over_baseline(values: DataFrame, *, keys: Sequence[str], set_col: str,
     return paired.withColumn(name, F.col(value) - F.col("__ref")).drop("__ref", "__met")
 
 
-# ------------------------------------------------------------------ cluster bootstrap
-
-
-def indexed_clusters(rows: DataFrame, *, keys: Sequence[str], cluster: str) -> DataFrame:
-    """(keys, cluster, slot, clusters): distinct clusters numbered 0.. in sorted order per key."""
-    distinct = rows.select(*keys, cluster).distinct().withColumn("__n", F.lit(1).cast("bigint"))
-    ran = ordering.running_totals(distinct, keys, cluster, ["__n"])
-    return ran.select(*keys, cluster, (F.col("run___n") - 1).alias("slot"), F.col("tot___n").alias("clusters"))
-
-
-def cluster_draws(slots: DataFrame, *, keys: Sequence[str], n_boot: int, seed: int) -> DataFrame:
-    """(keys, b, slot): one row per draw; resample b draws as many clusters as there are, with replacement.
-
-    Draw i of resample b is word ``b mod 4`` of ``md5(seed | b div 4 | i)``
-    scaled to the number of clusters: any resample can be recomputed anywhere,
-    and each cluster row makes its own draws, so the work is spread like the
-    clusters themselves.
-    """
-    quads = (n_boot + 3) // 4
-    q = F.explode(F.sequence(F.lit(0), F.lit(quads - 1))).alias("__q")
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__q").cast("string"), F.col("slot").cast("string"))).alias("__d")
-    drawn = spread(slots, *keys, "slot").select(*keys, "slot", "clusters", q).select(*keys, "clusters", "__q", digest)
-    words = [
-        F.struct(
-            (F.col("__q") * 4 + w).alias("b"),
-            C.draw_below(F.conv(F.substring("__d", 1 + 8 * w, 8), 16, 10).cast("bigint"), F.col("clusters")).alias("slot"),
-        )
-        for w in range(4)
-    ]
-    out = drawn.select(*keys, F.explode(F.array(*words)).alias("w")).select(*keys, "w.b", "w.slot")
-    return out if n_boot % 4 == 0 else out.filter(F.col("b") < n_boot)
-
-
-def bootstrap_weights(rows: DataFrame, *, keys: Sequence[str], cluster: str, n_boot: int, seed: int) -> DataFrame:
-    """(keys, cluster, b, weight): how often each cluster is drawn in each resample; absent means 0."""
-    slots = indexed_clusters(rows, keys=keys, cluster=cluster)
-    counts = cluster_draws(slots, keys=keys, n_boot=n_boot, seed=seed).groupBy(*keys, "slot", "b").agg(F.count("*").alias("weight"))
-    return counts.join(slots.drop("clusters"), [*keys, "slot"]).select(*keys, cluster, "b", "weight")
-
-
-def _fields(df: DataFrame, names: Sequence[str], *extra: T.StructField) -> T.StructType:
-    return T.StructType([df.schema[n] for n in names] + list(extra))
-
-
-def weight_vectors(rows: DataFrame, *, keys: Sequence[str], cluster: str, n_boot: int, seed: int) -> DataFrame:
-    """(keys, cluster, w): the weights of all resamples of a cluster as one array of length ``n_boot``."""
-    slots = indexed_clusters(rows, keys=keys, cluster=cluster)
-    # a cluster is drawn about n_boot times over all resamples, so the list is bounded by the number of resamples
-    drawn = cluster_draws(slots, keys=keys, n_boot=n_boot, seed=seed).groupBy(*keys, "slot").agg(F.collect_list("b").alias("w"))
-    named = slots.drop("clusters").join(drawn, [*keys, "slot"], "left").select(*keys, cluster, "w")
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["w"] = [np.bincount([] if d is None else d, minlength=n_boot) for d in pdf["w"]]
-            yield pdf
-
-    return named.mapInPandas(count, _fields(named, [*keys, cluster], T.StructField("w", T.ArrayType(T.IntegerType()))))
-
-
-def _with_weights(cells: DataFrame, weights: DataFrame, rows: DataFrame, *, on: Sequence[str], within: Sequence[str], hot_cells: int) -> DataFrame:
-    """Each cell with its cluster's weight vector; clusters with many cells are salted over several tasks.
-
-    A cluster gets one salt per ``hot_cells`` of its cells and its vector is
-    copied that often, so a user with a third of all rows is no single task.
-    The list of hot clusters is short: at most cells / ``hot_cells`` rows.
-    ``rows`` are the same cells as a written table, to count them cheaply.
-    """
-    salts = (1 + F.floor(F.count("*") / F.lit(hot_cells))).alias("__salts")
-    sizes = rows.groupBy(*on).agg(salts)
-    copies = weights.join(sizes, list(on)).withColumn("__salt", F.explode(F.sequence(F.lit(0), (F.col("__salts") - 1).cast("int")))).drop("__salts")
-    salt = F.coalesce(F.pmod(F.xxhash64(*within), F.col("__salts")).cast("int"), F.lit(0))
-    salted = cells.join(sizes.filter("__salts > 1"), list(on), "left").withColumn("__salt", salt).drop("__salts")
-    keys = [*on, "__salt"]
-    return spread(salted, *keys).join(spread(copies, *keys), keys).drop("__salt")
-
-
-def _tie_sums(joined: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
-    """(keys, __part, score, side, vec): weighted counts of all resamples, equal scores of a batch already added up.
-
-    A score shared by a large part of the rows shrinks to one row per batch
-    and side before it is shuffled.
-    """
-    names = [*keys, "__part", score]
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            w = np.stack(pdf["w"].to_numpy())
-            code = pdf.groupby(names, sort=False, dropna=False).ngroup().to_numpy()
-            for side, column in enumerate(("__q", "__p")):
-                rows = np.flatnonzero(pdf[column].to_numpy() > 0)
-                if not len(rows):
-                    continue
-                rows = rows[np.argsort(code[rows], kind="stable")]
-                starts = np.flatnonzero(np.r_[True, np.diff(code[rows]) > 0])
-                sums = np.add.reduceat(w[rows] * pdf[column].to_numpy()[rows, None].astype(np.int64), starts, axis=0)
-                out = pdf.iloc[rows[starts]][names].copy()
-                out["side"], out["vec"] = side, list(sums)
-                yield out
-
-    schema = _fields(joined, names, T.StructField("side", T.IntegerType()), T.StructField("vec", T.ArrayType(T.LongType())))
-    return joined.select(*names, "__p", "__q", "w").mapInPandas(add, schema)
-
-
-def _side_total(pdf: pd.DataFrame, side: int, n_boot: int) -> np.ndarray:
-    total = np.zeros(n_boot)
-    for v in pdf["vec"][pdf["side"] == side]:
-        total += v
-    return total
-
-
-def bootstrap_average_precision(
-    scored: DataFrame,
-    *,
-    test_keys: Sequence[str],
-    set_keys: Sequence[str],
-    y: str,
-    score: str,
-    cluster: str,
-    n_boot: int,
-    seed: int,
-    pivots: int = 64,
-    hot_cells: int = 50_000,
-) -> DataFrame:
-    """(test_keys, set_keys, b, ap): weighted PR-AUC of every set in every cluster resample of its test set.
-
-    All sets of a test set share the same draws, which is what pairs them.
-
-    Rows are combined to (set, score, cluster) cells and cut into score ranges
-    by data pivots; a cell carries the weights of all resamples as one vector.
-    Ties are added up before the shuffle, then each range is summed (step 1),
-    the totals of higher ranges are carried over (step 2, one row per range),
-    and each range adds its share of the area (step 3).  Spark moves and
-    groups the rows; only the vector arithmetic of one range is NumPy, in
-    slices, so no task holds a whole test set.  Raise ``pivots`` with the
-    number of distinct scores.
-    """
-    keys = [*test_keys, *set_keys]
-    label = F.col(y).cast("int")
-    cells = scored.groupBy(*keys, score, cluster).agg(F.sum(label).alias("__p"), F.sum(1 - label).alias("__q"))
-    cells = materialize(cells, "bootstrap-cells")  # read for the pivots, the cluster list, the cluster sizes and the sums
-    rows = cells
-    cells = ordering.with_chunk(cells, ordering.pivot_table(cells, keys, score, pivots), keys, score).withColumnRenamed("__chunk", "__part")
-    weights = weight_vectors(rows, keys=test_keys, cluster=cluster, n_boot=n_boot, seed=seed)
-    joined = _with_weights(cells, weights, rows, on=[*test_keys, cluster], within=[*set_keys, score], hot_cells=hot_cells)
-    ties = _tie_sums(joined, keys, score)
-    by_range = spread(ties, *keys, "__part")
-    vector = lambda n: T.StructField(n, T.ArrayType(T.DoubleType()))
-    names = [*keys, "__part"]
-
-    def range_totals(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf[names].head(1).copy()
-        out["fp"], out["tp"] = [_side_total(pdf, 0, n_boot)], [_side_total(pdf, 1, n_boot)]
-        return out
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__part", ascending=False)
-        out = pdf[names].copy()
-        for c in ("tp", "fp"):
-            m = np.stack(pdf[c].to_numpy())
-            out[f"{c}0"] = list(np.cumsum(m, axis=0) - m)
-            if c == "tp":
-                out["pos"] = [m.sum(axis=0)] * len(out)
-        return out
-
-    def area(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        tp, fp, pos = (np.array(before[c].iloc[0], dtype=float) for c in ("tp0", "fp0", "pos"))
-        code, levels = pd.factorize(-pdf[score].to_numpy(), sort=True)
-        side, ap = pdf["side"].to_numpy(), np.zeros(n_boot)
-        place = np.argsort(code, kind="stable")
-        edges = np.r_[0, np.flatnonzero(np.diff(code[place])) + 1, len(place)]
-        step = 1024
-        for lo in range(0, len(levels), step):  # a slice of distinct scores at a time
-            hi = min(lo + step, len(levels))
-            t, f = np.zeros((hi - lo, n_boot)), np.zeros((hi - lo, n_boot))
-            for i in place[edges[lo] : edges[hi]]:
-                (t if side[i] else f)[code[i] - lo] += pdf["vec"].iat[i]
-            run_t, run_f = tp + np.cumsum(t, axis=0), fp + np.cumsum(f, axis=0)
-            both = run_t + run_f
-            ap += (t * np.divide(run_t, both, out=np.ones_like(both), where=both > 0)).sum(axis=0)
-            tp, fp = run_t[-1], run_f[-1]
-        out = before[keys].head(1).copy()
-        out["ap"] = [np.divide(ap, pos, out=np.full(n_boot, np.nan), where=pos > 0)]
-        return out
-
-    totals = by_range.groupBy(*names).applyInPandas(range_totals, _fields(by_range, names, vector("fp"), vector("tp")))
-    carried = totals.groupBy(*keys).applyInPandas(carry, _fields(totals, names, vector("tp0"), vector("pos"), vector("fp0")))
-    parts = by_range.groupBy(*names).cogroup(carried.groupBy(*names)).applyInPandas(area, _fields(by_range, keys, vector("ap")))
-    points = parts.select(*keys, F.posexplode("ap").alias("b", "v"))
-    return points.groupBy(*keys, "b").agg(F.sum(C.nan_to_null("v")).alias("ap"))
+# ------------------------------------------------------------------ paired gains
 
 
 def paired_gains(
@@ -289,7 +96,7 @@ def paired_gains(
     pair = [*test_keys, *[k for k in set_keys if k != set_col]]
     point = average_precision(scored, keys=keys, y=y, score=score, name="ap")
     delta = gain_over_baseline(point, keys=pair, set_col=set_col, baseline=baseline, value="ap", name="delta")
-    boot = bootstrap_average_precision(
+    boot = bootstrap.average_precision(
         scored, test_keys=test_keys, set_keys=set_keys, y=y, score=score, cluster=cluster, n_boot=n_boot, seed=seed
     )
     diffs = gain_over_baseline(boot, keys=[*pair, "b"], set_col=set_col, baseline=baseline, value="ap", name="d")

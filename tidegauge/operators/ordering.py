@@ -73,8 +73,8 @@ def _numbers(col: pa.Array, wide: pa.DataType) -> np.ndarray:
 def _prefix_sums(batches: Iterator[pa.RecordBatch], keys: list[str], measures: list[str], wide: list[pa.DataType], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Adds to sorted rows: running and total sums of the key inside this partition, and the key's place in it.
 
-    ``__edge``: 1 the partition's first key, 2 its last, 3 both, 0 neither.
-    ``__tail``: the key's last row here.  Batches of the current key are held
+    ``__range_edge``: 1 the partition's first key, 2 its last, 3 both, 0 neither.
+    ``__range_tail``: the key's last row here.  Batches of the current key are held
     until it ends, because each of its rows gets its total.
     """
     held: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []  # pieces of the current key
@@ -138,8 +138,8 @@ def _prefix_sums(batches: Iterator[pa.RecordBatch], keys: list[str], measures: l
 def placed_sums(df: DataFrame, keys: Sequence[str], order: str, measures: Sequence[str], *, descending: bool = False, width: int | None = None) -> DataFrame:
     """``df`` in ranges of (keys, order), each sorted, with sums inside the range: one exchange.
 
-    Adds ``run_<m>`` and ``tot_<m>`` (of this range only), ``__edge``, ``__tail``
-    and ``__part``, the range's number.
+    Adds ``run_<m>`` and ``tot_<m>`` (of this range only), ``__range_edge``, ``__range_tail``
+    and ``__range``, the range's number.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -151,11 +151,11 @@ def placed_sums(df: DataFrame, keys: Sequence[str], order: str, measures: Sequen
     fields = list(df.schema.fields)
     for prefix in ("run", "tot"):
         fields += [T.StructField(f"{prefix}_{m}", T.DoubleType() if r else T.LongType()) for m, r in zip(measures, real)]
-    schema = T.StructType([*fields, T.StructField("__edge", T.IntegerType()), T.StructField("__tail", T.BooleanType())])
+    schema = T.StructType([*fields, T.StructField("__range_edge", T.IntegerType()), T.StructField("__range_tail", T.BooleanType())])
     wide = [pa.float64() if r else pa.int64() for r in real]
     arrow = to_arrow_schema(schema)
     summed = ranged.sortWithinPartitions(*by).mapInArrow(lambda b: _prefix_sums(b, keys, measures, wide, arrow), schema)
-    return summed.withColumn("__part", F.spark_partition_id())
+    return summed.withColumn("__range", F.spark_partition_id())
 
 
 def running_totals(
@@ -185,17 +185,17 @@ def running_totals(
     if chunk is not None:
         return _totals_by_chunk(df, keys, order, measures, descending, chunk)
     placed = materialize(placed_sums(df, keys, order, measures, descending=descending, width=width), "prefix-sums")
-    edges = placed.filter("__tail AND __edge > 0").select(*keys, "__part", "__edge", *[f"tot_{m}" for m in measures])
-    earlier = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    edges = placed.filter("__range_tail AND __range_edge > 0").select(*keys, "__range", "__range_edge", *[f"tot_{m}" for m in measures])
+    earlier = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*keys)
     carry = edges.select(
-        F.col("__part").alias("__c_part"), F.col("__edge").alias("__c_edge"),
+        F.col("__range").alias("__c_part"), F.col("__range_edge").alias("__c_edge"),
         *[F.coalesce(F.sum(f"tot_{m}").over(earlier), F.lit(0)).alias(f"__before_{m}") for m in measures],
         *[F.sum(f"tot_{m}").over(whole).alias(f"__all_{m}") for m in measures],
     )
     # written first: Spark then knows how small it is
     carry = materialize(carry, "prefix-carry")
-    out = placed.join(carry, (F.col("__part") == F.col("__c_part")) & (F.col("__edge") == F.col("__c_edge")), "left")
+    out = placed.join(carry, (F.col("__range") == F.col("__c_part")) & (F.col("__range_edge") == F.col("__c_edge")), "left")
     kinds = dict(placed.dtypes)
     return out.select(
         *df.columns,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.functions import columns as C
-from tidegauge.operators import evaluate, ranking, splits
+from tidegauge.operators import bootstrap, evaluate, ranking, splits
 from tidegauge.queries import base
 from tidegauge.queries.base import query, rounded, table
 from tidegauge.queries.cohort_queries import POPULATIONS_SQL, populations
@@ -216,6 +216,8 @@ def pooled_union(spark, sf):
 
 # ------------------------------------------------------------------ bootstrap
 
+N_BOOT = 1000
+
 
 def weights_sql(users: str, n_boot: int, key: str = "split") -> str:
     """Draw counts per (key, user, resample); ``users`` yields (key, user_id)."""
@@ -229,10 +231,10 @@ JOIN (SELECT {key}, user_id, row_number() OVER (PARTITION BY {key} ORDER BY user
 GROUP BY ALL"""
 
 
-@query(weights_sql("SELECT DISTINCT o_orderpriority AS split, o_custkey AS user_id FROM orders", 20).replace("u.split,", "u.split AS queue,"))
+@query(weights_sql("SELECT DISTINCT o_orderpriority AS split, o_custkey AS user_id FROM orders", 1000).replace("u.split,", "u.split AS queue,"))
 def bootstrap_weights(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("queue"), F.col("o_custkey").alias("user_id"))
-    out = evaluate.bootstrap_weights(rows, keys=["queue"], cluster="user_id", n_boot=20, seed=42)
+    out = bootstrap.bootstrap_weights(rows, keys=["queue"], cluster="user_id", n_boot=N_BOOT, seed=42)
     return out.select("queue", "user_id", F.col("b").cast("bigint").alias("b"), "weight")
 
 
@@ -255,19 +257,15 @@ SELECT split, model, feature_set, a.ap - z.ap AS delta, ci_low, ci_high, p, resa
 FROM pt a JOIN ci USING (split, model, feature_set) JOIN po USING (split, model, feature_set) JOIN pt z ON z.split = a.split AND z.model = a.model AND z.feature_set = 'B0'"""
 
 
-N_BOOT = 1000
-SEVERAL_SQL = f"WITH s0 AS ({SCORED_A_SQL}) SELECT * FROM ({POOLED_A_SQL}) WHERE model = 'HGB' AND split IN ('main', 'pooled') AND feature_set IN ('B0', 'quantity', 'balance')"
-
-
-@query(f"SELECT split, feature_set, round(delta, 6) AS delta, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, p, resamples, pos FROM ({gains_sql(SEVERAL_SQL, N_BOOT)})")
+@query(f"""WITH s0 AS MATERIALIZED ({SCORED_A_SQL}), st AS (SELECT * FROM ({POOLED_A_SQL}) WHERE split IN ('main', 'pooled'))
+SELECT split, model, feature_set, round(delta, 6) AS delta, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, p, resamples, pos FROM ({gains_sql('SELECT * FROM st', N_BOOT)})""")
 def paired_gain_ci(spark, sf):
-    rows = scored(spark, sf, pooled=True, models=["HGB"]).filter(
-        F.col("split").isin("main", "pooled") & F.col("feature_set").isin("B0", "quantity", "balance")
-    )
+    """Every model and feature set, main test and pooled blocks, 1,000 resamples."""
+    rows = scored(spark, sf, pooled=True).filter(F.col("split").isin("main", "pooled"))
     out = evaluate.paired_gains(
         rows, test_keys=["split"], set_keys=["model", "feature_set"], set_col="feature_set", baseline="B0", y="y", score="score", cluster="user_id", n_boot=N_BOOT
     )
-    return rounded(out.drop("model"), "delta", "ci_low", "ci_high")
+    return rounded(out, "delta", "ci_low", "ci_high")
 
 
 @query(f"""
