@@ -97,6 +97,7 @@ def _drawn(batches: Iterator[pa.RecordBatch], keys: list[str], n_boot: int, size
     for batch in batches:
         if not batch.num_rows:
             continue
+        batch = batch.sort_by([(k, "ascending") for k in (*keys, "q0")])
         new = ordering._changes(batch, [*keys, "q0"], None)
         starts = np.flatnonzero(new)
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):

@@ -31,10 +31,7 @@ def gains(spark, sf):
     perf = evaluate.performance(preds.filter("split = 'main'"), keys=["target", "model", "feature_set"], y="y", score="score", user="user_id")
     # stands in for permutation importance: how far the set ranks above chance
     importance = perf.select("target", "model", "feature_set", (F.col("pr_auc") - F.col("prevalence")).alias("importance"))
-    return stages.gains_stage(
-        preds, importance, keys=["target"], cluster="user_id", queue="queue", queues=QUEUES, n_boot=N_BOOT,
-        bootstrap="model = 'HGB' AND split = 'pooled' AND feature_set NOT LIKE 'placebo%'",
-    )
+    return stages.gains_stage(preds, importance, keys=["target"], cluster="user_id", queue="queue", queues=QUEUES, n_boot=N_BOOT)
 
 
 def final_table(spark, sf):
@@ -153,17 +150,20 @@ def important_without_gain(spark, sf):
 
 
 @query(f"""
-WITH s AS (SELECT target || split || model AS split, 'x' AS model, feature_set, user_id, score, y FROM ({LONG_SQL}) WHERE split = 'main' AND feature_set NOT LIKE 'placebo%'),
-g AS (SELECT * FROM ({gains_sql('SELECT * FROM s', 100)})),
-r AS (SELECT split, feature_set, p, row_number() OVER (PARTITION BY split ORDER BY p, feature_set) AS i, count(*) OVER (PARTITION BY split) AS m FROM g)
-SELECT substr(split, 1, 1) AS target, substr(split, 6) AS model, feature_set, p, round(least(1.0, max((m - i + 1) * p) OVER (PARTITION BY split ORDER BY i)), 9) AS p_holm FROM r""")
+WITH s0 AS MATERIALIZED ({LONG_SQL}), s AS MATERIALIZED (SELECT target || split AS split, model, feature_set, user_id, score, y FROM
+  (SELECT * FROM s0 UNION ALL SELECT * REPLACE ('pooled' AS split) FROM s0 WHERE split LIKE 'block%') WHERE split IN ('main', 'pooled') AND feature_set NOT LIKE 'placebo%'),
+g AS (SELECT * FROM ({gains_sql('SELECT * FROM s', N_BOOT)})),
+r AS (SELECT split, model, feature_set, p, row_number() OVER (PARTITION BY split, model ORDER BY p, feature_set) AS i, count(*) OVER (PARTITION BY split, model) AS m FROM g)
+SELECT substr(split, 1, 1) AS target, substr(split, 2) AS split, model, feature_set, p, round(least(1.0, max((m - i + 1) * p) OVER (PARTITION BY split, model ORDER BY i)), 9) AS p_holm FROM r""")
 def holm(spark, sf):
-    preds = predictions(spark, sf).filter("split = 'main' AND feature_set NOT LIKE 'placebo%'")
+    """Holm over the real sets of every target and model, in the main test and the pooled blocks, from 1,000 resamples."""
+    preds = evaluate.pooled(predictions(spark, sf), split="split", parts=stages.BLOCKS)
+    preds = preds.filter("split IN ('main', 'pooled') AND feature_set NOT LIKE 'placebo%'")
     out = evaluate.paired_gains(
-        preds, test_keys=["target"], set_keys=["model", "feature_set"], set_col="feature_set", baseline="B0", y="y", score="score", cluster="user_id", n_boot=100
+        preds, test_keys=["target", "split"], set_keys=["model", "feature_set"], set_col="feature_set", baseline="B0", y="y", score="score", cluster="user_id", n_boot=N_BOOT
     )
-    adjusted = ranking.holm(out, ["target", "model"], "p")
-    return rounded(adjusted.select("target", "model", "feature_set", "p", "p_holm"), "p_holm", digits=9)
+    adjusted = ranking.holm(out, ["target", "split", "model"], "p")
+    return rounded(adjusted.select("target", "split", "model", "feature_set", "p", "p_holm"), "p_holm", digits=9)
 
 
 @query(f"""

@@ -231,11 +231,19 @@ JOIN (SELECT {key}, user_id, row_number() OVER (PARTITION BY {key} ORDER BY user
 GROUP BY ALL"""
 
 
-@query(weights_sql("SELECT DISTINCT o_orderpriority AS split, o_custkey AS user_id FROM orders", 1000).replace("u.split,", "u.split AS queue,"))
+_CHECKSUM = "CAST(sum(weight) AS BIGINT) AS draws, count(*) AS resamples, CAST(max(weight) AS BIGINT) AS most, CAST(sum(weight * weight * (b + 1)) AS BIGINT) AS checksum"
+
+
+@query(f"""WITH w AS ({weights_sql("SELECT DISTINCT o_orderpriority AS split, o_custkey AS user_id FROM orders", N_BOOT)})
+SELECT split AS queue, user_id, {_CHECKSUM} FROM w GROUP BY split, user_id""")
 def bootstrap_weights(spark, sf):
+    """All 1,000 resamples of every queue's users, each user's weights summed up with a checksum over the resamples."""
     rows = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("queue"), F.col("o_custkey").alias("user_id"))
     out = bootstrap.bootstrap_weights(rows, keys=["queue"], cluster="user_id", n_boot=N_BOOT, seed=42)
-    return out.select("queue", "user_id", F.col("b").cast("bigint").alias("b"), "weight")
+    b = F.col("b").cast("bigint")
+    return out.groupBy("queue", "user_id").agg(
+        F.sum("weight").alias("draws"), F.count("*").alias("resamples"), F.max("weight").alias("most"), F.sum(F.col("weight") * F.col("weight") * (b + 1)).alias("checksum")
+    )
 
 
 def gains_sql(scored_sql: str, n_boot: int) -> str:
