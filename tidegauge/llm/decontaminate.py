@@ -118,11 +118,13 @@ def find(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str =
     tables = []
     for b in range(n_blocks):
         # at most about ``block`` hashes; they are uniform, so blocks are even
-        rows = shingles.filter(F.pmod("shingle", F.lit(n_blocks)) == b).toPandas()
-        keys = {int(w): np.sort(g.to_numpy(np.int64).view(np.uint64)) for w, g in rows.groupby("width")["shingle"]}
+        rows = shingles.filter(F.pmod("shingle", F.lit(n_blocks)) == b).toArrow()
+        width, value = rows.column("width").to_numpy(), rows.column("shingle").to_numpy().view(np.uint64)
+        keys = {int(w): np.sort(value[width == w]) for w in np.unique(width)}
         sent = spark.sparkContext.broadcast(keys)
         places = base.mapInArrow(lambda it, sent=sent: _places(it, sent, ["doc", "digest"]), f"doc {kind}, digest long, n_words long, place array<long>, shingle array<long>")
         tables.append(materialize(places, "benchmark-places"))
+        sent.destroy()
     hits = None
     for t in tables:
         rows = t.filter(F.size("place") > 0).select("doc", "digest", "n_words", F.inline(F.arrays_zip("place", "shingle")))

@@ -15,6 +15,7 @@ until the end, the model that is sent out is one number per bucket and label.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm import wordhash as wh
+from tidegauge.session import materialize
 
 UNDETERMINED = "und"
 LENGTHS = (2, 3, 4)
@@ -120,11 +122,11 @@ def _fit(rows: pa.Table, labels: list[str], s: Settings) -> Model:
     rng = np.random.default_rng(7)
     number = {x: i for i, x in enumerate(labels)}
     lists = rows.column("at").combine_chunks()
-    at, share = np.asarray(lists.flatten(), np.int64), np.asarray(rows.column("share").combine_chunks().flatten(), np.float32)
+    at, share = np.asarray(lists.flatten()), np.asarray(rows.column("share").combine_chunks().flatten())
     ends = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists), np.int64))])
     heads = list(zip(rows.column("draw").to_pylist(), rows.column("lang").to_pylist(), rows.column("whole").to_pylist(), strict=True))
     # rows arrive in any order; equal ones are interchangeable
-    order = sorted(range(len(heads)), key=lambda i: (*heads[i][:2], not heads[i][2], ends[i + 1] - ends[i], at[ends[i] : ends[i + 1]].tobytes()))
+    order = sorted(range(len(heads)), key=lambda i: (*heads[i][:2], not heads[i][2], ends[i + 1] - ends[i], zlib.crc32(at[ends[i] : ends[i + 1]]), zlib.adler32(at[ends[i] : ends[i + 1]])))
     data = [(at[ends[i] : ends[i + 1]], share[ends[i] : ends[i + 1]], number[heads[i][1]], heads[i][2], (heads[i][0] >> 8) % 1000 < 1000 * s.held_back) for i in order]
     train, back = [d for d in data if not d[4]], [d for d in data if d[4]]
     train, back = train or back, back or train
@@ -169,8 +171,21 @@ def train(rows: DataFrame, *, key: str, text: str, lang: str, settings: Settings
     share = F.create_map(*[x for k in labels for x in (F.lit(k), F.lit(min(1.0, settings.per_label / counts[k])))])
     sample = labelled.select(F.col(lang).alias("lang"), draw.alias("draw"), F.col(text).alias("text")).filter(F.pmod("draw", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
     sample = sample.select("lang", "draw", _padded(F.col("text")).alias("text"))
-    got = sample.mapInArrow(lambda b, k=settings.fragments: _sample_features(b, k), "lang string, draw long, whole boolean, at array<int>, share array<float>").toArrow()
-    return _fit(got, labels, settings)
+    features = sample.mapInArrow(lambda b, k=settings.fragments: _sample_features(b, k), "lang string, draw long, whole boolean, at array<int>, share array<float>")
+    features = materialize(features, "language-sample")
+    # the sample is bounded, so one task fits it; only the model comes to the driver
+    fitted = features.coalesce(1).mapInArrow(lambda b: _fit_rows(b, labels, settings), "scores binary, bias array<double>, below double").first()
+    scores = np.frombuffer(fitted["scores"], np.float32).reshape(len(labels), BUCKETS)
+    return Model(labels, scores, np.array(fitted["bias"]), fitted["below"])
+
+
+def _fit_rows(batches: Iterator[pa.RecordBatch], labels: list[str], settings: Settings) -> Iterator[pa.RecordBatch]:
+    got = [b for b in batches if b.num_rows]
+    if got:
+        model = _fit(pa.Table.from_batches(got), labels, settings)
+    else:  # texts, but the draws left all of them out
+        model = Model(labels, np.zeros((len(labels), BUCKETS), np.float32), np.zeros(len(labels)), 0.0)
+    yield pa.RecordBatch.from_arrays([pa.array([model.scores.tobytes()], pa.binary()), pa.array([model.bias.tolist()], pa.list_(pa.float64())), pa.array([model.reject_below])], ["scores", "bias", "below"])
 
 
 def _predict(batches: Iterator[pa.RecordBatch], sent, keep: list[str]) -> Iterator[pa.RecordBatch]:

@@ -195,6 +195,10 @@ def _segments_map(batches: Iterator[pa.RecordBatch], size: int, parts: int, sent
     table, run, seen, limit = sent.value, _Segments(parts, 1.0), set(), np.uint64(int(SCREEN * (1 << 64)))
     names = ["doc", "key", "n", "part", "payload"]
 
+    def passes(key: int) -> bool:
+        bit = int(_bit(np.array([key], np.int64).view(np.uint64))[0])
+        return bool(table[bit >> 3] >> (bit & 7) & 1)
+
     def packed():
         rows = list(run.payloads())
         n = len(rows)
@@ -210,7 +214,7 @@ def _segments_map(batches: Iterator[pa.RecordBatch], size: int, parts: int, sent
                 if key is not None and key not in seen:
                     seen.add(key)
                     # the screen saw nothing of a set whose least hash lies above its part
-                    if g[0] >= limit or table[_bit(np.array([key], np.int64).view(np.uint64))[0]]:
+                    if g[0] >= limit or passes(key):
                         run.add(key, len(g), g)
             n = end - first
             yield pa.RecordBatch.from_arrays([batch.column("doc").slice(first, n), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
@@ -295,12 +299,14 @@ def classes(docs: DataFrame, *, doc: str, text: str, size: int, percent: int) ->
     alone = screened.groupBy("part").applyInArrow(lambda t: _unshared(t, few), PACKED)
     bits = alone.groupBy("part").applyInArrow(lambda t: _passed(t, percent), "bit long")
     # at most BITS / 64 rows
-    blocks = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("mask")).toPandas()
+    blocks = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("mask")).toArrow()
     table = np.zeros(BITS // 64, np.uint64)
-    table[blocks["word"].to_numpy(np.int64)] = blocks["mask"].to_numpy(np.int64).view(np.uint64)
-    sent = spark.sparkContext.broadcast(np.unpackbits(table.view(np.uint8), bitorder="little").view(bool))
+    table[blocks.column("word").to_numpy()] = blocks.column("mask").to_numpy().view(np.uint64)
+    sent = spark.sparkContext.broadcast(table.view(np.uint8))  # BITS / 8 bytes
+    del blocks, table
 
     read = materialize(base.mapInArrow(lambda b: _segments_map(b, size, parts, sent, arrow), f"doc {kind}, key long, n long, {PACKED}"), "ngram-segments")
+    sent.destroy()
     shared = read.filter("part is not null").select("part", "payload").groupBy("part").applyInArrow(lambda t: _shared(t, parts), PACKED)
     left = shared.groupBy("part").applyInArrow(lambda t: _classes(t, percent), "key long, n long, lacking long, fragment int, grams array<long>, prefix array<long>, bits array<long>")
     return read.filter("part is null").select("doc", "key", "n"), materialize(left, "ngram-classes")
