@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidegauge.functions import columns as C
-from tidegauge.operators import ordering
+from tidegauge.operators import ordering, permute
+from tidegauge.session import materialize
 
 STATS = ("min", "max", "mean", "std")
 
@@ -148,27 +149,22 @@ def placebos(df: DataFrame, *, key: str, groups: Sequence[str], count: int, seed
     """(key, <name>KK__<stat> ...): for each k the four columns of group ``k mod len(groups)``, rows permuted.
 
     All rows of ``df`` take part (filter to the population first).  The row at
-    rank i by key receives the columns of the row at rank i by
-    ``md5(seed + k | key)``: a permutation that moves the four columns
-    together and keeps their joint distribution.  Both ranks are distributed.
+    rank j by key hands its columns to the row at rank ``permutation k of j``
+    (:mod:`permute`): the four columns move together and keep their joint
+    distribution.  The rows are ranked once, whatever the number of placebos,
+    and the moved columns meet in one aggregation per receiving rank.
     """
     kinds = [groups[k % len(groups)] for k in range(count)]
+    used = list(dict.fromkeys(c for g in kinds for c in stat_columns(g)))
+    ranked = materialize(ordering.row_index(df.select(key, *used), [], [key], "__i"), "placebo-ranks")
+    n = ranked.count()
     offers = F.array(
         *[
-            F.struct(
-                F.lit(k).alias("k"),
-                C.hash_u32(seed + k, F.col(key)).alias("h"),
-                F.array(*[F.col(c).cast("double") for c in stat_columns(g)]).alias("vals"),
-            )
+            F.struct(F.lit(k).alias("k"), permute.scramble("__i", n, seed, k).alias("to"), F.array(*[F.col(c).cast("double") for c in stat_columns(g)]).alias("vals"))
             for k, g in enumerate(kinds)
         ]
     )
-    given = df.select(F.col(key).alias("__giver"), F.explode(offers).alias("o")).select("__giver", "o.*")
-    given = ordering.row_index(given, ["k"], ["h", "__giver"], "__i").select("k", "__i", "vals")
-    taken = ordering.row_index(df.select(key), [], [key], "__i").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    moved = taken.join(given, ["k", "__i"])
     width = max(2, len(str(count - 1)))
-    cols = [
-        F.max(F.when(F.col("k") == k, F.col("vals")[j])).alias(f"{name}{k:0{width}d}__{s}") for k in range(count) for j, s in enumerate(STATS)
-    ]
-    return moved.groupBy(key).agg(*cols)
+    cols = [F.max(F.when(F.col("k") == k, F.col("vals")[j])).alias(f"{name}{k:0{width}d}__{s}") for k in range(count) for j, s in enumerate(STATS)]
+    moved = ranked.select(F.explode(offers).alias("o")).select("o.*").groupBy("to").agg(*cols)
+    return ranked.select(key, "__i").join(moved, F.col("__i") == F.col("to")).drop("__i", "to")

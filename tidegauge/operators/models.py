@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import columns as C
-from tidegauge.operators import evaluate, ordering
+from tidegauge.operators import evaluate, ordering, permute
 from tidegauge.operators.small import literal_table
-from tidegauge.session import ensure_checkpoint_dir
+from tidegauge.session import ensure_checkpoint_dir, materialize
 
 #: Hyperparameters fixed in advance, no search.  Trees are bounded by depth
 #: (2^4 = 16 leaves), the nearest form of the 15-leaf boosted trees.
@@ -112,18 +112,17 @@ def score_model(model: Model, floors: dict[str, float], test: DataFrame, *, colu
 
 
 def permuted_copies(df: DataFrame, *, key: str, columns: Sequence[str], repeats: int, seed: int) -> DataFrame:
-    """``repeats`` copies of the rows, in each the listed columns moved together by one permutation (``rep``)."""
-    offers = F.array(
-        *[
-            F.struct(F.lit(r).alias("rep"), C.hash_u32(seed, r, F.col(key)).alias("h"), F.struct(*columns).alias("vals"))
-            for r in range(repeats)
-        ]
-    )
-    given = df.select(F.col(key).alias("__giver"), F.explode(offers).alias("o")).select("__giver", "o.*")
-    given = ordering.row_index(given, ["rep"], ["h", "__giver"], "__i").select("rep", "__i", "vals")
+    """``repeats`` copies of the rows, in each the listed columns moved together by one permutation (``rep``).
+
+    Rows are ranked once by key; the row at rank j hands its columns to rank
+    ``permutation rep of j`` (:mod:`permute`).
+    """
+    ranked = materialize(ordering.row_index(df, [], [key], "__i"), "importance-ranks")
+    n = ranked.count()
+    offers = F.array(*[F.struct(F.lit(r).alias("rep"), permute.scramble("__i", n, seed, r).alias("to")) for r in range(repeats)])
+    given = ranked.select(F.struct(*columns).alias("vals"), F.explode(offers).alias("o")).select("vals", "o.rep", "o.to")
     rest = [c for c in df.columns if c not in columns]
-    taken = ordering.row_index(df.select(*rest), [], [key], "__i").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    return taken.join(given, ["rep", "__i"]).select(*rest, "rep", *[F.col(f"vals.{c}").alias(c) for c in columns])
+    return ranked.select(*rest, "__i").join(given, F.col("__i") == F.col("to")).select(*rest, "rep", *[F.col(f"vals.{c}").alias(c) for c in columns])
 
 
 def permutation_importance(

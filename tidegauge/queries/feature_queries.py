@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegauge.operators import checks, features
+from tidegauge.operators import checks, features, permute
 from tidegauge.queries import base
 from tidegauge.queries.base import CADENCE_SQL, JOBS_SQL, PAIRS_SQL, SALES_SQL, query, rounded, table
 
@@ -150,18 +150,19 @@ def line_stats(spark, sf):
     return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("job_id")).agg(*aggs)
 
 
-def _placebo_sql(k: int, group: str) -> str:
-    return f"""
-SELECT t.job_id, {', '.join(f"round(g.{group}__{s}, 6) AS placebo{k:02d}__{s}" for s in features.STATS)}
-FROM (SELECT job_id, row_number() OVER (ORDER BY job_id) AS i FROM s) t
-JOIN (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5('{42 + k}|' || job_id), 1, 8))::BIGINT, job_id) AS i FROM s) g USING (i)"""
+N_PLACEBOS = 20
+
+
+def _placebo_columns(k: int, group: str) -> str:
+    return ", ".join(f"round(max(g.{group}__{s}) FILTER (number = {k}), 6) AS placebo{k:02d}__{s}" for s in features.STATS)
 
 
 @query(f"""
-WITH s AS ({LINE_STATS_SQL}), {', '.join(f"p{k} AS ({_placebo_sql(k, PLACEBO_GROUPS[k % 2])})" for k in range(4))}
-SELECT * FROM p0 JOIN p1 USING (job_id) JOIN p2 USING (job_id) JOIN p3 USING (job_id)""")
+WITH s AS ({LINE_STATS_SQL}), q AS (SELECT *, row_number() OVER (ORDER BY job_id) - 1 AS i FROM s), m AS ({permute.scramble_sql('q', 42, N_PLACEBOS)})
+SELECT t.job_id, {', '.join(_placebo_columns(k, PLACEBO_GROUPS[k % 2]) for k in range(N_PLACEBOS))}
+FROM q t JOIN m ON m.x = t.i JOIN q g ON g.i = m.i GROUP BY t.job_id""")
 def placebo_permutation(spark, sf):
-    made = features.placebos(line_stats(spark, sf), key="job_id", groups=PLACEBO_GROUPS, count=4, seed=42, name="placebo")
+    made = features.placebos(line_stats(spark, sf), key="job_id", groups=PLACEBO_GROUPS, count=N_PLACEBOS, seed=42, name="placebo")
     return rounded(made, *[c for c in made.columns if c != "job_id"])
 
 
