@@ -1,5 +1,8 @@
 import math
 
+import numpy as np
+import pytest
+
 from pyspark.sql import functions as F
 
 from tidegauge.functions import columns as C
@@ -39,14 +42,68 @@ def test_asof_forward_cases(spark):
     readings = spark.createDataFrame([(1, 100, 1.0), (1, 200, 2.0), (1, 200, 3.0), (1, 300, 4.0)], "node int, ts bigint, value double")
     # exact, first at or after, next too far, past the last within and beyond the tolerance, unknown node
     grid = spark.createDataFrame([(1, 100), (1, 185), (1, 120), (1, 315), (1, 321), (2, 100)], "node int, g bigint")
-    got = windows.asof_match(grid, readings, node="node", at="g", ts="ts", value="value", grid_key=[], tolerance_ms=20)
+    got = windows.asof_match(grid, readings, node="node", at="g", ts="ts", value="value", tolerance_ms=20)
     assert rows(got.fillna(-1), "node", "g", "match_ts", "match_value") == [
         (1, 100, 100, 1.0), (1, 120, -1, -1.0), (1, 185, 200, 2.0), (1, 315, 300, 4.0), (1, 321, -1, -1.0), (2, 100, -1, -1.0),
     ]
-    near = windows.asof_match(grid, readings, node="node", at="g", ts="ts", value="value", grid_key=[], tolerance_ms=20, direction="nearest")
+    near = windows.asof_match(grid, readings, node="node", at="g", ts="ts", value="value", tolerance_ms=20, direction="nearest")
     assert (1, 120, 100) in rows(near.fillna(-1), "node", "g", "match_ts")
 
 
+@pytest.mark.parametrize("direction", ["forward", "nearest"])
+@pytest.mark.parametrize("tolerance", [0, 1, 7, 60])
+def test_asof_equals_brute_force(spark, direction, tolerance):
+    """Ties, repeated times and points, nodes without readings or without a name, negative times; no join in the plan."""
+    rng = np.random.default_rng(tolerance)
+    readings = [(int(n), int(t), float(v)) for n, t, v in zip(rng.choice([1, 1, 1, 2, 3], 300), rng.integers(-200, 1500, 300), rng.integers(0, 9, 300))] + [(None, 50, 1.0), (1, None, 1.0)]
+    grid = [(i, int(n), int(t)) for i, (n, t) in enumerate(zip(rng.choice([1, 1, 2, 4], 400), rng.integers(-300, 1700, 400)))] + [(400, None, 50), (401, 1, None), (402, 1, 5), (402, 1, 5)]
+    g = spark.createDataFrame(grid, "id int, node int, at bigint")
+    r = spark.createDataFrame(readings, "node int, ts bigint, value double")
+    made = windows.asof_match(g, r, node="node", at="at", ts="ts", value="value", tolerance_ms=tolerance, direction=direction)
+    assert made.columns == ["id", "node", "at", "match_ts", "match_value"]
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for i, n, t in grid:
+        mine = [x for x in readings if x[0] == n and n is not None and t is not None and x[1] is not None]
+        near = [x for x in mine if abs(x[1] - t) <= tolerance]
+        hit = None
+        if direction == "nearest":
+            hit = min(near, key=lambda x: (abs(x[1] - t), x[1], x[2]), default=None)
+        else:
+            hit = min((x for x in near if x[1] >= t), key=lambda x: x[1:], default=None)
+            if hit is None and mine and max(x[1] for x in mine) < t:
+                hit = max(near, key=lambda x: x[1:], default=None)
+        want.append((i, n, t, *(hit[1:] if hit else (None, None))))
+    assert sorted(map(tuple, made.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_asof_meets_no_more_rows_than_there_are(spark):
+    """A thousand readings and a thousand points within one tolerance: the merge has their sum, not their product."""
+    g = spark.range(1000).select(F.lit(1).alias("node"), (F.col("id") * 2).alias("at"))
+    r = spark.range(1000).select(F.lit(1).alias("node"), (F.col("id") * 2 + 1).alias("ts"), F.col("id").cast("double").alias("value"))
+    made = windows.asof_match(g, r, node="node", at="at", ts="ts", value="value", tolerance_ms=10_000)
+    out = made.collect()
+    assert len(out) == 1000 and all(x.match_ts == x["at"] + 1 for x in out)
+    plan = made._jdf.queryExecution().executedPlan()
+    seen = []
+
+    def walk(node):
+        name = node.nodeName()
+        if "AdaptiveSparkPlan" in name:
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        metrics = node.metrics()
+        if metrics.contains("numOutputRows"):
+            seen.append(metrics.apply("numOutputRows").value())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(plan)
+    assert seen and max(seen) <= 2000 + 10
+
+
 def test_idle_gap_drops_the_first_job_of_a_node(spark):
     hour = 3600
     jobs = spark.createDataFrame([(1, 5, 0, 5 * hour), (2, 5, 9 * hour, 14 * hour), (3, 5, 15 * hour, 30 * hour), (4, 6, 0, 9 * hour)], "job int, node int, s bigint, e bigint")

@@ -115,7 +115,6 @@ def asof_match(
     at: str,
     ts: str,
     value: str,
-    grid_key: Sequence[str],
     tolerance_ms: int,
     direction: str = "forward",
 ) -> DataFrame:
@@ -127,30 +126,44 @@ def asof_match(
     ``match_value``.  Repeated timestamps resolve to the smallest value
     (forward, nearest) or the largest (last reading).
 
-    Only readings inside the tolerance join (bucketed equi-join); the choice is
-    an aggregate per grid point, so nothing is sorted as a whole.  The last
-    reading's time of every node is a plain ``max`` with map-side combine.
+    Points and readings are merged per (node, stretch of time as long as the
+    tolerance): a running window each way finds the neighbours, and nothing is
+    joined, so no point meets more than one reading a side.  A neighbour can lie
+    in the stretch before or behind; the first and last reading of every stretch
+    are handed over to those, and the node's last reading marks its own and the next.
     """
     if direction not in ("forward", "nearest"):
         raise ValueError(f"unknown direction: {direction}")
-    slim = readings.select(F.col(node), F.col(ts).alias("__ts"), F.col(value).alias("__v"))
-    keys = list(dict.fromkeys([*grid_key, node, at]))
-    spans = grid.select(*keys).withColumn("__t0", F.col(at) - tolerance_ms).withColumn("__t1", F.col(at) + tolerance_ms + 1)
-    near = interval_join(slim, spans, node=node, ts="__ts", t0="__t0", t1="__t1", bucket_ms=2 * tolerance_ms + 1)
-    here = F.struct("__ts", "__v")
+    stretch = max(int(tolerance_ms), 1)
+    chunk = lambda t: F.floor(F.col(t) / F.lit(stretch)).alias("__chunk")
+    slim = readings.select(F.col(node).alias("__node"), F.col(ts).cast("bigint").alias("__t"), F.col(value).alias("__v")).filter("__node IS NOT NULL AND __t IS NOT NULL")
+    placed = slim.select("*", chunk("__t")).repartition("__node", "__chunk")
+    reading = F.struct(F.col("__t").alias("ts"), "lo", "hi").alias("__r")
+    once = placed.groupBy("__node", "__chunk", "__t").agg(F.min("__v").alias("lo"), F.max("__v").alias("hi")).select("__node", "__chunk", "__t", reading)
+    edges = once.groupBy("__node", "__chunk").agg(F.min("__r").alias("first"), F.max("__r").alias("last"))
+    over = F.explode(F.array(F.struct((F.col("__chunk") - 1).alias("c"), F.col("first").alias("r")), F.struct((F.col("__chunk") + 1).alias("c"), F.col("last").alias("r")))).alias("e")
+    handed = edges.select("__node", over).select("__node", F.col("e.c").alias("__chunk"), F.col("e.r.ts").alias("__t"), F.col("e.r").alias("__r"))
+    ends = edges.groupBy("__node").agg(F.max("last.ts").alias("__end"))
+    ends = ends.select("__node", "__end", F.explode(F.array(F.floor(F.col("__end") / F.lit(stretch)), F.floor(F.col("__end") / F.lit(stretch)) + 1)).alias("__chunk"))
+
+    points = grid.select(F.col(node).alias("__node"), F.col(at).cast("bigint").alias("__t"), chunk(at), F.struct(*grid.columns).alias("__g"))
+    merged = points.unionByName(once.unionByName(handed), allowMissingColumns=True).unionByName(ends, allowMissingColumns=True)
+    part, point = W.partitionBy("__node", "__chunk"), F.col("__g").isNotNull().cast("int")
+    # at equal times a point stands before the reading, both ways round
+    behind = part.orderBy(F.asc("__t"), F.desc(point)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ahead = part.orderBy(F.desc("__t"), F.asc(point)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = merged.select(
+        "__t", "__g", F.last("__r", ignorenulls=True).over(behind).alias("__last"), F.last("__r", ignorenulls=True).over(ahead).alias("__next"), F.max("__end").over(part).alias("__end")
+    ).filter(F.col("__g").isNotNull())
+    near = lambda c: F.abs(F.col(f"{c}.ts") - F.col("__t")) <= tolerance_ms
+    pick = lambda c, v: F.struct(F.col(f"{c}.ts").alias("ts"), F.col(f"{c}.{v}").alias("v"))
     if direction == "nearest":
-        closest = F.struct(F.abs(F.col("__ts") - F.col(at)).alias("d"), "__ts", "__v")
-        found = near.groupBy(*keys).agg(F.min(closest).alias("__m"))
+        closer = F.col("__next").isNull() | (F.col("__t") - F.col("__last.ts") <= F.col("__next.ts") - F.col("__t"))
+        match = F.when(closer & near("__last"), pick("__last", "lo")).when(near("__next"), pick("__next", "lo"))
     else:
-        sides = near.groupBy(*keys).agg(
-            F.min(F.when(F.col("__ts") >= F.col(at), here)).alias("__next"), F.max(F.when(F.col("__ts") < F.col(at), here)).alias("__last")
-        )
-        ends = slim.groupBy(node).agg(F.max("__ts").alias("__end"))
-        found = sides.join(ends, node).select(
-            *keys, F.coalesce("__next", F.when(F.col("__end") < F.col(at), F.col("__last"))).alias("__m")
-        )
-    found = found.select(*keys, F.col("__m.__ts").alias("match_ts"), F.col("__m.__v").alias("match_value"))
-    return grid.join(found, keys, "left")
+        match = F.when(near("__next"), pick("__next", "lo")).when((F.col("__end") < F.col("__t")) & near("__last"), pick("__last", "hi"))
+    found = found.withColumn("__m", match)
+    return found.select(*[F.col(f"__g.{c}").alias(c) for c in grid.columns], F.col("__m.ts").alias("match_ts"), F.col("__m.v").alias("match_value"))
 
 
 def pearson(x: Column | str, y: Column | str) -> Column:

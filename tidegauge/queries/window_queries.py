@@ -132,7 +132,7 @@ def _grid(spark, sf):
 
 def _asof(spark, sf, direction):
     return windows.asof_match(
-        _grid(spark, sf), base.readings(spark, sf), node="node", at="grid_ms", ts="ts_ms", value="value", grid_key=["vec_id", "shift_ms", "k"],
+        _grid(spark, sf), base.readings(spark, sf), node="node", at="grid_ms", ts="ts_ms", value="value",
         tolerance_ms=24 * HOUR_MS, direction=direction,
     )
 
