@@ -101,8 +101,8 @@ i AS (SELECT item_id, {words("text", WORD)} AS w FROM benchmark),
 q AS (SELECT DISTINCT item_id, unnest(w) AS t FROM i),
 c AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d),
 f AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY rid, t),
-w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM f, c GROUP BY t, docs),
-p AS (SELECT rid, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * len(d.w) * docs) // total))) AS part FROM f JOIN w USING (t) JOIN d USING (rid), c),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM f, c GROUP BY t, docs),
+p AS (SELECT rid, t, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * len(d.w) * docs) // total))) AS part FROM f JOIN w USING (t) JOIN d USING (rid), c),
 s AS (SELECT item_id, rid, CAST(sum(part) AS BIGINT) AS score FROM p JOIN q USING (t) GROUP BY item_id, rid)
 SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
 FROM s JOIN d USING (rid) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
