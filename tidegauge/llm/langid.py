@@ -31,6 +31,8 @@ from tidegauge.session import materialize
 UNDETERMINED = "und"
 LENGTHS = (2, 3, 4)
 BUCKETS = 1 << 15
+#: Bytes of an Arrow batch: long texts do not meet in one.
+BATCH_BYTES = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -161,7 +163,7 @@ def _fit(rows: pa.Table, labels: list[str], s: Settings) -> Model:
 
 def train(rows: DataFrame, *, key: str, text: str, lang: str, settings: Settings = Settings()) -> Model:
     """Fit on ``rows``; those without text or label are left out."""
-    wh.bound_batches(rows.sparkSession)
+    wh.bound_batches(rows.sparkSession, BATCH_BYTES)
     labelled = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
     labels = sorted(counts)
@@ -188,10 +190,12 @@ def _fit_rows(batches: Iterator[pa.RecordBatch], labels: list[str], settings: Se
     yield pa.RecordBatch.from_arrays([pa.array([model.scores.tobytes()], pa.binary()), pa.array([model.bias.tolist()], pa.list_(pa.float64())), pa.array([model.reject_below])], ["scores", "bias", "below"])
 
 
-def _predict(batches: Iterator[pa.RecordBatch], sent, keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], sent, keep: list[str], text: str) -> Iterator[pa.RecordBatch]:
     model: Model = sent.value
     for batch in batches:
-        for first, end, data, offsets in wh.blocks(batch.column("text")):
+        # like _padded; here, so that a text that is kept goes to the task once
+        padded = pc.binary_join_element_wise(" ", pc.fill_null(batch.column(text), ""), " ", "")
+        for first, end, data, offsets in wh.blocks(padded):
             z = np.zeros((end - first, len(model.labels)))
             size = np.zeros(end - first)
             for n in LENGTHS:
@@ -217,11 +221,13 @@ def _predict(batches: Iterator[pa.RecordBatch], sent, keep: list[str]) -> Iterat
 
 def _predicted(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
     """Like :func:`predict`, with ``keep_`` before the names that are kept."""
-    wh.bound_batches(docs.sparkSession)
-    rows = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"), _padded(F.col(text)).alias("text"))
+    wh.bound_batches(docs.sparkSession, BATCH_BYTES)
+    letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters")
+    kept = f"keep_{text}" if text in keep else "text"
+    rows = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], letters, *([] if text in keep else [F.col(text).alias("text")]))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets x labels
     names, kinds = [f"keep_{c}" for c in keep], dict(docs.dtypes)
-    return rows.mapInArrow(lambda b: _predict(b, sent, names), ", ".join([f"`keep_{c}` {kinds[c]}" for c in keep] + ["lang_pred string, score double, rejected boolean"]))
+    return rows.mapInArrow(lambda b: _predict(b, sent, names, kept), ", ".join([f"`keep_{c}` {kinds[c]}" for c in keep] + ["lang_pred string, score double, rejected boolean"]))
 
 
 def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str]) -> DataFrame:

@@ -57,8 +57,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bound_batches(spark) -> None:
-    """Hand texts to Arrow tasks ``BATCH_ROWS`` rows at a time, or fewer if the session says so.
+def bound_batches(spark, size: int | None = None) -> None:
+    """Hand texts to Arrow tasks ``BATCH_ROWS`` rows (and ``size`` bytes) at a time, or fewer if the session says so.
 
     Spark's own bound of 10,000 rows is some 100 MB of texts for each task, in the
     JVM and again in Python.
@@ -67,6 +67,8 @@ def bound_batches(spark) -> None:
     set_to = int(spark.conf.get(key, "10000"))
     if set_to <= 0 or set_to > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    if size is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
