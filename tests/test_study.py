@@ -54,9 +54,9 @@ def test_study_end_to_end(spark, world):
     assert jobs.filter("job_state = 'CANCELLED'").count() == 0 and jobs.filter("target_a = 1 AND job_state <> 'FAILED'").count() == 0
     wins = materialize(stages.windows_stage(jobs, STUDY), "windows")
     out = scratch_path(spark, "study-windows")
-    assert stages.refresh_window_readings(spark, root, out, wins, STUDY) == sorted(STUDY.channels)
+    assert stages.refresh_window_readings(spark, root, out, wins, STUDY) == sorted((c, "20-05") for c in STUDY.channels)
     assert stages.refresh_window_readings(spark, root, out, wins, STUDY) == []
-    inside = spark.read.parquet(out)
+    inside = stages.window_readings(spark, out)
     assert inside.filter("ts_ms < t0_ms OR ts_ms >= t0_ms + 1200000").count() == 0
     inv = materialize(stages.inventory_stage(tables.lake_readings(spark, root, channels=STUDY.channels, months=STUDY.months), STUDY), "inventory")
     got = {r.channel: r for r in inv.collect()}

@@ -42,14 +42,24 @@ def window_readings_stage(readings: DataFrame, job_windows: DataFrame, study: St
     return pairs.groupBy("channel", "job_id", "node", "ts_ms", "t0_ms").agg(F.min("value").alias("value"))
 
 
-def refresh_window_readings(spark: SparkSession, root: str, out: str, job_windows: DataFrame, study: Study) -> list[str]:
-    """Extract only the channels ``out`` does not hold yet; returns their names."""
-    wanted = literal_table(spark, [(c,) for c in study.channels], "channel string")
-    todo = sorted(r.channel for r in tables.missing_keys(spark, out, wanted, "channel").collect())  # at most one name per channel
-    if todo:
-        readings = tables.lake_readings(spark, root, channels={c: study.channels[c] for c in todo}, months=study.months)
-        tables.write_windows(window_readings_stage(readings, job_windows, study), out)
-    return todo
+def refresh_window_readings(spark: SparkSession, root: str, out: str, job_windows: DataFrame, study: Study) -> list[tuple[str, str]]:
+    """Extract the (channel, month) units that ``out`` does not hold in full; returns them.  Read them by :func:`window_readings`."""
+    wanted = literal_table(spark, [(c, m) for c in study.channels for m in study.months], "channel string, month string")
+
+    def extract(units: list[tuple[str, str]]) -> DataFrame:
+        parts = None
+        for month in sorted({m for _, m in units}):
+            readings = tables.lake_readings(spark, root, channels={c: study.channels[c] for c, m in units if m == month}, months=[month])
+            part = window_readings_stage(readings, job_windows, study).withColumn("month", F.lit(month))
+            parts = part if parts is None else parts.unionByName(part)
+        return materialize(parts, "window-readings")
+
+    return tables.refresh_units(spark, out, f"{out.rstrip('/')}_ledger", wanted, extract, directories=["channel", "month"])
+
+
+def window_readings(spark: SparkSession, out: str) -> DataFrame:
+    """The extracted readings of all units that were written to the end."""
+    return tables.committed_units(spark, out, f"{out.rstrip('/')}_ledger", directories=["channel", "month"]).drop("month")
 
 
 def inventory_stage(readings: DataFrame, study: Study) -> DataFrame:

@@ -8,7 +8,7 @@ from tidegauge.functions import columns as C
 from tidegauge.operators.small import literal_table
 from tidegauge.queries import base
 from tidegauge.queries.base import query, rounded, table
-from tidegauge.session import scratch_path
+from tidegauge.session import materialize, scratch_path
 from tidegauge.sources import tables
 
 PLUGIN = {"click": "web", "view": "web", "signup": "web", "purchase": "shop", "error": "shop"}
@@ -78,20 +78,27 @@ def json_roundtrip(spark, sf):
 
 
 @query(f"""
-SELECT channel, count(*) AS n, CAST(sum(ts_ms % 1000) AS BIGINT) AS check_sum, channel IN ('error', 'purchase', 'signup', 'view') AS second_run
-FROM ({base.PAIRS_SQL}) GROUP BY channel""")
+SELECT channel, CASE WHEN ts_ms < 1705363200000 THEN 'first' ELSE 'second' END AS half, count(*) AS n, CAST(sum(ts_ms % 1000) AS BIGINT) AS check_sum,
+  CASE WHEN channel = 'click' THEN 1 WHEN ts_ms < 1705363200000 THEN 2 ELSE 3 END AS run
+FROM ({base.PAIRS_SQL}) GROUP BY ALL""")
 def incremental_refresh(spark, sf):
-    # the first run holds one channel; the second finds and adds only the missing ones
+    """Units of channel and half: one channel first, then the first half of all, then the rest; each is read once."""
     path = scratch_path(spark, "window-readings")
-    pairs = base.window_pairs(spark, sf).select("channel", "job_id", "node", "ts_ms", "value")
-    wanted = literal_table(spark, [(c,) for c in base.CHANNELS], "channel string")
-    tables.write_windows(pairs.filter("channel = 'click'"), path)
-    missing = tables.missing_keys(spark, path, wanted, "channel")
-    tables.write_windows(pairs.join(F.broadcast(missing), "channel", "left_semi"), path)
-    done = spark.read.parquet(path)
-    return done.groupBy("channel").agg(F.count("*").alias("n"), F.sum(F.col("ts_ms") % 1000).alias("check_sum")).withColumn(
-        "second_run", F.col("channel") != "click"
-    )
+    half = F.when(F.col("ts_ms") < 1705363200000, "first").otherwise("second")
+    pairs = materialize(base.window_pairs(spark, sf).select("channel", half.alias("half"), "job_id", "node", "ts_ms", "value"), "window-pairs")
+    units = ["channel", "half"]
+    wanted = literal_table(spark, [(c, h) for c in base.CHANNELS for h in ("first", "second")], "channel string, half string")
+    run = 0
+    for condition in ("channel = 'click'", "half = 'first'", "true", "true"):
+        run += 1
+
+        def extract(todo, run=run):
+            listed = literal_table(spark, todo, "channel string, half string")
+            return pairs.join(listed, units, "left_semi").withColumn("run", F.lit(run))
+
+        tables.refresh_units(spark, path, f"{path}_ledger", wanted.filter(condition), extract, directories=units)
+    done = tables.committed_units(spark, path, f"{path}_ledger", directories=units)
+    return done.groupBy("channel", "half", "run").agg(F.count("*").alias("n"), F.sum(F.col("ts_ms") % 1000).alias("check_sum")).select("channel", "half", "n", "check_sum", "run")
 
 
 @query("""

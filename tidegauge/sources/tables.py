@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tidegauge.functions import columns as C
+from tidegauge.sources.ledger import Ledger
 
 LAKE_KEYS = ("year_month", "plugin", "metric")
 
@@ -84,43 +85,83 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_windows(df: DataFrame, path: str, *, channel: str = "channel", sort_by: Sequence[str] = ("job_id", "node", "ts_ms")) -> None:
-    """Window readings by channel directory, replacing only the channels present in ``df``.
-
-    A hash salt beside the channel keeps a channel with most of the rows from
-    being written by one task.
-    """
+def write_windows(df: DataFrame, path: str, *, directories: Sequence[str] = ("channel",), sort_by: Sequence[str] = ("job_id", "node", "ts_ms")) -> None:
+    """Window readings in directories, replacing only the directories present in ``df``."""
     (
-        _salted(df, [channel], list(sort_by))
+        _salted(df, list(directories), list(sort_by))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(channel)
+        .partitionBy(*directories)
         .parquet(path)
     )
 
 
+def refresh_units(spark: SparkSession, path: str, ledger_path: str, wanted: DataFrame, extract, *, directories: Sequence[str]) -> list[tuple]:
+    """Bring a table in directories up to date: extract, write and commit the wanted units it does not hold in full.
+
+    ``wanted`` has a row per unit with the columns ``directories`` (a listed
+    set, such as channels and months); ``extract`` takes the list of their
+    values and returns the rows of those units.  Returns the units that were
+    written.  Read the table through :func:`committed_units`.
+    """
+    names = list(directories)
+    ledger = Ledger(spark, ledger_path)
+    unit = F.concat_ws("|", *[F.col(d).cast("string") for d in names])
+    todo = ledger.pending(wanted.select(*names).distinct().withColumn("unit", unit))
+    rows = sorted(tuple(r[d] for d in names) for r in todo.collect())
+    if rows:
+        write_windows(extract(rows), path, directories=names)
+        held = _existing(spark, path)
+        counts = spark.createDataFrame([], "unit string, rows long") if held is None else held.groupBy(unit.alias("unit")).agg(F.count("*").alias("rows"))
+        ledger.commit(todo.select("unit").join(counts, "unit", "left").select("unit", F.coalesce("rows", F.lit(0)).alias("rows")))
+    return rows
+
+
+def committed_units(spark: SparkSession, path: str, ledger_path: str, *, directories: Sequence[str]) -> DataFrame:
+    """The rows of all units that were written to the end."""
+    unit = F.concat_ws("|", *[F.col(d).cast("string") for d in directories])
+    return Ledger(spark, ledger_path).committed(spark.read.parquet(path).withColumn("unit", unit)).drop("unit")
+
+
 def write_lake(df: DataFrame, path: str, *, sort_by: Sequence[str] = ("node", "timestamp")) -> None:
     """Raw readings as a lake: one directory per month, plugin and metric, a few sorted files in each."""
     _salted(df, list(LAKE_KEYS), list(sort_by)).write.mode("overwrite").partitionBy(*LAKE_KEYS).parquet(path)
 
 
-def _salted(df: DataFrame, directories: Sequence[str], sort_by: Sequence[str], salts: int = 32) -> DataFrame:
-    """Rows of one directory spread over at most ``salts`` tasks, sorted inside each."""
-    salt = F.pmod(F.xxhash64(sort_by[0]), F.lit(salts))
-    spread = df.withColumn("__salt", salt).repartition(*[F.col(d) for d in directories], F.col("__salt")).drop("__salt")
-    return spread.sortWithinPartitions(*directories, *sort_by)
+#: Rows that one task writes into a directory.
+FILE_ROWS = 4_000_000
 
 
-def missing_keys(spark: SparkSession, path: str, requested: DataFrame, key: str) -> DataFrame:
-    """Requested keys a table does not hold yet; all of them when there is no table.
+def _salted(df: DataFrame, directories: Sequence[str], sort_by: Sequence[str], file_rows: int = FILE_ROWS) -> DataFrame:
+    """Rows of one directory spread over as many tasks as its counted rows need, sorted inside each.
 
-    Any other trouble with the table (a missing column, no access) is an error.
+    The salt is a hash of the whole sort key, so a node with most of the rows is
+    spread like any other.  ``df`` is read twice: write it first if it is dear.
     """
+    counts = df.groupBy(*[F.col(d).alias(f"__d_{d}") for d in directories]).agg(F.ceil(F.count("*") / F.lit(file_rows)).alias("__salts"))
+    same = [F.col(d).eqNullSafe(F.col(f"__d_{d}")) for d in directories]
+    salted = df.join(counts, same).select(*df.columns, F.pmod(F.xxhash64(*sort_by), F.col("__salts")).alias("__salt"))
+    spread = salted.repartition(*[F.col(d) for d in directories], F.col("__salt")).drop("__salt")
+    return spread.sortWithinPartitions(*directories, *sort_by)
+
+
+def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``; None where there is no folder, or one without any file of data."""
     try:
-        table = spark.read.parquet(path)
+        return spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
+        return None
+
+
+def missing_keys(spark: SparkSession, path: str, requested: DataFrame, key: str) -> DataFrame:
+    """Requested keys a table does not hold yet; all of them when there is no table.
+
+    Any other trouble with the table (a missing column, no access) is an error.
+    """
+    table = _existing(spark, path)
+    if table is None:
         return requested
     present = table.select(key).distinct()
     return requested.join(present.withColumn(key, F.col(key).cast(dict(requested.dtypes)[key])), key, "left_anti")
