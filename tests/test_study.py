@@ -8,6 +8,7 @@ from tidegauge.plans import stages
 from tidegauge.plans.settings import Study
 from tidegauge.session import materialize, scratch_path
 from tidegauge.sources import tables
+from tidegauge.sources.ledger import Ledger
 
 STUDY = Study(
     cohort_start="2020-05-06 00:00:00",
@@ -48,7 +49,7 @@ def world(spark):
     return jobs, root
 
 
-def test_study_end_to_end(spark, world):
+def test_study_end_to_end(spark, world, monkeypatch):
     job_table, root = world
     jobs = materialize(stages.cohort_stage(job_table, STUDY), "jobs")
     assert jobs.filter("job_state = 'CANCELLED'").count() == 0 and jobs.filter("target_a = 1 AND job_state <> 'FAILED'").count() == 0
@@ -75,12 +76,26 @@ def test_study_end_to_end(spark, world):
     members = materialize(stages.splits_stage(table), "members")
     primary = stages.analyses(STUDY, request, boosted={"maxIter": 3, "minInstancesPerNode": 5}, forest={"numTrees": 3})[0]
     small = models.Analysis(primary.name, primary.population, primary.groups, primary.baseline, primary.models[:2], primary.placebo, 1)
-    preds, imps = stages.fit_stage(members, small, "a", split_names=["main", "block1"], sets=["B0", "node_power", "placebo00"])
+    fits = scratch_path(spark, "study-fits")
+    go = lambda: stages.fit_stage(members, small, "a", split_names=["main", "block1"], sets=["B0", "node_power", "placebo00"], folder=fits)
+    preds, imps = go()
+    # a unit whose scores are there without a commit is fitted again, and nothing else
+    fitted, real = [], models.fit_slice
+    kept = Ledger(spark, f"{fits}/ledger").done().filter("unit <> 'primary|a|main|HGB|node_power'").cache()
+    assert kept.count() == 11
+    kept.write.mode("overwrite").parquet(f"{fits}/ledger_kept")
+    spark.read.parquet(f"{fits}/ledger_kept").write.mode("overwrite").parquet(f"{fits}/ledger")
+    assert go()[0].filter("model = 'HGB'").select("split", "feature_set").distinct().count() == 6
+    monkeypatch.setattr(models, "fit_slice", lambda *a: fitted.append(a) or real(*a))
+    preds, imps = go()
+    assert fitted == []
     assert preds.select("split", "model", "feature_set").distinct().count() == 2 * 2 * 3 and imps.count() == 4
     best = {(r.model, r.feature_set): r.importance for r in imps.collect()}
     assert best[("HGB", "node_power")] > best[("HGB", "placebo00")]
     meta = jobs.select("job_id", "user_id", "qos", F.col("target_a").alias("y"))
     scored = materialize(preds.join(meta, "job_id"), "scored")
+    with pytest.raises(Exception, match="no importance for"):
+        stages.gains_stage(scored, imps.filter("feature_set <> 'placebo00'"), keys=[], cluster="user_id", queue="qos", queues=STUDY.queues, n_boot=5)
     gains = stages.gains_stage(scored, imps, keys=[], cluster="user_id", queue="qos", queues=STUDY.queues, n_boot=STUDY.n_boot)
     row = gains.filter("model = 'HGB' AND feature_set = 'node_power'").first()
     assert row.delta_main > 0 and row.pos_main > 0 and row.p_holm_pooled is not None and row.delta_queue11 is not None

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,6 +111,73 @@ def score_model(model: Model, floors: dict[str, float], test: DataFrame, *, colu
     return model.transform(data).select(*keep, label, vector_to_array("probability")[1].cast("float").alias("score"))
 
 
+# ------------------------------------------------------------------ many fits over one table of vectors
+
+
+@dataclass(frozen=True)
+class Vectors:
+    """All columns of a split as one vector: ``train`` and ``test`` are (key, label, all); ``places`` finds a column's numbers."""
+
+    train: DataFrame
+    test: DataFrame
+    places: dict[str, list[int]]
+    label: str
+
+    def slice(self, df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+        at = [i for c in columns for i in self.places[c]]
+        return VectorSlicer(inputCol="all", outputCol=name, indices=at).transform(df)
+
+
+def vectors(rows: DataFrame, *, key: str, label: str, columns: Sequence[str], role: str = "role") -> Vectors:
+    """The labelled rows of one split with ``columns`` as a vector, written once for every fit.
+
+    The floors that stand for missing values come from one aggregate over the
+    training rows.  A column has two numbers: its value or floor, and the mark.
+    """
+    known = rows.filter(F.col(label).isNotNull())
+    columns = list(dict.fromkeys(columns))
+    ready, names = with_missing_marks(known, columns, column_floors(known.filter(F.col(role) == "train"), columns))
+    data = VectorAssembler(inputCols=names, outputCol="all").transform(ready).select(key, role, label, "all")
+    data = materialize(data, "fit-vectors")
+    at = {n: i for i, n in enumerate(names)}
+    places = {c: [at[f"x_{c}"], at[f"na_{c}"]] for c in columns}
+    return Vectors(data.filter(F.col(role) == "train").drop(role), data.filter(F.col(role) == "test").drop(role), places, label)
+
+
+def fit_slice(v: Vectors, columns: Sequence[str], spec: ModelSpec) -> Model:
+    """Fit on a slice of the vectors."""
+    ensure_checkpoint_dir(v.train.sparkSession)
+    return spec.estimator(v.label).fit(v.slice(v.train, columns, "features").select("features", v.label))
+
+
+def score_slice(model: Model, v: Vectors, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """(keep, label, score) of the test rows."""
+    return model.transform(v.slice(v.test, columns, "features")).select(*keep, v.label, vector_to_array("probability")[1].cast("float").alias("score"))
+
+
+def importance_slice(model: Model, v: Vectors, ranked: DataFrame, scored: DataFrame, *, key: str, columns: Sequence[str], permuted: Sequence[str], repeats: int = 10, seed: int = 42) -> DataFrame:
+    """One row, ``importance``: mean drop of PR-AUC when the last ``permuted`` of ``columns`` move together.
+
+    ``ranked``: the test vectors with their rank ``__i`` (:func:`ordering.row_index`),
+    ranked once for all fits; ``scored``: the model's own scores.
+    """
+    own = [c for c in columns if c not in permuted]
+    n = ranked.count()
+    offers = F.array(*[F.struct(F.lit(r).alias("rep"), permute.scramble("__i", n, seed, r).alias("to")) for r in range(repeats)])
+    given = v.slice(ranked, permuted, "__given").select("__given", F.explode(offers).alias("o")).select("__given", "o.rep", "o.to")
+    base = v.slice(ranked, own, "__own").select("__i", v.label, "__own")
+    both = VectorAssembler(inputCols=["__own", "__given"], outputCol="features").transform(base.join(given, F.col("__i") == F.col("to")))
+    again = model.transform(both).select("rep", v.label, vector_to_array("probability")[1].cast("float").alias("score"))
+    # the model's own scores are one more copy, so that one pass orders them all
+    copies = again.unionByName(scored.select(F.lit(-1).alias("rep"), v.label, "score"))
+    ap = evaluate.average_precision(copies, keys=["rep"], y=v.label, score="score", name="ap")
+    base_ap = F.max(F.when(F.col("rep") < 0, F.col("ap")))
+    return ap.agg((base_ap - F.avg(F.when(F.col("rep") >= 0, F.col("ap")))).alias("importance"))
+
+
+# ------------------------------------------------------------------ permutation importance of one model
+
+
 def permuted_copies(df: DataFrame, *, key: str, columns: Sequence[str], repeats: int, seed: int) -> DataFrame:
     """``repeats`` copies of the rows, in each the listed columns moved together by one permutation (``rep``).
 

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import threading
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.operators import cohort, completeness, evaluate, features, inventory, models, ranking, rules, splits, windows
+from tidegauge.operators import cohort, completeness, evaluate, features, inventory, models, ordering, ranking, rules, splits, windows
 from tidegauge.operators.small import literal_table
 from tidegauge.plans import settings
 from tidegauge.plans.settings import Study
-from tidegauge.session import materialize
+from tidegauge.session import materialize, scratch_path
 from tidegauge.sources import tables
+from tidegauge.sources.ledger import Ledger
 
 SUFFIX = {"target_a": "a", "target_b": "b"}
 SPLITS = ["main", "block1", "block2", "block3"]
@@ -171,34 +176,73 @@ def analyses(study: Study, request: Sequence[str], boosted: dict | None = None,
     ]
 
 
-def fit_stage(members: DataFrame, analysis: models.Analysis, target: str, *, key: str = "job_id", seed: int = 42, split_names: Sequence[str] = SPLITS, sets: Sequence[str] | None = None):
+def fit_stage(
+    members: DataFrame,
+    analysis: models.Analysis,
+    target: str,
+    *,
+    key: str = "job_id",
+    seed: int = 42,
+    split_names: Sequence[str] = SPLITS,
+    sets: Sequence[str] | None = None,
+    folder: str | None = None,
+    workers: int = 4,
+) -> tuple[DataFrame, DataFrame]:
     """Fit and score every (split, model, feature set) of an analysis; importance on the main split.
 
-    Training data is read and trained on by the cluster; the driver only walks
-    the list of fits.  Returns (predictions, importance), or ``None`` for
-    importance when no main split was fitted.
+    The columns of a split are assembled to one vector table; a fit takes its
+    slice of it.  ``workers`` fits run at a time, each in a scheduler pool of its
+    own (fair, where ``spark.scheduler.mode`` says so).  A fit writes its scores
+    and importance below ``folder`` and is then committed to a ledger there: a
+    run with the same folder goes on where the last one ended, and fits nothing
+    twice.  Without a folder a fresh one below the shared folder is taken.
+
+    Returns (predictions, importance), read from those tables.
     """
+    spark = members.sparkSession
+    folder = (folder or scratch_path(spark, "fits")).rstrip("/")
+    ledger, lock = Ledger(spark, f"{folder}/ledger"), threading.Lock()
     label = f"target_{target}"
-    rows = members.filter((F.col("population") == analysis.population) & F.col(label).isNotNull())
     chosen = {n: c for n, c in analysis.feature_sets().items() if sets is None or n in sets}
-    preds, imps = None, None
+    unit = lambda split, model, name: "|".join([analysis.name, target, split, model, name])
+    done = {r.unit for r in ledger.done().collect()}  # one row a fit
+    rows = members.filter((F.col("population") == analysis.population) & F.col(label).isNotNull())
+
     for split in split_names:
-        part = rows.filter(F.col("split") == split)
-        train, test = part.filter(F.col("role") == "train").cache(), part.filter(F.col("role") == "test").cache()
-        for spec in analysis.models:
-            for name, extra in chosen.items():
-                columns = [*analysis.baseline, *extra]
-                model, floors = models.fit_model(train, columns=columns, label=label, spec=spec)
-                tags = [F.lit(split).alias("split"), F.lit(spec.name).alias("model"), F.lit(name).alias("feature_set")]
-                scored = models.score_model(model, floors, test, columns=columns, label=label, keep=[key]).select(key, *tags, "score")
-                scored = materialize(scored, "scores")
-                preds = scored if preds is None else preds.unionByName(scored)
-                if split == "main" and extra:
-                    drop = models.permutation_importance(model, floors, test, key=key, columns=columns, permuted=extra, label=label, seed=seed)
-                    drop = materialize(drop.select(*tags[1:], "importance"), "importance")
-                    imps = drop if imps is None else imps.unionByName(drop)
-        train.unpersist()
-        test.unpersist()
+        todo = [(spec, name) for spec in analysis.models for name in chosen if unit(split, spec.name, name) not in done]
+        if not todo:
+            continue
+        every = [*analysis.baseline, *[c for _, name in todo for c in chosen[name]]]
+        v = models.vectors(rows.filter(F.col("split") == split), key=key, label=label, columns=every)
+        ranked = materialize(ordering.row_index(v.test, [], [key], "__i"), "fit-ranks") if split == "main" else None
+
+        def fit(job, split=split, v=v, ranked=ranked) -> None:
+            spec, name = job
+            this = unit(split, spec.name, name)
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{threading.get_ident() % workers}")
+            columns = [*analysis.baseline, *chosen[name]]
+            model = models.fit_slice(v, columns, spec)
+            tags = [F.lit(this).alias("unit"), F.lit(split).alias("split"), F.lit(spec.name).alias("model"), F.lit(name).alias("feature_set")]
+            scores = f"{folder}/scores/fit={hashlib.md5(this.encode()).hexdigest()}"
+            models.score_slice(model, v, columns, [key]).select(key, label, *tags, "score").write.mode("overwrite").parquet(scores)
+            if split == "main" and chosen[name]:
+                scored = spark.read.parquet(scores)
+                drop = models.importance_slice(model, v, ranked, scored, key=key, columns=columns, permuted=chosen[name], seed=seed)
+                drop.select(*tags, "importance").write.mode("overwrite").parquet(scores.replace("/scores/", "/importance/"))
+            with lock:  # two appends to one folder at a time would end each other
+                ledger.commit(spark.createDataFrame([(this, 1)], "unit string, rows long"))
+
+        with ThreadPoolExecutor(workers) as pool:
+            list(pool.map(inheritable_thread_target(spark)(fit), todo))
+
+    mine = F.col("unit").startswith(f"{analysis.name}|{target}|")
+    asked = F.col("split").isin(list(split_names)) & F.col("feature_set").isin(list(chosen)) & F.col("model").isin([m.name for m in analysis.models])
+    schema = f"{key} {dict(members.dtypes)[key]}, unit string, split string, model string, feature_set string, score float, fit string"
+    preds = ledger.committed(spark.read.schema(schema).parquet(f"{folder}/scores").filter(mine & asked)).select(key, "split", "model", "feature_set", "score")
+    imps = None
+    if "main" in split_names and any(chosen.values()):
+        schema = "unit string, split string, model string, feature_set string, importance double, fit string"
+        imps = ledger.committed(spark.read.schema(schema).parquet(f"{folder}/importance").filter(mine & asked)).select("model", "feature_set", "importance")
     return preds, imps
 
 
@@ -239,7 +283,12 @@ def gains_stage(
     )
     spread = evaluate.wide_by(ci, row, "split", ["main", "pooled"], ["ci_low", "ci_high", "p"])
     spread = spread.select(*row, *[F.col(f"ci_{side}_{s}").alias(f"ci_{s}_{side}") for s in ("main", "pooled") for side in ("low", "high")], "p_main", "p_pooled")
-    joined = wide.join(spread, row, "left").join(importance, row).withColumn("is_placebo", evaluate.is_placebo("feature_set"))
+    # a set without a row of importance is a mistake of the caller, not a set to leave out
+    known = importance.select(*row, "importance", F.lit(True).alias("__known"))
+    missing = F.raise_error(F.concat(F.lit("no importance for "), F.concat_ws(", ", *row))).cast("double")
+    joined = wide.join(spread, row, "left").join(known, row, "left")
+    joined = joined.withColumn("importance", F.when(F.col("__known"), F.col("importance")).otherwise(missing)).drop("__known")
+    joined = joined.withColumn("is_placebo", evaluate.is_placebo("feature_set"))
     # a result table of the study: the rules below read it several times
     return materialize(ranking.holm_real_only(joined, [*keys, "model"], "p_pooled", "p_holm_pooled"), "gains")
 
