@@ -61,6 +61,10 @@ def test_study_end_to_end(spark, world, monkeypatch):
     assert inside.filter("ts_ms < t0_ms OR ts_ms >= t0_ms + 1200000").count() == 0
     inv = materialize(stages.inventory_stage(tables.lake_readings(spark, root, channels=STUDY.channels, months=STUDY.months), STUDY), "inventory")
     got = {r.channel: r for r in inv.collect()}
+    kept = scratch_path(spark, "study-inventory")
+    assert stages.refresh_inventory(spark, root, kept, STUDY) == sorted((c, "20-05") for c in STUDY.channels) and stages.refresh_inventory(spark, root, kept, STUDY) == []
+    merged = {r.channel: r for r in stages.merged_inventory_stage(spark, kept, STUDY).collect()}
+    assert {c: r.asDict() for c, r in merged.items()} == {c: r.asDict() for c, r in got.items()}
     assert got["total_power"].cadence_s == STEP_S and got["dead"].constant and got["mem_total"].constant
     # keep mem_total as a channel although it is flat here: it is the total of a composed group
     inv = inv.withColumn("constant", F.col("channel") == "dead")

@@ -17,20 +17,20 @@ from tidegauge.session import materialize
 CHUNK_MS = 28 * 24 * 3_600_000
 
 
-def interval_cells(
+def interval_state(
     readings: DataFrame, *, channel: str, node: str, ts_ms: str, value: str, max_interval_s: int, chunk_ms: int = CHUNK_MS
-) -> tuple[DataFrame, DataFrame]:
-    """One pass over the readings.  Returns (cells, nodes), both small.
+) -> DataFrame:
+    """What the inventory keeps of readings: small, and mergeable by union.
 
-    ``cells``: per (channel, whole seconds since the previous reading of the
-    node) the pairs ``n``, rows, rises, falls, zeros and range; the last bin
-    holds everything from ``max_interval_s`` on, and rows without a predecessor
-    have a NULL interval.  ``nodes``: (channel, nodes).
+    A row per (channel, whole seconds since the previous reading of the node)
+    with rows, rises, falls, zeros and range; the last bin holds everything from
+    ``max_interval_s`` on, and rows without a predecessor have a NULL interval.
+    The first and last reading of every (node, chunk of time) are rows of their
+    own (``e_`` columns), so that the pair between two chunks, or between two
+    months whose states were made apart, is found from the states alone.
 
-    The readings are shuffled and sorted once, by (channel, node, chunk of
-    time), and combined on the map side.  First and last readings of chunks
-    keep their identity in that aggregate, so the pairs that straddle two
-    chunks are found afterwards from the written aggregate alone.
+    The readings are shuffled and sorted once, by (channel, node, chunk), and
+    combined on the map side.
     """
     seconds = lambda prev: C.floor_div(F.col(ts_ms) - F.col(prev), 1000)
     binned = lambda prev: F.when(
@@ -47,7 +47,7 @@ def interval_cells(
     edge = F.col("__pt").isNull() | F.col("__nt").isNull()
     keep = lambda c: F.when(edge, F.col(c)).alias(f"e_{c}")
     change = F.col(value) - F.col("__pv")
-    raw = local.groupBy(
+    return local.groupBy(
         channel, binned("__pt").alias("interval_s"), keep(node), keep("__chunk"), keep(ts_ms), keep(value)
     ).agg(
         F.count("*").alias("rows"),
@@ -57,9 +57,21 @@ def interval_cells(
         F.min(value).alias("vmin"),
         F.max(value).alias("vmax"),
     )
-    # a chunk's first reading is the one without an interval, an edge the one with a chunk
-    raw = materialize(raw, "interval-cells")
 
+
+def merge_states(raw: DataFrame, *, channel: str, node: str, ts_ms: str, value: str, max_interval_s: int) -> tuple[DataFrame, DataFrame]:
+    """(cells, nodes) from one or more states together.
+
+    ``cells``: per (channel, interval) the pairs ``n``, rows, rises, falls, zeros
+    and range (readings at a cut stand under the NULL interval, pairs under
+    theirs).  ``nodes``: (channel, nodes).  States must be of readings that
+    don't overlap in time, such as months; a chunk may be cut between two of them.
+    ``raw`` is a written table: it is read twice.
+    """
+    # a chunk's first reading is the one without an interval, an edge the one with a chunk
+    seconds = lambda prev: C.floor_div(F.col(ts_ms) - F.col(prev), 1000)
+    binned = lambda prev: F.when(F.col(prev).isNotNull(), F.least(seconds(prev), F.lit(max_interval_s).cast("bigint")))
+    change = F.col(value) - F.col("__pv")
     inside = raw.select(
         channel, "interval_s", F.when(F.col("interval_s").isNotNull(), F.col("rows")).otherwise(0).alias("n"), "rows", "rises", "falls",
         "zeros", "vmin", "vmax",
@@ -68,7 +80,7 @@ def interval_cells(
         channel, F.col(f"e_{node}").alias(node), F.col("e___chunk").alias("__chunk"), F.col(f"e_{ts_ms}").alias(ts_ms), F.col(f"e_{value}").alias(value),
         F.col("interval_s").isNull().alias("first"),
     )
-    # at most two rows per node and chunk
+    # at most two rows per node and chunk, in every state
     across = W.partitionBy(channel, node).orderBy("__chunk", ts_ms, value, F.desc("first"))
     joints = edges.withColumn("__pt", F.lag(ts_ms).over(across)).withColumn("__pv", F.lag(value).over(across))
     joints = joints.filter(F.col("first") & F.col("__pt").isNotNull()).select(
@@ -88,6 +100,14 @@ def interval_cells(
     return cells, edges.groupBy(channel).agg(F.countDistinct(node).alias("nodes"))
 
 
+def interval_cells(
+    readings: DataFrame, *, channel: str, node: str, ts_ms: str, value: str, max_interval_s: int, chunk_ms: int = CHUNK_MS
+) -> tuple[DataFrame, DataFrame]:
+    """One pass over the readings: :func:`interval_state`, written, and :func:`merge_states` of it."""
+    names = {"channel": channel, "node": node, "ts_ms": ts_ms, "value": value, "max_interval_s": max_interval_s}
+    return merge_states(materialize(interval_state(readings, **names, chunk_ms=chunk_ms), "interval-cells"), **names)
+
+
 def interval_histogram(cells: DataFrame, *, channel: str) -> DataFrame:
     """(channel, interval_s, n): how often each interval between consecutive readings occurs."""
     return cells.filter(F.col("interval_s").isNotNull()).select(channel, "interval_s", "n")
@@ -126,6 +146,11 @@ def channel_inventory(
     cells, nodes = interval_cells(
         readings, channel=channel, node=node, ts_ms=ts_ms, value=value, max_interval_s=max_interval_s, chunk_ms=chunk_ms
     )
+    return inventory_of(cells, nodes, channel=channel, max_interval_s=max_interval_s, cumulative_share=cumulative_share)
+
+
+def inventory_of(cells: DataFrame, nodes: DataFrame, *, channel: str, max_interval_s: int = 3600, cumulative_share: float = 0.99) -> DataFrame:
+    """The inventory from merged cells: one row per channel."""
     totals = cells.groupBy(channel).agg(
         *[F.sum(c).alias(c) for c in ("rows", "rises", "falls", "zeros")], F.min("vmin").alias("vmin"), F.max("vmax").alias("vmax")
     )

@@ -67,11 +67,36 @@ def window_readings(spark: SparkSession, out: str) -> DataFrame:
     return tables.committed_units(spark, out, f"{out.rstrip('/')}_ledger", directories=["channel", "month"]).drop("month")
 
 
+_READING = {"channel": "channel", "node": "node", "ts_ms": "ts_ms", "value": "value"}
+
+
+def refresh_inventory(spark: SparkSession, root: str, out: str, study: Study) -> list[tuple[str, str]]:
+    """Keep the inventory's state of every (channel, month) below ``out``: a new month is read alone.  Returns the units that were read."""
+    wanted = literal_table(spark, [(c, m) for c in study.channels for m in study.months], "channel string, month string")
+
+    def extract(units: list[tuple[str, str]]) -> DataFrame:
+        parts = None
+        for month in sorted({m for _, m in units}):
+            readings = tables.lake_readings(spark, root, channels={c: study.channels[c] for c, m in units if m == month}, months=[month])
+            part = inventory.interval_state(readings, **_READING, max_interval_s=study.max_interval_s).withColumn("month", F.lit(month))
+            parts = part if parts is None else parts.unionByName(part)
+        return materialize(parts, "inventory-state")
+
+    return tables.refresh_units(spark, out, f"{out.rstrip('/')}_ledger", wanted, extract, directories=["channel", "month"], sort_by=["interval_s", "e_ts_ms", "e_node"])
+
+
+def merged_inventory_stage(spark: SparkSession, out: str, study: Study) -> DataFrame:
+    """The inventory of all months that :func:`refresh_inventory` has read to the end, without the lake."""
+    state = tables.committed_units(spark, out, f"{out.rstrip('/')}_ledger", directories=["channel", "month"]).drop("month")
+    cells, nodes = inventory.merge_states(state, **_READING, max_interval_s=study.max_interval_s)
+    return _with_source(inventory.inventory_of(cells, nodes, channel="channel", max_interval_s=study.max_interval_s, cumulative_share=settings.CUMULATIVE_SHARE), study)
+
+
 def inventory_stage(readings: DataFrame, study: Study) -> DataFrame:
-    inv = inventory.channel_inventory(
-        readings, channel="channel", node="node", ts_ms="ts_ms", value="value", max_interval_s=study.max_interval_s,
-        cumulative_share=settings.CUMULATIVE_SHARE,
-    )
+    return _with_source(inventory.channel_inventory(readings, **_READING, max_interval_s=study.max_interval_s, cumulative_share=settings.CUMULATIVE_SHARE), study)
+
+
+def _with_source(inv: DataFrame, study: Study) -> DataFrame:
     sources = F.create_map(*[F.lit(x) for c in study.channels for x in (c, study.source(c))])
     return inv.withColumn("source", sources[F.col("channel")])
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.operators import checks, cohort, completeness, inventory, splits
+from tidegauge.operators.small import literal_table
 from tidegauge.queries import base
 from tidegauge.queries.base import CADENCE_SQL, LINES_SQL, PAIRS_SQL, READINGS_SQL, SALES_SQL, WINDOW_S, query, rounded
-from tidegauge.session import materialize
+from tidegauge.session import materialize, scratch_path
+from tidegauge.sources import tables
 
 MAX_S = 86_400
 
@@ -62,6 +64,31 @@ def channel_inventory(spark, sf):
     return rounded(_inventory(spark, sf), "share_at_cadence", "rises_share", "zero_share")
 
 
+@query(inventory_sql(READINGS_SQL, MAX_S))
+def inventory_by_weeks(spark, sf):
+    """The same inventory from states kept per channel and week; later weeks are added without reading earlier ones."""
+    path = scratch_path(spark, "inventory-weeks")
+    units = ["channel", "week"]
+    weekly = base.readings(spark, sf).withColumn("week", F.floor(F.col("ts_ms") / (7 * 24 * 3_600_000)))
+    names = {"channel": "channel", "node": "node", "ts_ms": "ts_ms", "value": "value", "max_interval_s": MAX_S}
+    weeks = sorted(r.week for r in weekly.select("week").distinct().collect())  # a row per week
+
+    def extract(todo):
+        parts = None
+        for week in sorted({w for _, w in todo}):
+            part = weekly.filter((F.col("week") == week) & F.col("channel").isin([c for c, w in todo if w == week]))
+            part = inventory.interval_state(part, **names).withColumn("week", F.lit(week).cast("bigint"))
+            parts = part if parts is None else parts.unionByName(part)
+        return materialize(parts, "inventory-state")
+
+    for known in (weeks[:1], weeks):
+        wanted = literal_table(spark, [(c, w) for c in base.CHANNELS for w in known], "channel string, week bigint")
+        tables.refresh_units(spark, path, f"{path}_ledger", wanted, extract, directories=units, sort_by=["interval_s", "e_ts_ms", "e_node"])
+    state = tables.committed_units(spark, path, f"{path}_ledger", directories=units)
+    cells, nodes = inventory.merge_states(state, **names)
+    return rounded(inventory.inventory_of(cells, nodes, channel="channel", max_interval_s=MAX_S), "share_at_cadence", "rises_share", "zero_share")
+
+
 @query(inventory_sql(LINES_SQL, 864_000))
 def line_channel_inventory(spark, sf):
     # many readings share a timestamp here, so 0 s intervals and ties are the rule

@@ -96,7 +96,7 @@ def write_windows(df: DataFrame, path: str, *, directories: Sequence[str] = ("ch
     )
 
 
-def refresh_units(spark: SparkSession, path: str, ledger_path: str, wanted: DataFrame, extract, *, directories: Sequence[str]) -> list[tuple]:
+def refresh_units(spark: SparkSession, path: str, ledger_path: str, wanted: DataFrame, extract, *, directories: Sequence[str], sort_by: Sequence[str] = ("job_id", "node", "ts_ms")) -> list[tuple]:
     """Bring a table in directories up to date: extract, write and commit the wanted units it does not hold in full.
 
     ``wanted`` has a row per unit with the columns ``directories`` (a listed
@@ -110,7 +110,7 @@ def refresh_units(spark: SparkSession, path: str, ledger_path: str, wanted: Data
     todo = ledger.pending(wanted.select(*names).distinct().withColumn("unit", unit))
     rows = sorted(tuple(r[d] for d in names) for r in todo.collect())
     if rows:
-        write_windows(extract(rows), path, directories=names)
+        write_windows(extract(rows), path, directories=names, sort_by=sort_by)
         held = _existing(spark, path)
         counts = spark.createDataFrame([], "unit string, rows long") if held is None else held.groupBy(unit.alias("unit")).agg(F.count("*").alias("rows"))
         ledger.commit(todo.select("unit").join(counts, "unit", "left").select("unit", F.coalesce("rows", F.lit(0)).alias("rows")))
