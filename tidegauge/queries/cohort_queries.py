@@ -86,9 +86,11 @@ def key_uniqueness(spark, sf):
     return checks.duplicate_keys(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query(f"SELECT job_id, run_time FROM ({JOBS_SQL}) WHERE epoch_us(end_time) // 1000 - epoch_us(start_time) // 1000 <> 1000 * run_time")
+@query("SELECT o_orderkey AS job_id, CAST(floor(o_totalprice) AS BIGINT) + 1 AS run_time FROM orders WHERE o_orderkey % 97 = 3")
 def duration_mismatches(spark, sf):
-    found = checks.duration_mismatches(base.jobs(spark, sf), start="start_time", end="end_time", recorded_s="run_time")
+    """Every 97th job is given a wrong recorded duration, which the check has to find, and nothing else."""
+    wrong = base.jobs(spark, sf).withColumn("run_time", F.col("run_time") + (F.col("job_id") % 97 == 3).cast("bigint"))
+    found = checks.duration_mismatches(wrong, start="start_time", end="end_time", recorded_s="run_time")
     return found.select("job_id", "run_time")
 
 

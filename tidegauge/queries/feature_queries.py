@@ -166,10 +166,16 @@ def placebo_permutation(spark, sf):
     return rounded(made, *[c for c in made.columns if c != "job_id"])
 
 
-@query("SELECT 0::BIGINT AS mismatches, count(DISTINCT l_orderkey) AS jobs FROM lineitem")
+@query(f"""
+WITH s AS (SELECT job_id, quantity__mean AS m FROM ({LINE_STATS_SQL})),
+d AS (SELECT v, sum(d) AS net FROM (SELECT CASE WHEN job_id % 101 = 5 THEN m + 1000 ELSE m END AS v, 1 AS d FROM s UNION ALL SELECT m, -1 FROM s) GROUP BY v)
+SELECT count(*) FILTER (net <> 0) AS mismatches, (SELECT count(*) FROM s) AS jobs FROM d""")
 def marginal_check(spark, sf):
-    real = line_stats(spark, sf)
-    made = features.placebos(real, key="job_id", groups=PLACEBO_GROUPS, count=2, seed=42, name="placebo")
+    """A placebo has the values of its column, each as often; every 101st job's real value is moved away, which the check counts."""
+    right = line_stats(spark, sf)
+    made = features.placebos(right, key="job_id", groups=PLACEBO_GROUPS, count=2, seed=42, name="placebo")
+    moved = F.when(F.col("job_id") % 101 == 5, F.col("quantity__mean") + 1000).otherwise(F.col("quantity__mean"))
+    real = right.withColumn("quantity__mean", moved)
     odd = checks.marginal_mismatches(real, made, "quantity__mean", "placebo00__mean")
     found = odd.agg(F.count("*").alias("mismatches"), F.lit(0).cast("bigint").alias("jobs"))
     counted = made.agg(F.lit(0).cast("bigint").alias("mismatches"), F.count("*").alias("jobs"))

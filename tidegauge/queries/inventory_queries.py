@@ -282,9 +282,14 @@ def completeness_flags(spark, sf):
     return rounded(flags(spark, sf), *[f"frac_{c}" for c in base.CHANNELS])
 
 
-@query(f"SELECT job_id FROM ({FLAGS_SQL}) WHERE complete_strict > complete")
+@query(f"SELECT job_id FROM ({FLAGS_SQL}) WHERE job_id % 5 = 2 AND (complete_strict = 1 OR complete = 0)")
 def subset_violations(spark, sf):
-    return checks.subset_violations(flags(spark, sf), "complete_strict", "complete").select("job_id")
+    """A fifth of the jobs have the two flags made wrong: the larger population loses them, or the smaller one takes them in."""
+    wrong = F.col("job_id") % 5 == 2
+    odd = flags(spark, sf).withColumn("__s", F.col("complete_strict"))
+    odd = odd.withColumn("complete_strict", F.when(wrong & (F.col("complete") == 0), 1).otherwise(F.col("complete_strict")))
+    odd = odd.withColumn("complete", F.when(wrong & (F.col("__s") == 1), 0).otherwise(F.col("complete")))
+    return checks.subset_violations(odd, "complete_strict", "complete").select("job_id")
 
 
 @query(f"""
