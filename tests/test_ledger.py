@@ -61,3 +61,18 @@ def test_files_of_a_directory_follow_its_rows(spark):
         assert salted.withColumn("p", F.spark_partition_id()).filter("channel = 'a'").select("p").distinct().count() > 1
     finally:
         spark.conf.set(key, "true")
+
+
+def test_several_paths_in_one_scan_keep_the_first_row_of_a_key(spark):
+    root = scratch_path(spark, "paths")
+    rows = {"z": [(1, "z0"), (2, "z1"), (1, "z2")], "a": [(2, "a0"), (3, "a1"), (3, "a2"), (None, "a3")]}
+    for name, data in rows.items():
+        spark.createDataFrame(data, "k int, v string").coalesce(1).write.parquet(f"{root}/{name}")
+    read = tables.read_several(spark, [f"{root}/z", f"{root}/a"], ["k", "v"])
+    assert read.count() == 7
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    got = lambda d: {r.k: r.v for r in tables.first_in_files(d, ["k"]).collect()}
+    assert got(read) == {1: "z0", 2: "z1", 3: "a1", None: "a3"}
+    assert got(read.repartition(5)) == got(read)
+    assert got(tables.read_several(spark, [f"{root}/a", f"{root}/z"], ["k", "v"]))[2] == "a0"

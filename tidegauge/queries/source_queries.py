@@ -110,6 +110,26 @@ def union_mixed_schemas(spark, sf):
     return a.unionByName(b, allowMissingColumns=True)
 
 
+@query("""
+SELECT o_orderkey AS job_id, o_custkey AS user_id, CASE WHEN month(o_orderdate) = 6 OR o_orderkey % 3 = 0 THEN o_totalprice ELSE o_totalprice + 1 END AS price,
+  CASE WHEN month(o_orderdate) = 6 THEN 'june' WHEN o_orderkey % 3 = 0 THEN 'third' ELSE 'all' END AS origin FROM orders""")
+def several_paths_dedup(spark, sf):
+    """Three month tables of jobs in one scan; a job that stands in several keeps its row of the path listed first."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("user_id"), F.col("o_totalprice").alias("price"), "o_orderdate")
+    parts = {
+        "june": orders.filter(F.month("o_orderdate") == 6),
+        "third": orders.filter("job_id % 3 = 0"),
+        "all": orders.withColumn("price", F.col("price") + 1),
+    }
+    root, paths = scratch_path(spark, "months"), []
+    for name, rows in parts.items():
+        paths.append(f"{root}/{name}")
+        # a job twice in one file: the copy behind it must not win
+        again = rows.unionByName(rows.withColumn("price", F.lit(-1.0))) if name == "june" else rows
+        tables.write_parquet(again.drop("o_orderdate").withColumn("origin", F.lit(name)).coalesce(1), paths[-1])
+    return tables.first_in_files(tables.read_several(spark, paths, ["job_id", "user_id", "price", "origin"]), ["job_id"])
+
+
 @query("SELECT user_id AS node FROM events WHERE event_type = 'error' UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0")
 def union_distinct_nodes(spark, sf):
     a = base.readings(spark, sf).filter("channel = 'error'").select("node")

@@ -64,6 +64,26 @@ def lake_readings(
     )
 
 
+def read_several(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Several Parquet tables in one scan: ``columns`` and ``__place``, where a row stands.
+
+    ``__place`` orders rows by listed path, file and row in the file.  It comes
+    from the files themselves, so it does not depend on how the scan is cut.
+    """
+    file = F.col("_metadata.file_path")
+    plain = [p.split("://", 1)[-1].rstrip("/") + "/" for p in paths]
+    number = F.coalesce(*[F.when(file.contains(p) | file.endswith(p.rstrip("/")), F.lit(i)) for i, p in enumerate(plain)], F.lit(len(plain)))
+    place = F.struct(number.alias("path"), file.alias("file"), F.col("_metadata.row_index").alias("row"))
+    return spark.read.parquet(*paths).select(*columns, place.alias("__place"))
+
+
+def first_in_files(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of the rows of a key, the one that stands first (:func:`read_several`): one aggregation with map-side combine, no sort."""
+    rest = [c for c in df.columns if c not in keys and c != "__place"]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), "__place").alias("__r"))
+    return first.select(*[F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in df.columns if c != "__place"])
+
+
 def only_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key is in ``keys`` (semi join), for key lists too long for an ``IN``."""
     return df.join(keys, list(on), "left_semi")
