@@ -19,8 +19,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F
 
-from tidegauge.operators import inventory, windows
-from tidegauge.queries import REGISTRY, base
+from tidegauge.operators import evaluate, inventory, models, windows
+from tidegauge.queries import REGISTRY, base, model_queries, split_queries
 from tidegauge.session import local_session, materialize
 
 HEADLINE = [
@@ -70,6 +70,24 @@ def lake_pass(spark, sf, readings) -> None:
     )
 
 
+def gain_part(spark, sf):
+    """One model, two sets beside the baseline, main and pooled: a ninth of ``paired_gain_ci``."""
+    rows = split_queries.scored(spark, sf, pooled=True, models=["HGB"]).filter("split IN ('main', 'pooled') AND feature_set IN ('B0', 'quantity', 'balance')")
+    return evaluate.paired_gains(
+        rows, test_keys=["split"], set_keys=["model", "feature_set"], set_col="feature_set", baseline="B0", y="y", score="score", cluster="user_id", n_boot=1000
+    )
+
+
+def seconds_per_fit(spark, sf, fits: int = 2) -> float:
+    """Boosted trees of ten rounds, fitted and scored on slices of one vector table that is there already."""
+    columns = [*model_queries.REQUEST, *model_queries.ADDED]
+    v = models.vectors(model_queries._rows(spark, sf), key="job_id", label="target_a", columns=columns)
+    start = time.perf_counter()
+    for i in range(fits):
+        run(models.score_slice(models.fit_slice(v, columns[: len(columns) - i], model_queries.BOOSTED), v, columns[: len(columns) - i], ["job_id"]))
+    return round((time.perf_counter() - start) / fits, 3)
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -85,6 +103,10 @@ def main() -> None:
             if taken > 8:
                 break
         print(f"{name}: {times[name]} s", file=sys.stderr, flush=True)
+    start = time.perf_counter()
+    run(gain_part(spark, sf))
+    part = round(time.perf_counter() - start, 3)
+    per_fit = seconds_per_fit(spark, sf)
     readings = lake(spark, sf)
     rows = readings.count()
     for _ in range(2):
@@ -98,6 +120,8 @@ def main() -> None:
         "unit": "sec",
         "queries": times,
         "sf": sf.rstrip("/").rsplit("sf", 1)[-1],
+        "paired_gain_ci_part": part,
+        "seconds_per_fit_10_rounds": per_fit,
         "lake_rows": rows,
         "lake_rows_per_sec": round(rows / times["lake_pass"]),
     }
