@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import os
+import random
 import re
 import sys
 
@@ -107,6 +108,57 @@ def test_shuffled_notice_is_no_license(spark):
     assert {r["labels"] for r in licenses.digest(licenses.scan(docs, keep=["doc_id"]), keep=["doc_id"]).collect()} == {""}
 
 
+def test_a_notice_is_read_in_order_and_every_place_counts_once(spark):
+    mit, gpl = (n.split() for n, label in licenses.NOTICES.items() if label in ("mit", "gpl"))
+    half = len(mit) // 2
+    texts = {
+        1: "free of charge " * 6,
+        2: "free of charge " * 400 + " ".join(mit),
+        3: " ".join(mit[:5] + ["certainly"] + mit[5:9] + mit[10:]),
+        4: " ".join(mit[half:] + mit[:half]),
+        5: " ".join(mit + ["and", "then"] + mit),
+        6: " ".join(w for i in range(0, len(gpl), 3) for w in reversed(gpl[i : i + 3])),
+        7: " ".join(mit[:8]) + " free of charge " * 3 + " ".join(mit[:8]),
+    }
+    rows = [(i, t) for i, t in texts.items()] + [(3, texts[3])]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), keep=["doc_id"]).collect()
+    found = {r["doc_id"]: [(s["first"], s["last"], s["label"]) for s in r["spans"] if not s["exact"]] for r in got}
+    assert len(got) == 8 and found[1] == found[4] == found[6] == found[7] == []
+    assert [s[2] for s in found[2]] == ["mit"] and found[2][0][1] == 1200 + len(mit) - 1
+    assert found[3] == [(0, len(mit) - 1, "mit")]
+    assert found[5] == [(0, len(mit) - 1, "mit"), (len(mit) + 2, 2 * len(mit) + 1, "mit")]
+
+
+def test_chain_matches_brute_force(spark):
+    rng = random.Random(5)
+    for _ in range(12):
+        hits = list({(rng.randrange(9), rng.randrange(14)) for _ in range(18)})
+        best = {}
+        for t, p in sorted(hits):
+            best[t, p] = 1 + max([n for (a, b), n in best.items() if a < t and b < p], default=0)
+        row = spark.createDataFrame([([(t, -p) for t, p in hits],)], "hits array<struct<tpos:int,back:long>>")
+        assert row.select(licenses.chain(row["hits"])).first()[0] == max(best.values())
+
+
+def test_a_value_in_many_repositories_of_one_owner_is_an_example(spark):
+    many, few, copied = "q7Zp0Lm44RtXw81k", "b5Nc8Vy2Hs6Jd3Fg", "k9Ue3Wq7Ao1Il5Tz"
+    rows = [(i, f"note {i} token={many}", "one") for i in range(20)] + [(100 + i, f"note {i} token={few}", "one") for i in range(3)]
+    rows += [(200 + i, f"the same page with token={copied} in it", "one") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["found"][0] for r in secrets.scan(docs, keep=["doc_id"]).collect()}
+    assert (got[0]["verdict"], got[0]["n_owners"], got[0]["n_repos"]) == ("example", 1, 20)
+    assert got[100]["verdict"] == "live" and got[200]["verdict"] == "live"
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert clean[0] == rows[0][1] and clean[101] == "note 1 <secret>" and clean[219] == "the same page with <secret> in it"
+
+
+def test_opaque_values_of_any_length(spark):
+    long = "aBcdEfgh" * 11 + "xy" + "9" + "Zq"
+    docs = spark.createDataFrame([(1, f"see {long} here", "a"), (2, "a-" * 200_000 + "B", "a"), (3, "x" * 300_000, "a")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: [(s["name"], s["start"], s["end"]) for s in r["found"]] for r in secrets.scan(docs, keep=["doc_id"]).collect()}
+    assert got == {1: [("opaque", 4, 4 + len(long))], 2: [], 3: []}
+
+
 URLS = [
     None, "", "no scheme", "http://", "HTTP://WWW.Example.ORG/es/x?y#z", "http://example.org/en/123", "http://example.org/EN/123", "http://org", "http://org/", "http://xorg/", "https://a.b.com/fr/", "https://a.b.com/de/q",
     "https://com/fr", "http://user@host.org:80/", "http://site.org/path", "http://q.net/spam-farm/1", "http://q.net/my-spamming", "http://q.net/?u=http://z.org/", "x://y://z.org/", "http://best-CASINO.net/a\nb", "http://example.org/es/casino",

@@ -4,12 +4,16 @@ Every pair of neighbouring words of a text is hashed and equi-joined with the
 positions of the same pair in a set of templates.  Each hit votes for a
 diagonal, the offset between the word's place in the text and in the template.
 Votes of one diagonal mean an unbroken copy; neighbouring diagonals, as a word
-that was put in or left out makes them, are merged before the span is verified.
+that was put in or left out makes them, are merged into a strip of bounded
+width.  A strip is verified by an ordered alignment: the longest chain of its
+hits that rises in the text and in the template, so that a template place counts
+once, however often its words are repeated.
 
 Short phrases are templates too, and stand where one diagonal holds all their
 pairs.  The join compares the words beside the hash, so every vote is exact.
-The templates are a fixed list, so they are broadcast; votes are counted before
-they are shuffled, and pairs that hit nothing never leave their task.
+Spark broadcasts the templates where their size allows it; votes are gathered by
+diagonal, a template's length at most, and pairs that hit nothing never leave
+their task.
 """
 
 from __future__ import annotations
@@ -52,7 +56,7 @@ def votes(docs: DataFrame, templates: DataFrame, *, keep: list[str], text: str)
     """Votes by row, template and diagonal, beside one row without a template for every distinct row.
 
     Rows are told apart by ``keep`` and a digest of the text; ``copies`` counts
-    the repeated ones, whose votes come in so many times.
+    the repeated ones.  ``places`` are the template places that voted.
     """
     base = docs.select(*[F.col(c).alias(f"keep_{c}") for c in keep], F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"), words(F.col(text)).alias("w"))
     n = F.size("w")
@@ -61,14 +65,29 @@ def votes(docs: DataFrame, templates: DataFrame, *, keep: list[str], text: str)
     keys = [*[f"keep_{c}" for c in keep], "digest", "n_words"]
     rolled = base.select(*keys[:-1], n.cast("long").alias("n_words"), F.posexplode(F.concat(first, grams)).alias("at", "g"))
     rolled = rolled.select(*keys, (F.col("at") - 1).alias("pos"), F.xxhash64("g.a", "g.b").alias("hash"), F.col("g.a").alias("a"), F.col("g.b").alias("b"))
-    known = F.broadcast(templates.withColumn("hash", F.xxhash64("left", "right")))
+    known = templates.withColumn("hash", F.xxhash64("left", "right"))
     hit = rolled.join(known, (rolled["hash"] == known["hash"]) & (F.col("a") == F.col("left")) & (F.col("b") == F.col("right")), "left")
     hit = hit.filter((F.col("pos") == -1) | F.col("tid").isNotNull())
     return hit.groupBy(*keys, "tid", "label", "exact", "pairs", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last")
+        F.count("*").alias("votes"), F.collect_set("tpos").alias("places")
     )
 
 
+def chain(hits: Column) -> Column:
+    """Length of the longest chain of (template place, minus the place in the text) that rises in both places.
+
+    Patience sorting: the k-th tail is the least end of a chain of k hits.  Hits
+    of one template place come with falling text places, so a chain holds one.
+    """
+    none = F.array().cast("array<long>")
+    tails = F.aggregate(
+        F.array_sort(hits),
+        none,
+        lambda acc, h: F.concat(F.filter(acc, lambda t: t < -h["back"]), F.array(-h["back"]), F.slice(F.filter(acc, lambda t: t >= -h["back"]), F.lit(2), F.size(acc) + 1)),
+    )
+    return F.size(tails)
+
+
 def scan(
     docs: DataFrame, *, keep: list[str], text: str = "text", phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, tolerance: int = 3, least_share: float = 0.6
 ) -> DataFrame:
@@ -76,8 +95,8 @@ def scan(
 
     ``spans`` is an array of (first, last, label, exact, share): word places from
     0, both inclusive.  A phrase needs all its pairs on one diagonal.  A notice
-    needs ``least_share`` of its pairs on diagonals that are at most
-    ``tolerance`` apart, within a span of at most twice its length.
+    needs ``least_share`` of its pairs, each once and in order, on diagonals of
+    which no two are more than ``tolerance`` apart.
 
     Edge cases: null and empty texts have no words and no spans; repeated rows
     are returned as often as they came; an empty table gives an empty result;
@@ -86,23 +105,23 @@ def scan(
     spark = docs.sparkSession
     counted = votes(docs, template_positions(spark, phrases, notices), keep=keep, text=text)
     doc = [*[f"keep_{c}" for c in keep], "digest", "n_words"]
-    # diagonals of a notice that lie close together are one; a phrase's stay apart
-    w = Window.partitionBy(*doc, "tid").orderBy("diagonal")
-    apart = F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(w) > tolerance)
-    marked = counted.withColumn("new", F.coalesce(apart, F.lit(False)).cast("int"))
-    merged = (
-        marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .groupBy(*doc, "tid", "label", "exact", "pairs", "run")
-        .agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-    )
-    entry = F.when(F.col("tid").isNotNull(), F.struct("first", (F.col("last") + 1).alias("last"), "label", "exact", "pairs", "votes"))
-    rows = merged.groupBy(*doc).agg(F.max(F.when(F.col("tid").isNull(), F.col("votes"))).alias("copies"), F.collect_list(entry).alias("found"))
-    share = lambda s: s["votes"] / F.col("copies") / s["pairs"]
-    sound = lambda s: F.when(s["exact"], share(s) == 1).otherwise((share(s) >= least_share) & (s["last"] - s["first"] <= 2 * s["pairs"]))
-    spans = F.transform(
-        F.filter("found", sound),
-        lambda s: F.struct(s["first"].cast("long").alias("first"), s["last"].cast("long").alias("last"), s["label"].alias("label"), s["exact"].alias("exact"), F.least(share(s), F.lit(1.0)).alias("share")),
-    )
+    # a notice's strip begins at any of its diagonals; a phrase's diagonals stay apart
+    group = Window.partitionBy(*doc, "tid").orderBy("diagonal")
+    own = F.transform("places", lambda t: F.struct(t.alias("tpos"), (-(F.col("diagonal") + t)).cast("long").alias("back")))
+    strips = counted.withColumn("own", own).withColumn("hits", F.when(F.col("exact"), F.col("own")).otherwise(F.flatten(F.collect_list("own").over(group.rangeBetween(0, tolerance)))))
+    least = F.when(F.col("exact"), F.lit(1.0)).otherwise(F.lit(float(least_share))) * F.col("pairs")
+    distinct = F.size(F.array_distinct(F.transform("hits", lambda h: h["tpos"])))
+    # the chain is drawn only where enough distinct places voted, and only there it can be long enough
+    held = F.when(F.col("tid").isNotNull() & (distinct >= least), F.when(F.col("exact"), distinct).otherwise(chain(F.col("hits"))))
+    sound = strips.withColumn("held", held).filter(F.col("tid").isNull() | (F.col("held") >= least))
+    # strips that overlap tell of one copy: the best of them stays
+    fresh = F.coalesce(F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(group) > tolerance), F.lit(False)).cast("int")
+    places = F.transform("hits", lambda h: -h["back"])
+    entry = F.struct("held", (-F.col("diagonal")).alias("early"), F.array_min(places).alias("first"), (F.array_max(places) + 1).alias("last"), "label", "exact", "pairs")
+    run = F.sum(fresh).over(group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    best = sound.withColumn("run", run).groupBy(*doc, "tid", "run").agg(F.max(F.when(F.col("tid").isNotNull(), entry)).alias("entry"), F.max("votes").alias("votes"))
+    rows = best.groupBy(*doc).agg(F.max(F.when(F.col("tid").isNull(), F.col("votes"))).alias("copies"), F.collect_list("entry").alias("found"))
+    spans = F.transform("found", lambda s: F.struct(s["first"], s["last"], s["label"].alias("label"), s["exact"].alias("exact"), (s["held"] / s["pairs"]).alias("share")))
     out = rows.select(*doc, "copies", F.array_sort(spans).alias("spans")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select(*[F.col(f"keep_{c}").alias(c) for c in keep], "n_words", "spans")
 

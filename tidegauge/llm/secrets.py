@@ -3,8 +3,9 @@
 A scan finds candidates by pattern.  A pattern cannot tell a live credential
 from a sample that everybody copied out of the same manual, so each candidate's
 hash is counted over the whole corpus: by distinct repositories and by distinct
-owners.  Held by few owners and looking alive, it is a credential; held by many,
-an example.
+owners.  Held by few owners in few repositories and looking alive, it is a
+credential; held by many of either, an example.  Copies of one whole text say
+nothing of a value in it, so repositories count no further than distinct texts.
 
 Everything is DataFrame work: offsets come from splitting a text at its matches
 and adding up the lengths of the pieces, counts from two-step distinct
@@ -49,7 +50,7 @@ KINDS = (
     Kind("vendor", r"\b(?:gh[pousr]_|glpat-|sk_live_|xox[abpr]-|AIza)[A-Za-z0-9_-]{16,}", base=False),
     Kind("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", base=False),
     Kind("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----([^-]*+(?:-{1,4}+[^-]++)*+)-----END [A-Z ]{0,40}PRIVATE KEY-----", 1, 40, base=False, block=True),
-    Kind("opaque", r"\b(?=[A-Za-z_-]{0,80}[0-9])(?=[A-Z0-9_-]{0,80}[a-z])(?=[a-z0-9_-]{0,80}[A-Z])[A-Za-z0-9_-]{24,}\b", base=False),
+    Kind("opaque", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[A-Z0-9_-]*+[a-z])(?=[a-z0-9_-]*+[A-Z])[A-Za-z0-9_-]{24,}+", base=False),
 )
 PLACEHOLDER = r"(?i)example|changeme|placeholder|dummy|sample|your|xxxx|0000|1234"
 #: So much of a block is searched for placeholders: one of them stands somewhere in a few of a thousand real keys by chance.
@@ -104,6 +105,7 @@ def candidates(docs: DataFrame, *, text: str, owner: str, repo: str, keep: list[
         *[f"keep_{c}" for c in keep],
         "owner",
         "repo",
+        F.xxhash64("text").alias("digest"),
         F.concat(*[_pieces(F.col("text"), k, n) for n, k in enumerate(kinds)]).alias("pieces"),
     )
     return materialize(found, "secret-candidates")
@@ -112,25 +114,28 @@ def candidates(docs: DataFrame, *, text: str, owner: str, repo: str, keep: list[
 def locate(found: DataFrame) -> DataFrame:
     """Spans of all candidates: each match starts where the lengths before it add up to."""
     w = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = found.filter(F.size("pieces") > 0).select("rid", "owner", "repo", F.inline("pieces"))
+    rows = found.filter(F.size("pieces") > 0).select("rid", "owner", "repo", "digest", F.inline("pieces"))
     rows = rows.withColumn("end", F.sum(F.col("before") + F.col("size")).over(w))
-    return rows.filter("ok").select("rid", "owner", "repo", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "live", "hash")
+    return rows.filter("ok").select("rid", "owner", "repo", "digest", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "live", "hash")
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """Distinct owners and repositories of every candidate hash."""
+    """Distinct owners, repositories and whole texts of every candidate hash."""
     pairs = spans.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
     owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
-    return owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_places"))
+    counts = owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_places"))
+    texts = spans.groupBy("hash", "digest").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("n_texts"))
+    return counts.join(texts, "hash")
 
 
-def judge(spans: DataFrame, *, most_owners: int) -> DataFrame:
-    """Spans with their hash's counts and a verdict: ``live``, ``example`` (too many owners) or ``weak``."""
-    verdict = F.when(F.col("n_owners") > most_owners, "example").when(F.col("live"), "live").otherwise("weak")
+def judge(spans: DataFrame, *, most_owners: int, most_repos: int) -> DataFrame:
+    """Spans with their hash's counts and a verdict: ``live``, ``example`` (too many owners or repositories) or ``weak``."""
+    many = (F.col("n_owners") > most_owners) | (F.least("n_repos", "n_texts") > most_repos)
+    verdict = F.when(many, "example").when(F.col("live"), "live").otherwise("weak")
     return spans.join(ownership(spans), "hash").withColumn("verdict", verdict)
 
 
-def scan(docs: DataFrame, *, text: str = "text", owner: str = "source", repo: str = "doc_id", keep: list[str], most_owners: int = 2, kinds=KINDS) -> DataFrame:
+def scan(docs: DataFrame, *, text: str = "text", owner: str = "source", repo: str = "doc_id", keep: list[str], most_owners: int = 2, most_repos: int = 8, kinds=KINDS) -> DataFrame:
     """One row per row of ``docs``: ``keep`` and ``found``, its spans in order of start and kind.
 
     ``found`` holds (start, kind number, kind, end, verdict, n_owners, n_repos),
@@ -145,7 +150,7 @@ def scan(docs: DataFrame, *, text: str = "text", owner: str = "source", repo: st
     found = candidates(docs, text=text, owner=owner, repo=repo, keep=keep, kinds=kinds)
     names = F.array(*[F.lit(k.name) for k in kinds])
     base = [n for n, k in enumerate(kinds) if k.base]
-    judged = judge(locate(found), most_owners=most_owners).filter(F.col("kind").isin(base) | (F.col("verdict") == "live"))
+    judged = judge(locate(found), most_owners=most_owners, most_repos=most_repos).filter(F.col("kind").isin(base) | (F.col("verdict") == "live"))
     entry = F.struct("start", "kind", F.element_at(names, F.col("kind") + 1).alias("name"), "end", "verdict", "n_owners", "n_repos")
     lists = judged.groupBy("rid").agg(F.array_sort(F.collect_list(entry)).alias("found"))
     rows = found.select("rid", *[f"keep_{c}" for c in keep]).join(lists, "rid", "left")
@@ -173,16 +178,21 @@ def digest(scanned: DataFrame, *, keep: list[str], kinds=KINDS) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, *, text: str = "text", owner: str = "source", repo: str = "doc_id", most_owners: int = 2, mark: str = "<secret>", kinds=KINDS) -> DataFrame:
+def redact(docs: DataFrame, *, text: str = "text", owner: str = "source", repo: str = "doc_id", most_owners: int = 2, most_repos: int = 8, mark: str = "<secret>", kinds=KINDS) -> DataFrame:
     """``docs`` with every live span of ``text`` replaced by ``mark``; examples, weak finds and all rows stay.
 
-    Overlapping spans are replaced as one.  A null text stays null.  The texts
-    travel with their row, so no join brings them back.
+    Overlapping spans are replaced as one.  The texts travel with their row, so
+    no join brings them back.
+
+    Edge cases: a null text stays null, an empty one empty; a null owner or
+    repository counts as one of its own; repeated rows are replaced alike; an
+    empty table gives an empty result; columns of any name but
+    ``<text>__secret_key`` and ``<text>__secret_key_spans`` pass unchanged.
     """
     t, n = F.coalesce(F.col(text), F.lit("")), f"{text}__secret_key"
     keyed = docs.withColumn(n, F.xxhash64(F.col(repo).cast("string"), t))
     found = candidates(keyed, text=text, owner=owner, repo=repo, keep=[n], kinds=kinds)
-    live = judge(locate(found), most_owners=most_owners).filter("verdict = 'live'")
+    live = judge(locate(found), most_owners=most_owners, most_repos=most_repos).filter("verdict = 'live'")
     # repeated rows have the same spans: one list per distinct (repository, text)
     lists = live.join(found.select("rid", f"keep_{n}"), "rid").groupBy(F.col(f"keep_{n}").alias(n)).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(f"{n}_spans"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))

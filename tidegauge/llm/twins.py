@@ -23,19 +23,26 @@ def _templates() -> str:
 
 
 LICENSES = f"""
-WITH w AS (SELECT row_number() OVER () AS rid, doc_id, {words("text", WORD)} AS w FROM documents),
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, {words("text", WORD)} AS w FROM documents),
 p AS (SELECT rid, unnest(w) AS a, generate_subscripts(w, 1) - 1 AS pos FROM w),
 g AS (SELECT rid, a, pos, lead(a) OVER (PARTITION BY rid ORDER BY pos) AS b FROM p),
 t(tid, label, exact, pairs, tpos, l, r) AS (VALUES {_templates()}),
-v AS (SELECT rid, tid, label, exact, pairs, pos - tpos AS diagonal, count(*) AS votes, min(pos) AS f, max(pos) AS z
-      FROM g JOIN t ON a = l AND b = r GROUP BY ALL),
-n AS (SELECT *, CASE WHEN exact OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY rid, tid ORDER BY diagonal) > 3, true) THEN 1 ELSE 0 END AS new FROM v),
-m AS (SELECT *, sum(new) OVER (PARTITION BY rid, tid ORDER BY diagonal) AS run FROM n),
-s AS (SELECT rid, label, exact, pairs, sum(votes) AS votes, min(f) AS f, max(z) + 1 AS z FROM m GROUP BY rid, tid, label, exact, pairs, run),
-k AS (SELECT * FROM s WHERE CASE WHEN exact THEN votes = pairs ELSE votes / pairs >= 0.6 AND z - f <= 2 * pairs END),
+v AS (SELECT DISTINCT rid, tid, label, exact, pairs, pos, tpos, pos - tpos AS diagonal FROM g JOIN t ON a = l AND b = r),
+o AS (SELECT DISTINCT rid, tid, diagonal FROM v),
+y AS (SELECT o.rid, o.tid, o.diagonal AS start, v.label, v.exact, v.pairs, v.pos, v.tpos FROM o JOIN v ON v.rid = o.rid AND v.tid = o.tid
+      AND v.diagonal BETWEEN o.diagonal AND o.diagonal + CASE WHEN v.exact THEN 0 ELSE 3 END),
+e AS (SELECT rid, tid, start FROM y GROUP BY ALL HAVING count(DISTINCT tpos) >= CASE WHEN any_value(exact) THEN 1 ELSE 0.6 END * any_value(pairs)),
+q AS (SELECT y.* FROM y JOIN e USING (rid, tid, start)),
+c(rid, tid, start, pos, tpos, held) AS (SELECT rid, tid, start, pos, tpos, 1 FROM q
+      UNION SELECT q.rid, q.tid, q.start, q.pos, q.tpos, held + 1 FROM c JOIN q ON q.rid = c.rid AND q.tid = c.tid AND q.start = c.start AND q.pos > c.pos AND q.tpos > c.tpos),
+h AS (SELECT rid, tid, start, max(held) AS held FROM c GROUP BY ALL),
+s AS (SELECT rid, tid, start, label, exact, pairs, held, min(pos) AS f FROM q JOIN h USING (rid, tid, start) WHERE held >= CASE WHEN exact THEN 1 ELSE 0.6 END * pairs GROUP BY ALL),
+n AS (SELECT *, CASE WHEN exact OR coalesce(start - lag(start) OVER (PARTITION BY rid, tid ORDER BY start) > 3, true) THEN 1 ELSE 0 END AS new FROM s),
+m AS (SELECT *, sum(new) OVER (PARTITION BY rid, tid ORDER BY start) AS run FROM n),
+k AS (SELECT rid, label, exact, pairs, max(held) AS held, arg_max(f, held * 1000000000 - start) AS f FROM m GROUP BY rid, tid, label, exact, pairs, run),
 d AS (SELECT rid, count(*) FILTER (exact) AS n_base, min(f) FILTER (exact) AS first_word, max(f) FILTER (exact) AS last_word,
       string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
-      max(least(votes / pairs, 1.0)) AS score FROM k GROUP BY rid)
+      max(held / pairs) AS score FROM k GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
        CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
 FROM w LEFT JOIN d USING (rid)
