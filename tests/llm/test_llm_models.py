@@ -10,6 +10,7 @@ from collections import Counter
 sys.path.insert(0, os.path.dirname(__file__))
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from awkward import TEXTS, documents, empty, white_words
 from pyspark.sql import functions as F
@@ -49,14 +50,15 @@ def test_language_of_awkward_rows(spark):
 
 def brute_tree(texts, text):
     """The definition, without any sharing: log10 probability of ``text`` and its end after training on ``texts``."""
+    depth = context_tree.DEPTH
 
     def steps(t):
-        b = b"\n\n" + t.lower().encode() + b"\0"
-        for i in range(2, len(b)):
+        b = b"\n" * depth + t.lower().encode() + b"\0"
+        for i in range(depth, len(b)):
             node = 1
             for k in range(7, -1, -1):
                 bit = b[i] >> k & 1
-                yield node, [b"", b[i - 1 : i], b[i - 2 : i]], bit
+                yield node, [b[i - d : i] for d in range(depth + 1)], bit
                 node = 2 * node + bit
 
     counts, children = {}, {}
@@ -71,20 +73,20 @@ def brute_tree(texts, text):
         a, b = counts.get(key, (0, 0))
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
 
-    def weighted(key, depth):
-        if depth == 2:
+    def weighted(key, d):
+        if d == depth:
             return own(key)
-        x, y = own(key), sum(weighted(k, depth + 1) for k in children.get(key, ()))
+        x, y = own(key), sum(weighted(k, d + 1) for k in children.get(key, ()))
         return math.log(0.5) + max(x, y) + math.log1p(math.exp(-abs(x - y)))
 
     total = 0.0
     for node, contexts, bit in steps(text):
         p = None
-        for d in (2, 1, 0):
+        for d in range(depth, -1, -1):
             a, b = counts.get((node, contexts[d]), (0, 0))
             kt = ((b if bit else a) + 0.5) / (a + b + 1)
-            w = 1.0 if d == 2 else 0.5 * math.exp(own((node, contexts[d])) - weighted((node, contexts[d]), d))
-            p = kt if d == 2 else w * kt + (1 - w) * p
+            w = 1.0 if d == depth else 0.5 * math.exp(own((node, contexts[d])) - weighted((node, contexts[d]), d))
+            p = kt if d == depth else w * kt + (1 - w) * p
         total += math.log10(p)
     return total
 
@@ -97,8 +99,42 @@ def test_scores_match_the_definition(spark):
     got = {r["doc"]: r for r in context_tree.score(df, held_out=F.col("h")).collect()}
     for i, t, _ in rows:
         assert got[i]["score"] == pytest.approx(brute_tree(texts, t), rel=1e-5), t
-    tree = context_tree.ContextTree(np.array([0x0A0A61, 0x0A6162]), np.array([3.0, 2.0]))
-    assert np.allclose((10.0 ** tree.table.astype(float)).sum(axis=1), 1, atol=1e-4)
+
+
+def test_scores_in_several_slices_are_the_same(spark, monkeypatch):
+    assert context_tree.DEPTH >= 4
+    docs = documents(spark)
+    held = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
+    one = {(r["doc"], r["n_tokens"]): r["score"] for r in context_tree.score(docs, held_out=held).collect()}
+    monkeypatch.setattr(context_tree, "SLICE", 500)
+    several = context_tree.score(docs, held_out=held).collect()
+    assert len(several) == docs.count() and all(one[r["doc"], r["n_tokens"]] == pytest.approx(r["score"], rel=1e-6) for r in several)
+
+
+def test_subtrees_do_not_depend_on_the_cuts(monkeypatch):
+    data = np.frombuffer(b"the cat sat on the mat and the rat sat on the hat" * 3, np.uint8)
+    code, n = context_tree._sum_up([c := context_tree.strings(data, np.array([0, 20, 20, len(data)]))[0]], [np.ones(len(c))])
+    batch = pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n)], ["code", "n"])
+    found = []
+    for chunk in (1, 7, 1000):
+        monkeypatch.setattr(context_tree, "CHUNK", chunk)
+        trees = list(context_tree._whole(batch.slice(i, 5) for i in range(0, len(code), 5)))
+        sums = np.zeros((3, 1 << 16))
+        for tree in trees:
+            tree.above(sums)
+        top = context_tree.mix_top(sums)
+        found.append(np.concatenate([tree.log10(top) for tree in trees]))
+        assert sum(len(tree.code[context_tree.DEPTH]) for tree in trees) == len(code)
+    assert np.allclose(found[0], found[2]) and np.allclose(found[1], found[2])
+
+
+def test_probabilities_of_all_bytes_sum_to_one():
+    context = np.frombuffer(b"nabab", np.uint8)
+    ends = np.array([int.from_bytes(bytes(context[:: -1][: context_tree.DEPTH]) + bytes([b]), "big") for b in range(256)], np.uint64)
+    tree = context_tree.Subtrees(ends, np.where(np.arange(256) % 50 == 7, 5, 0))
+    sums = np.zeros((3, 1 << 16))
+    tree.above(sums)
+    assert (10 ** tree.log10(context_tree.mix_top(sums))).sum() == pytest.approx(1)
 
 
 def test_base_scores_match_brute_force(spark):

@@ -8,11 +8,16 @@ are mixed by how well they told the training bytes.  With the counts frozen, the
 mixture for a context is ``w * own + (1 - w) * deeper`` with
 ``w = own estimate / (2 * weighted probability)``.
 
-What is gathered from the corpus are counts of byte triples: over all training
-bytes, summed in each task before they are shuffled, at most 256^3 of them
-whatever the corpus.  The table that is sent to the tasks holds a row of 256
-probabilities for each seen context, 64 MB at the very most.  Two line feeds
-stand before every text, and a zero byte behind it ends it.
+What is gathered from the corpus are counts of byte strings of ``DEPTH`` + 1: over
+all bytes, summed in each task before they are shuffled, and more of them the
+more the corpus says.  A string is written with its context first, nearest byte
+first, so in sorted order every context of every depth is one stretch.  Tasks
+hold whole contexts of two bytes with all that lies below them, go through them
+bottom-up for the weights and top-down for the scores; what lies above is 256
+contexts of one byte and the empty one, which the driver mixes.  The scored
+strings come to the texts as sorted slices of at most ``SLICE``, a pass over the
+texts each.  ``DEPTH`` line feeds stand before every text, and a zero byte behind
+it ends it.
 
 **Base.**  Token counts need every distinct token of the corpus, which nothing
 bounds.  Each task turns runs of texts into postings by range of the token's
@@ -34,7 +39,12 @@ from pyspark.sql import functions as F
 from tidegauge.llm import wordhash as wh
 from tidegauge.session import materialize
 
-DEPTH = 2
+#: Bytes of context, from 2 to 6.
+DEPTH = 5
+#: Scored strings that are sent to the tasks at once, 12 bytes each.
+SLICE = 1 << 22
+#: Distinct strings that a task holds before it hands them on, and that it takes in before it goes through whole contexts.
+HELD, CHUNK = 1 << 20, 1 << 18
 #: A run of texts is closed at this many bytes or texts.
 RUN_BYTES, RUN_TEXTS = 1 << 24, 60_000
 HALF = np.log(0.5)
@@ -46,37 +56,60 @@ def _lower() -> np.ndarray:
     return t
 
 
-def triples(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(two bytes before, byte) of every byte of every text and of its end, as 24 bits, and where each text's begin."""
+def strings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Context (nearest byte first) and byte, for every byte of every text and for its end; and where each text's begin."""
     n = len(offsets) - 1
-    bounds = offsets + np.arange(n + 1)
-    at = np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offsets))
-    b = np.zeros(len(data) + n, np.uint32)
+    size = np.diff(offsets)
+    ends = offsets[1:] + np.arange(1, n + 1) * (DEPTH + 1) - 1
+    b = np.full(len(data) + n * (DEPTH + 1), 10, np.uint8)
+    said = np.zeros(len(b), bool)
+    at = np.arange(len(data)) + np.repeat(np.arange(n) * (DEPTH + 1) + DEPTH, size)
     b[at] = _lower()[data]
-    one, two = np.empty_like(b), np.empty_like(b)
-    one[1:], two[2:] = b[:-1], b[:-2]
-    starts = bounds[:-1]
-    one[starts] = two[starts] = 10
-    second = starts[np.diff(bounds) > 1] + 1
-    two[second] = 10
-    return (two << np.uint32(16)) | (one << np.uint32(8)) | b, bounds
+    b[ends] = 0
+    said[at] = said[ends] = True
+    code = b.astype(np.uint64)
+    for k in range(1, DEPTH + 1):
+        code[k:] |= b[:-k].astype(np.uint64) << np.uint64(8 * (DEPTH - k + 1))
+    return code[said], offsets + np.arange(n + 1)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(1 << 24, np.int64)
-    for batch in batches:
-        for _, _, data, offsets in wh.blocks(batch.column("text")):
-            code, n = np.unique(triples(data, offsets)[0], return_counts=True)
-            seen[code] += n
-    at = np.flatnonzero(seen)
-    for i in range(0, len(at), 1 << 16):
-        part = at[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[part])], ["triple", "n"])
+def _sum_up(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    code, place = np.unique(np.concatenate(codes), return_inverse=True)
+    return code, np.bincount(place, weights=np.concatenate(counts), minlength=len(code)).astype(np.int64)
+
+
+def _rows(code: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    part = {"code": code.astype(np.int64), **columns}
+    for i in range(0, len(code), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(v[i : i + (1 << 16)]) for v in part.values()], list(part))
 
 
-def byte_counts(texts: DataFrame) -> DataFrame:
-    """(triple, n) over the column ``text``."""
-    return texts.select("text").mapInArrow(_count, "triple int, n long").groupBy("triple").agg(F.sum("n").alias("n"))
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codes, counts, total = [], [], 0
+    for batch in batches:
+        held_out = np.asarray(batch.column("held_out").to_numpy(zero_copy_only=False), bool)
+        for first, end, data, offsets in wh.blocks(batch.column("text")):
+            code, bounds = strings(data, offsets)
+            # strings of texts that are not learned from are listed without a count, since they are scored too
+            held = np.repeat(held_out[first:end], np.diff(bounds)).astype(np.uint64)
+            both, n = np.unique((code << np.uint64(1)) | held, return_counts=True)
+            codes.append(both >> np.uint64(1))
+            counts.append(np.where(both & np.uint64(1), 0, n))
+            total += len(both)
+            if total > HELD:
+                code, n = _sum_up(codes, counts)
+                codes, counts, total = [code], [n], len(code)
+                if 2 * total > HELD:
+                    yield from _rows(code, n=n)
+                    codes, counts, total = [], [], 0
+    if total:
+        code, n = _sum_up(codes, counts)
+        yield from _rows(code, n=n)
+
+
+def string_counts(texts: DataFrame) -> DataFrame:
+    """(code, n) over the columns ``text`` and ``held_out``: every string of every text, and how often it was learned."""
+    return texts.select("text", "held_out").mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -88,66 +121,152 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
-def _nodes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From counts of bytes by context: log of the block's KT probability, KT probability of a one, by node 1..255."""
-    t = np.zeros((len(counts), 512))
-    t[:, 256:] = counts
-    for i in range(255, 0, -1):
-        t[:, i] = t[:, 2 * i] + t[:, 2 * i + 1]
-    zero, one = t[:, 0::2][:, :256], t[:, 1::2][:, :256]
-    zero, one = zero.copy(), one.copy()
-    zero[:, 0] = one[:, 0] = 0
-    block = log_gamma(zero + 0.5) + log_gamma(one + 0.5) - log_gamma(zero + one + 1) - np.log(np.pi)
-    return block, (one + 0.5) / (zero + one + 1), zero + one
-
-
-def _byte_logs(p: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte, from the probability of a one at each node."""
-    out = np.zeros((len(p), 256))
-    byte = np.arange(256)
-    for level in range(8):
-        node = (1 << level) | (byte >> (8 - level))
-        bit = (byte >> (7 - level)) & 1
-        q = p[:, node]
-        out += np.log10(np.where(bit, q, 1 - q))
+def _block(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov probability of so many zeros and ones."""
+    return log_gamma(zero + 0.5) + log_gamma(one + 0.5) - log_gamma(zero + one + 1) - np.log(np.pi)
+
+
+class Subtrees:
+    """The contexts of two bytes and more of a sorted stretch of strings that holds them whole."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray):
+        # by depth: strings, their counts; and the place of each string in the depth above
+        self.code, self.n, self.up = {DEPTH: code}, {DEPTH: n.astype(np.float64)}, {}
+        for d in range(DEPTH - 1, 1, -1):
+            k = self.code[d + 1]
+            self.code[d], self.up[d + 1] = np.unique(((k >> np.uint64(16)) << np.uint64(8)) | (k & np.uint64(255)), return_inverse=True)
+            self.n[d] = np.bincount(self.up[d + 1], weights=self.n[d + 1])
+
+    def weigh(self, level: int) -> dict[int, tuple]:
+        """At a bit of the byte, by depth: group of each string, first string, zeros, ones, log of the weighted probability, weight."""
+        out = {}
+        for d in range(DEPTH, 1, -1):
+            k, n = self.code[d], self.n[d]
+            stem = k >> np.uint64(8 - level)
+            new = np.concatenate([[True], stem[1:] != stem[:-1]])
+            group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            one = np.add.reduceat(n * ((k >> np.uint64(7 - level)) & np.uint64(1)), first)
+            zero = np.add.reduceat(n, first) - one
+            own = weighted = _block(zero, one)
+            if d < DEPTH:
+                deeper = out[d + 1]
+                below = np.bincount(group[self.up[d + 1][deeper[1]]], weights=deeper[4], minlength=len(first))
+                weighted = np.logaddexp(HALF + own, HALF + below)
+            out[d] = group, first, zero, one, weighted, np.exp(HALF + own - weighted)
+        return out
+
+    def above(self, sums: np.ndarray) -> None:
+        """Add zeros, ones and logs of weighted probabilities to ``sums``, by byte before and node."""
+        for level in range(8):
+            _, first, zero, one, weighted, _ = self.weigh(level)[2]
+            k = self.code[2][first].astype(np.int64)
+            slot = ((k >> 16) << 8) | (1 << level) | ((k & 255) >> (8 - level))
+            for i, values in enumerate((zero, one, weighted)):
+                sums[i] += np.bincount(slot, weights=values, minlength=1 << 16)
+
+    def log10(self, top: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Of each string, log10 of its byte's probability after its context."""
+        code, out = self.code[DEPTH].astype(np.int64), np.zeros(len(self.code[DEPTH]))
+        for level in range(8):
+            weighed, place = self.weigh(level), np.arange(len(out))
+            for d in range(DEPTH, 1, -1):
+                group, _, zero, one, _, w = weighed[d]
+                estimate, at = (one + 0.5) / (zero + one + 1), group[place]
+                p = estimate[at] if d == DEPTH else w[at] * estimate[at] + (1 - w[at]) * p
+                place = self.up[d][place] if d > 2 else place
+            slot = ((code >> (8 * DEPTH)) << 8) | (1 << level) | ((code & 255) >> (8 - level))
+            p = top[0][slot] + top[1][slot] * p
+            out += np.log10(np.where((code >> (7 - level)) & 1, p, 1 - p))
+        return out
+
+
+def mix_top(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Depths 0 and 1, by byte before and node: p = first + second * (p of the deeper contexts)."""
+    zero, one, below = sums.reshape(3, 256, 256)
+    own = _block(zero, one)
+    weighted = np.logaddexp(HALF + own, HALF + below)
+    root = _block(zero.sum(axis=0), one.sum(axis=0))
+    w0 = np.exp(HALF + root - np.logaddexp(HALF + root, HALF + weighted.sum(axis=0)))
+    w1 = np.exp(HALF + own - weighted)
+    estimate = (one + 0.5) / (zero + one + 1)
+    estimate0 = (one.sum(axis=0) + 0.5) / (zero.sum(axis=0) + one.sum(axis=0) + 1)
+    return (w0 * estimate0 + (1 - w0) * w1 * estimate).ravel(), ((1 - w0) * (1 - w1)).ravel()
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[Subtrees]:
+    """Sorted strings, cut between contexts of two bytes."""
+    codes, counts, total = [], [], 0
+    for batch in batches:
+        codes.append(batch.column("code").to_numpy().astype(np.uint64))
+        counts.append(batch.column("n").to_numpy())
+        total += len(codes[-1])
+        if total >= CHUNK:
+            code, n = np.concatenate(codes), np.concatenate(counts)
+            last = code[-1] >> np.uint64(8 * (DEPTH - 1)) << np.uint64(8 * (DEPTH - 1))
+            cut = int(np.searchsorted(code, last))
+            if cut:
+                yield Subtrees(code[:cut], n[:cut])
+            codes, counts, total = [code[cut:]], [n[cut:]], len(code) - cut
+    if total:
+        yield Subtrees(np.concatenate(codes), np.concatenate(counts))
+
+
+def _above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = np.zeros((3, 1 << 16))
+    for tree in _whole(batches):
+        tree.above(sums)
+    slot = np.flatnonzero(sums.any(axis=0))
+    yield from _rows(slot, zero=sums[0][slot], one=sums[1][slot], below=sums[2][slot])
+
+
+def _log10(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    for tree in _whole(batches):
+        yield from _rows(tree.code[DEPTH], log10=tree.log10(sent.value).astype(np.float32))
+
+
+def fit(texts: DataFrame) -> DataFrame:
+    """(code, log10) of every string of ``texts`` (columns ``text``, ``held_out``), learned from those not held out."""
+    counts = materialize(string_counts(texts), "byte-strings")
+    dealt = counts.repartition(F.shiftright("code", 8 * (DEPTH - 1))).sortWithinPartitions("code")
+    sums = np.zeros((3, 1 << 16))
+    # at most 256 bytes x 255 nodes
+    top = dealt.mapInArrow(_above, "code long, zero double, one double, below double").groupBy("code").agg(F.sum("zero"), F.sum("one"), F.sum("below")).toArrow()
+    for i in range(3):
+        sums[i][top.column(0).to_numpy()] = top.column(i + 1).to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(mix_top(sums))
+    out = materialize(dealt.mapInArrow(lambda b: _log10(b, sent), "code long, log10 float"), "byte-string-scores")
+    sent.destroy()
     return out
 
 
-class ContextTree:
-    """Frozen model: ``row`` maps two bytes before to a row of ``table``, whose columns are bytes."""
-
-    def __init__(self, triple: np.ndarray, n: np.ndarray):
-        context = triple >> 8
-        seen, place = np.unique(context, return_inverse=True)
-        deep = np.zeros((len(seen), 256))
-        deep[place, triple & 255] = n
-        last = (seen & 255).astype(np.int64)
-        middle = np.zeros((256, 256))
-        np.add.at(middle, last, deep)
-        block2, kt2, _ = _nodes(deep)
-        block1, kt1, _ = _nodes(middle)
-        block0, kt0, _ = _nodes(middle.sum(axis=0, keepdims=True))
-        below = np.zeros((256, 256))
-        np.add.at(below, last, block2)  # contexts never seen have probability one
-        all1 = np.logaddexp(HALF + block1, HALF + below)
-        all0 = np.logaddexp(HALF + block0, HALF + all1.sum(axis=0, keepdims=True))
-        w1, w0 = np.exp(HALF + block1 - all1), np.exp(HALF + block0 - all0)
-        # a row for each seen pair, for each byte before an unseen pair
-        p2 = np.concatenate([kt2, np.full((256, 256), 0.5)])
-        before = np.concatenate([last, np.arange(256)])
-        p1 = w1[before] * kt1[before] + (1 - w1[before]) * p2
-        p0 = w0 * kt0 + (1 - w0) * p1
-        self.table = _byte_logs(p0).astype(np.float32)
-        self.row = (np.arange(1 << 16) & 255).astype(np.int32) + len(seen)
-        self.row[seen] = np.arange(len(seen))
-
-    def log10(self, code: np.ndarray) -> np.ndarray:
-        return self.table[self.row[(code >> np.uint32(8)).astype(np.int64)], (code & np.uint32(255)).astype(np.int64)]
-
-
-def fit(texts: DataFrame) -> ContextTree:
-    counts = byte_counts(texts).toPandas()
-    return ContextTree(counts["triple"].to_numpy(np.int64), counts["n"].to_numpy(np.float64))
+def slices(scored: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The scored strings as sorted arrays of some ``SLICE`` strings at most."""
+    passes = max(1, -(-scored.count() * 8 // (SLICE * 7)))
+    for i in range(passes):
+        part = scored if passes == 1 else scored.filter(F.pmod(F.xxhash64("code"), F.lit(passes)) == i)
+        got = part.toArrow()
+        code, log10 = got.column("code").to_numpy(), got.column("log10").to_numpy()
+        order = np.argsort(code)
+        yield code[order].astype(np.uint64), log10[order]
+
+
+def look_up(known: tuple[np.ndarray, np.ndarray], code: np.ndarray) -> np.ndarray:
+    """log10 of the strings of a slice, 0 for those of other slices."""
+    if not len(known[0]):
+        return np.zeros(len(code))
+    at = np.minimum(np.searchsorted(known[0], code), len(known[0]) - 1)
+    return np.where(known[0][at] == code, known[1][at], 0.0)
+
+
+def _text_sums(known: tuple[np.ndarray, np.ndarray], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    code, bounds = strings(data, offsets)
+    return np.diff(np.concatenate([[0.0], np.cumsum(look_up(known, code), dtype=np.float64)])[bounds])
+
+
+def _more(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first, end, data, offsets in wh.blocks(batch.column("text")):
+            yield pa.RecordBatch.from_arrays([batch.column("digest").slice(first, end - first), pa.array(_text_sums(sent.value, data, offsets))], ["digest", "more"])
 
 
 class _Run:
@@ -182,18 +301,17 @@ class _Run:
 
 def _score(batches: Iterator[pa.RecordBatch], sent, parts: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     """A row for each text (part -1: its place in the run, score, tokens) and for each run and range of hashes."""
-    tree: ContextTree = sent.value
     task, number, run = TaskContext.get().partitionId(), 0, _Run()
 
-    def emit(run_id, part, doc, place, held_out, n_tokens, score, texts, payload):
-        kinds = (pa.int64(), pa.int32(), kind, pa.int32(), pa.bool_(), pa.int64(), pa.float64(), pa.int32(), pa.binary())
-        names = ["run", "part", "doc", "place", "held_out", "n_tokens", "score", "texts", "payload"]
-        values = (run_id, part, doc, place, held_out, n_tokens, score, texts, payload)
+    def emit(run_id, part, doc, place, held_out, n_tokens, score, texts, payload, digest):
+        kinds = (pa.int64(), pa.int32(), kind, pa.int32(), pa.bool_(), pa.int64(), pa.float64(), pa.int32(), pa.binary(), pa.int64())
+        names = ["run", "part", "doc", "place", "held_out", "n_tokens", "score", "texts", "payload", "digest"]
+        values = (run_id, part, doc, place, held_out, n_tokens, score, texts, payload, digest)
         return pa.RecordBatch.from_arrays([v.cast(k) if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
 
     def close():
         for p, data in run.postings(parts):
-            yield emit([run_id()], [p], [None], [None], [None], [None], [None], [len(run.train)], [data])
+            yield emit([run_id()], [p], [None], [None], [None], [None], [None], [len(run.train)], [data], [None])
 
     def run_id():
         return (task << 32) | number
@@ -204,8 +322,7 @@ def _score(batches: Iterator[pa.RecordBatch], sent, parts: int, kind: pa.DataTyp
             if run.train and (run.bytes + len(data) > RUN_BYTES or len(run.train) + n > RUN_TEXTS):
                 yield from close()
                 run, number = _Run(), number + 1
-            code, bounds = triples(data, offsets)
-            sums = np.concatenate([[0.0], np.cumsum(tree.log10(code), dtype=np.float64)])
+            sums = _text_sums(sent.value, data, offsets)
             hashes, words = wh.words(data, offsets, wh.WHITE)
             count = np.diff(words)
             held = batch.column("held_out").slice(first, n)
@@ -214,7 +331,7 @@ def _score(batches: Iterator[pa.RecordBatch], sent, parts: int, kind: pa.DataTyp
             run.counts.append(count)
             run.train.extend((~np.asarray(held.to_numpy(zero_copy_only=False), bool)).tolist())
             run.bytes += len(data)
-            yield emit(np.full(n, run_id()), np.full(n, -1), batch.column("doc").slice(first, n), np.arange(begin, begin + n), held, count + 1, np.diff(sums[bounds]), [None] * n, [None] * n)
+            yield emit(np.full(n, run_id()), np.full(n, -1), batch.column("doc").slice(first, n), np.arange(begin, begin + n), held, count + 1, sums, [None] * n, [None] * n, batch.column("digest").slice(first, n))
     if run.train:
         yield from close()
 
@@ -265,17 +382,27 @@ def score(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", held_out:
     spark = docs.sparkSession
     wh.bound_batches(spark)
     base = docs.select(F.col(doc).alias("doc"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sent = spark.sparkContext.broadcast(fit(base.filter(~F.col("held_out"))))
+    base = base.withColumn("digest", F.xxhash64("text"))
+    known = slices(fit(base))
+    sent = spark.sparkContext.broadcast(next(known))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = dict(base.dtypes)["doc"]
     arrow = pa.schema([("doc", base.select("doc").limit(0).toArrow().schema.field("doc").type)]).field("doc").type
     table = base.mapInArrow(
-        lambda b: _score(b, sent, parts, arrow), f"run long, part int, doc {kind}, place int, held_out boolean, n_tokens long, score double, texts int, payload binary"
+        lambda b: _score(b, sent, parts, arrow), f"run long, part int, doc {kind}, place int, held_out boolean, n_tokens long, score double, texts int, payload binary, digest long"
     )
     table = materialize(table, "token-postings")
+    sent.destroy()
     sums = table.filter("part >= 0").select("run", "part", "texts", "payload").groupBy("part").applyInArrow(_add_up, "run long, logs binary, known binary, types long")
     sums = materialize(sums, "token-sums")
-    rows = table.filter("part = -1").select("run", "place", "doc", "held_out", "n_tokens", "score")
+    rows = table.filter("part = -1").select("run", "place", "doc", "held_out", "n_tokens", "score", "digest")
+    for part in known:
+        # strings of other slices: a score depends on the text alone, so it comes back by the text's digest
+        sent = spark.sparkContext.broadcast(part)
+        more = base.select("digest", "text").mapInArrow(lambda b, sent=sent: _more(b, sent), "digest long, more double")
+        more = materialize(more.groupBy("digest").agg(F.max("more").alias("more")), "more-strings")
+        sent.destroy()
+        rows = rows.join(more, "digest").withColumn("score", F.col("score") + F.col("more")).drop("more")
     ends, words = rows.filter(~F.col("held_out")).agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     types = sums.filter("run = -1").agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0] + (ends > 0)
     per_text = sums.filter("run >= 0").select("run", "logs", "known").groupBy("run").applyInArrow(_per_text, "run long, place int, logs double, known long")

@@ -39,7 +39,7 @@ h AS (SELECT rid, tid, start, max(held) AS held FROM c GROUP BY ALL),
 s AS (SELECT rid, tid, start, label, exact, pairs, held, min(pos) AS f FROM q JOIN h USING (rid, tid, start) WHERE held >= CASE WHEN exact THEN 1 ELSE 0.6 END * pairs GROUP BY ALL),
 n AS (SELECT *, CASE WHEN exact OR coalesce(start - lag(start) OVER (PARTITION BY rid, tid ORDER BY start) > 3, true) THEN 1 ELSE 0 END AS new FROM s),
 m AS (SELECT *, sum(new) OVER (PARTITION BY rid, tid ORDER BY start) AS run FROM n),
-k AS (SELECT rid, label, exact, pairs, max(held) AS held, arg_max(f, held * 1000000000 - start) AS f FROM m GROUP BY rid, tid, label, exact, pairs, run),
+k AS (SELECT rid, label, exact, pairs, max(held) AS held, arg_max(f, CAST(held AS BIGINT) * 1000000000 - start) AS f FROM m GROUP BY rid, tid, label, exact, pairs, run),
 d AS (SELECT rid, count(*) FILTER (exact) AS n_base, min(f) FILTER (exact) AS first_word, max(f) FILTER (exact) AS last_word,
       string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
       max(held / pairs) AS score FROM k GROUP BY rid)
