@@ -11,7 +11,7 @@ once, however often its words are repeated.
 
 Short phrases are templates too, and stand where one diagonal holds all their
 pairs.  The join compares the words beside the hash, so every vote is exact.
-Spark broadcasts the templates where their size allows it; votes are gathered by
+Templates of up to ``BROADCAST_PAIRS`` word pairs are broadcast; votes are gathered by
 diagonal, a template's length at most, and pairs that hit nothing never leave
 their task.
 """
@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.text import joined, words
 
+#: So many word pairs of templates are broadcast, some 10 MB; more are joined as Spark sees fit.
+BROADCAST_PAIRS = 100_000
+
 # Phrases and their labels.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -49,7 +52,8 @@ def template_positions(spark: SparkSession, phrases: dict[str, str], notices: di
         if len(w) < 2:
             raise ValueError(f"a template needs two words: {body!r}")
         rows += [(tid, label, exact, len(w) - 1, i, w[i], w[i + 1]) for i in range(len(w) - 1)]
-    return spark.createDataFrame(rows, "tid int, label string, exact boolean, pairs int, tpos int, left string, right string")
+    out = spark.createDataFrame(rows, "tid int, label string, exact boolean, pairs int, tpos int, left string, right string")
+    return F.broadcast(out) if len(rows) <= BROADCAST_PAIRS else out
 
 
 def votes(docs: DataFrame, templates: DataFrame, *, keep: list[str], text: str) -> DataFrame:
