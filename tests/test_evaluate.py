@@ -138,3 +138,27 @@ def test_pooled_and_queue_tags(spark):
     assert {r.split: r["count"] for r in p} == {"main": 2, "block1": 1, "block2": 1, "pooled": 2}
     q = evaluate.subset_tags(df, split="split", main="main", queue="qos", queues=["1", "11"]).groupBy("split").count().collect()
     assert {r.split: r["count"] for r in q} == {"main": 2, "block1": 1, "block2": 1, "queue 1": 1}
+
+
+def test_weight_sums_and_blocks_of_draws(spark, monkeypatch):
+    """Sums per cluster equal those of the single weights, with a NULL key; draws made in several blocks and pieces are those of md5."""
+    df = spark.createDataFrame([("a", u) for u in range(9)] + [(None, u) for u in range(3)], "k string, u int")
+    args = dict(keys=["k"], cluster="u", n_boot=30, seed=3)
+    want = {}
+    for r in bootstrap.bootstrap_weights(df, **args).collect():
+        d, n, m, c = want.get((r.k, r.u), (0, 0, 0, 0))
+        want[r.k, r.u] = (d + r.weight, n + 1, max(m, r.weight), c + r.weight**2 * (r.b + 1))
+    got = {(r.k, r.u): (r.draws, r.resamples, r.most, r.checksum) for r in bootstrap.weight_sums(df, **args).collect()}
+    assert got == want and len(got) == 12
+    monkeypatch.setattr(bootstrap, "BLOCK", 50)
+    monkeypatch.setattr(bootstrap, "PIECE", 7)
+    n, size, found = 120, 32, Counter()
+    units = pa.RecordBatch.from_pydict({"k": ["x"] * 3, "clusters": [n] * 3, "q": [2] * 3, "block": [0, 1, 2]})
+    for batch in bootstrap._drawn(iter([units]), ["k"], 11, 3, size):
+        for chunk, q, draws in zip(*(batch.column(c).to_pylist() for c in ("chunk", "q", "draws"))):
+            found.update((chunk * size + int(p) // 4, 4 * q + int(p) % 4) for p in np.frombuffer(draws, "<u2"))
+    made = Counter()
+    for i in range(n):
+        h = hashlib.md5(f"3|2|{i}".encode()).hexdigest()
+        made.update((int(h[8 * r : 8 * r + 8], 16) * n >> 32, 8 + r) for r in range(3))
+    assert found == made
