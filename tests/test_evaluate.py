@@ -162,3 +162,21 @@ def test_weight_sums_and_blocks_of_draws(spark, monkeypatch):
         h = hashlib.md5(f"3|2|{i}".encode()).hexdigest()
         made.update((int(h[8 * r : 8 * r + 8], 16) * n >> 32, 8 + r) for r in range(3))
     assert found == made
+
+
+@pytest.mark.parametrize("tied, wide, fan, cells, lane", [(0, 5, 2, 3, 7), (0, 1 << 15, 64, 3, 7), (4, 1 << 15, 64, 3, 7), (1e9, 5, 2, 3, 7)])
+def test_areas_by_blocks_and_by_lanes_are_the_same(spark, scored, tied, wide, fan, cells, lane):
+    """Every set by blocks (many blocks, several rounds of adding), some of them, none; counts above one, a NULL key."""
+    pdf, _ = scored
+    base = pd.concat([pdf[pdf.k.isin([0, 99])], pdf[pdf.k == 0]])
+    sets = pd.concat([base.assign(fs="B0"), base.assign(fs="g", score=np.round(base.score * 7 % 1, 1)), base.assign(fs=None, score=0.5)])
+    df = spark.createDataFrame(sets[["k", "u", "y", "score", "fs"]], "k long, u long, y double, score double, fs string")
+    got = bootstrap.average_precision(
+        df, test_keys=["k"], set_keys=["fs"], y="y", score="score", cluster="u", n_boot=130, seed=5, cells=cells, lane=lane, tied=tied, wide=wide, fan=fan
+    ).collect()
+    w = {(r.k, r.u, r.b): r.weight for r in bootstrap.bootstrap_weights(df, keys=["k"], cluster="u", n_boot=130, seed=5).collect()}
+    assert len(got) == 2 * 3 * 130
+    for r in got[::7]:
+        g = sets[(sets.k == r.k) & (sets.fs.isna() if r.fs is None else sets.fs == r.fs)]
+        want = ap_by_definition(g.y, g.score, [w.get((r.k, u, r.b), 0) for u in g.u])
+        assert r.ap is None and want is None or abs(r.ap - want) < 1e-9
