@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tidegauge.operators import ordering
 from tidegauge.session import scratch_path
 from tidegauge.sources import tables
 from tidegauge.sources.ledger import Ledger
@@ -76,3 +77,17 @@ def test_several_paths_in_one_scan_keep_the_first_row_of_a_key(spark):
     assert got(read) == {1: "z0", 2: "z1", 3: "a1", None: "a3"}
     assert got(read.repartition(5)) == got(read)
     assert got(tables.read_several(spark, [f"{root}/a", f"{root}/z"], ["k", "v"]))[2] == "a0"
+
+
+def test_first_rows_are_found_by_tasks_of_counted_rows(spark, tmp_path, monkeypatch):
+    """Many files: the number of tasks that sort rows follows the rows, and the first row is the same."""
+    monkeypatch.setattr(ordering, "TASK_ROWS", 2)
+    for name in ("b", "a"):
+        spark.range(40).selectExpr("id % 20 AS k", f"concat('{name}', id) AS v").repartitionByRange(12, "v").write.parquet(str(tmp_path / name))
+    read = tables.read_several(spark, [str(tmp_path / "b"), str(tmp_path / "a")], ["k", "v"])
+    first = {}
+    for r in read.orderBy("__place").collect():
+        first.setdefault(r.k, r.v)
+    got = tables.first_in_files(read, ["k"])
+    assert {r.k: r.v for r in got.collect()} == first and {v[0] for v in first.values()} == {"b"}
+    assert "RepartitionByExpression [__place" in got._jdf.queryExecution().optimizedPlan().toString() and ", 40" in got._jdf.queryExecution().optimizedPlan().toString()

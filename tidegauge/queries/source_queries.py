@@ -125,8 +125,8 @@ def several_paths_dedup(spark, sf):
     for name, rows in parts.items():
         paths.append(f"{root}/{name}")
         # a job twice in one file: the copy behind it must not win
-        again = rows.unionByName(rows.withColumn("price", F.lit(-1.0))) if name == "june" else rows
-        tables.write_parquet(again.drop("o_orderdate").withColumn("origin", F.lit(name)).coalesce(1), paths[-1])
+        again = rows.withColumn("price", F.explode(F.array("price", F.lit(-1.0)))) if name == "june" else rows
+        tables.write_parquet(again.drop("o_orderdate").withColumn("origin", F.lit(name)).select("job_id", "user_id", "price", "origin"), paths[-1])
     return tables.first_in_files(tables.read_several(spark, paths, ["job_id", "user_id", "price", "origin"]), ["job_id"])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tidegauge.functions import columns as C
+from tidegauge.operators.ordering import sized
 from tidegauge.sources.ledger import Ledger
 
 LAKE_KEYS = ("year_month", "plugin", "metric")
@@ -78,9 +79,13 @@ def read_several(spark: SparkSession, paths: Sequence[str], columns: Sequence[st
 
 
 def first_in_files(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Of the rows of a key, the one that stands first (:func:`read_several`): one aggregation with map-side combine, no sort."""
+    """Of the rows of a key, the one that stands first (:func:`read_several`): one aggregation with map-side combine.
+
+    Rows are dealt out by place first, to tasks of a counted number of rows: an aggregation of
+    rows sorts all rows of its task, and a task of the scan has as many as its files hold.
+    """
     rest = [c for c in df.columns if c not in keys and c != "__place"]
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), "__place").alias("__r"))
+    first = sized(df, df.count(), "__place").groupBy(*keys).agg(F.min_by(F.struct(*rest), "__place").alias("__r"))
     return first.select(*[F.col(c) if c in keys else F.col(f"__r.{c}").alias(c) for c in df.columns if c != "__place"])
 
 
