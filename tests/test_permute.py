@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.operators import features, permute
+from tidegauge.operators import features, ordering, permute
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 97, 1000, 10_007])
@@ -55,3 +55,12 @@ def test_placebos_sort_the_rows_once_and_move_columns_together(spark):
         assert sorted(first) == [10.0 * i for i in range(500)]
         for j, s in enumerate(features.STATS):
             assert (rows[f"p{k:02d}__{s}"] == first + j).all()
+
+
+def test_placebos_are_made_by_tasks_of_counted_ranks(spark, monkeypatch):
+    """The number of tasks that hold wide rows follows the ranks."""
+    monkeypatch.setattr(ordering, "TASK_ROWS", 10)
+    df = spark.range(700).selectExpr("id AS job", *[f"CAST(id AS DOUBLE) AS g__{s}" for s in features.STATS])
+    out = features.placebos(df, key="job", groups=["g"], count=2, seed=1, name="p")
+    assert out.rdd.getNumPartitions() == 70
+    assert sorted(r.p00__mean for r in out.collect()) == list(range(700))

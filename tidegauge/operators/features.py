@@ -152,7 +152,9 @@ def placebos(df: DataFrame, *, key: str, groups: Sequence[str], count: int, seed
     rank j by key hands its columns to the row at rank ``permutation k of j``
     (:mod:`permute`): the four columns move together and keep their joint
     distribution.  The rows are ranked once, whatever the number of placebos,
-    and the moved columns meet in one aggregation per receiving rank.
+    and the moved columns meet in one aggregation per receiving rank: narrow
+    offers travel, and the wide rows are only made by the task that keeps them,
+    for a counted number of ranks.
     """
     kinds = [groups[k % len(groups)] for k in range(count)]
     used = list(dict.fromkeys(c for g in kinds for c in stat_columns(g)))
@@ -166,5 +168,5 @@ def placebos(df: DataFrame, *, key: str, groups: Sequence[str], count: int, seed
     )
     width = max(2, len(str(count - 1)))
     cols = [F.max(F.when(F.col("k") == k, F.col("vals")[j])).alias(f"{name}{k:0{width}d}__{s}") for k in range(count) for j, s in enumerate(STATS)]
-    moved = ranked.select(F.explode(offers).alias("o")).select("o.*").groupBy("to").agg(*cols)
-    return ranked.select(key, "__i").join(moved, F.col("__i") == F.col("to")).drop("__i", "to")
+    moved = ordering.sized(ranked.select(F.explode(offers).alias("o")).select("o.*"), n, "to").groupBy("to").agg(*cols)
+    return ordering.sized(ranked.select(key, "__i"), n, "__i").join(moved, F.col("__i") == F.col("to")).drop("__i", "to")
