@@ -143,3 +143,19 @@ def test_array_std_and_rounding(spark):
     assert tuple(one) == (0.0, 2.0, -1)
     f = spark.createDataFrame([(1.0,), (math.nan,), (math.inf,), (None,)], "x double").select(C.finite("x")).collect()
     assert [r[0] for r in f] == [True, False, False, False]
+
+
+def test_asof_tasks_follow_the_counted_rows(spark, monkeypatch):
+    from tidegauge.operators import ordering
+
+    monkeypatch.setattr(ordering, "TASK_ROWS", 10)
+    readings = spark.range(500).selectExpr("id % 7 AS node", "id * 10 AS ts", "CAST(id AS DOUBLE) AS value")
+    grid = spark.range(100).selectExpr("id % 7 AS node", "id * 31 AS at")
+    out = windows.asof_match(grid, readings, node="node", at="at", ts="ts", value="value", tolerance_ms=100)
+    assert out.rdd.getNumPartitions() == 160
+    rows = {r["node"]: [] for r in readings.collect()}
+    for r in readings.collect():
+        rows[r["node"]].append(r.ts)
+    for r in out.collect():
+        ahead = [t for t in rows[r.node] if r["at"] <= t <= r["at"] + 100]
+        assert r.match_ts == min(ahead, default=None)

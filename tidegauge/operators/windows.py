@@ -131,13 +131,15 @@ def asof_match(
     joined, so no point meets more than one reading a side.  A neighbour can lie
     in the stretch before or behind; the first and last reading of every stretch
     are handed over to those, and the node's last reading marks its own and the next.
+    Both sides are counted first, so that a task has a bounded number of rows to sort.
     """
     if direction not in ("forward", "nearest"):
         raise ValueError(f"unknown direction: {direction}")
     stretch = max(int(tolerance_ms), 1)
     chunk = lambda t: F.floor(F.col(t) / F.lit(stretch)).alias("__chunk")
     slim = readings.select(F.col(node).alias("__node"), F.col(ts).cast("bigint").alias("__t"), F.col(value).alias("__v")).filter("__node IS NOT NULL AND __t IS NOT NULL")
-    placed = slim.select("*", chunk("__t")).repartition("__node", "__chunk")
+    n = slim.count()
+    placed = ordering.sized(slim.select("*", chunk("__t")), n, "__node", "__chunk")
     reading = F.struct(F.col("__t").alias("ts"), "lo", "hi").alias("__r")
     once = placed.groupBy("__node", "__chunk", "__t").agg(F.min("__v").alias("lo"), F.max("__v").alias("hi")).select("__node", "__chunk", "__t", reading)
     edges = once.groupBy("__node", "__chunk").agg(F.min("__r").alias("first"), F.max("__r").alias("last"))
@@ -148,6 +150,7 @@ def asof_match(
 
     points = grid.select(F.col(node).alias("__node"), F.col(at).cast("bigint").alias("__t"), chunk(at), F.struct(*grid.columns).alias("__g"))
     merged = points.unionByName(once.unionByName(handed), allowMissingColumns=True).unionByName(ends, allowMissingColumns=True)
+    merged = ordering.sized(merged, grid.count() + 3 * n, "__node", "__chunk")
     part, point = W.partitionBy("__node", "__chunk"), F.col("__g").isNotNull().cast("int")
     # at equal times a point stands before the reading, both ways round
     behind = part.orderBy(F.asc("__t"), F.desc(point)).rowsBetween(W.unboundedPreceding, W.currentRow)
