@@ -119,3 +119,21 @@ def test_models_take_missing_values_and_importance_sees_the_signal(spark, spec):
     assert out.count() == 600 and out.filter("score < 0 OR score > 1").count() == 0
     drop = {c: models.permutation_importance(model, floors, df, key="job", columns=cols, permuted=[c], label="y", repeats=2).first().importance for c in ("signal", "empty")}
     assert drop["signal"] > 0.1 and abs(drop["empty"]) < 1e-12
+
+
+def test_importance_of_any_columns_of_one_model(spark):
+    """Columns that do not stand last are moved too, and every other column keeps its place in the model."""
+    from pyspark.sql import functions as F
+
+    from tidegauge.operators import models, ordering
+
+    rows = spark.range(400).select(
+        F.col("id").alias("job"), F.when(F.col("id") % 4 == 0, "test").otherwise("train").alias("role"), (F.hash("id") % 2 == 0).cast("double").alias("y"), F.lit(1.0).alias("same")
+    ).withColumn("told", F.col("y") * 3)
+    columns = ["told", "same"]
+    v = models.vectors(rows, key="job", label="y", columns=columns)
+    model = models.fit_slice(v, columns, models.ModelSpec("RF", "forest", {"numTrees": 5, "maxDepth": 2}))
+    ranked = ordering.row_index(v.test, [], ["job"], "__i")
+    scores = models.score_slice(model, v, columns, ["job"])
+    drop = {p: models.importance_slice(model, v, ranked, scores, key="job", columns=columns, permuted=[p], repeats=2).first().importance for p in columns}
+    assert drop["told"] > 0.2 and abs(drop["same"]) < 1e-9
