@@ -180,3 +180,10 @@ def test_areas_by_blocks_and_by_lanes_are_the_same(spark, scored, tied, wide, fa
         g = sets[(sets.k == r.k) & (sets.fs.isna() if r.fs is None else sets.fs == r.fs)]
         want = ap_by_definition(g.y, g.score, [w.get((r.k, u, r.b), 0) for u in g.u])
         assert r.ap is None and want is None or abs(r.ap - want) < 1e-9
+
+
+def test_users_are_counted_by_tasks_of_counted_rows(spark, scored):
+    pdf, df = scored
+    out = evaluate.performance(df, keys=["k"], y="y", score="score", user="u")
+    assert "RepartitionByExpression [k" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.k: r.users for r in out.collect()} == pdf.groupby("k").u.nunique().to_dict()
