@@ -187,3 +187,58 @@ def test_users_are_counted_by_tasks_of_counted_rows(spark, scored):
     out = evaluate.performance(df, keys=["k"], y="y", score="score", user="u")
     assert "RepartitionByExpression [k" in out._jdf.queryExecution().optimizedPlan().toString()
     assert {r.k: r.users for r in out.collect()} == pdf.groupby("k").u.nunique().to_dict()
+
+
+@pytest.mark.parametrize("tied", [4, 1e9])
+def test_an_array_of_scores_gives_what_a_row_per_set_gives(spark, scored, tied):
+    """Some sets by blocks, none; gains, intervals and counted positives, too."""
+    pdf, _ = scored
+    base = pdf[pdf.k.isin([0, 99])]
+    scores = [base.score, np.round(base.score * 7 % 1, 1), pd.Series(0.5, index=base.index)]
+    sets = [("m", "B0"), ("m", "g"), ("n", "B0")]
+    arrays = spark.createDataFrame(base[["k", "u", "y"]].assign(score=[list(map(float, s)) for s in zip(*scores)]), "k long, u long, y double, score array<double>")
+    long = spark.createDataFrame(pd.concat([base[["k", "u", "y"]].assign(m=m, fs=fs, score=s) for (m, fs), s in zip(sets, scores)]))
+    args = dict(test_keys=["k"], set_keys=["m", "fs"], y="y", score="score", cluster="u", n_boot=30, seed=5)
+    key = lambda r: (r.k, r.m, r.fs, r.b)
+    want = {key(r): r.ap for r in bootstrap.average_precision(long, **args, tied=1e9).collect()}
+    got = {key(r): r.ap for r in bootstrap.average_precision(arrays, **args, sets=sets, tied=tied).collect()}
+    assert len(want) == 2 * 3 * 30 and got.keys() == want.keys()
+    assert all((got[r] is None and want[r] is None) or abs(got[r] - want[r]) < 1e-9 for r in want)
+    if tied == 4:
+        both = [evaluate.paired_gains(df, **args, set_col="fs", baseline="B0", **more) for df, more in ((long, {}), (arrays, {"sets": sets}))]
+        a, b = (df.toPandas().sort_values(["k", "m", "fs"]).reset_index(drop=True) for df in both)
+        assert len(a) == 1  # the other test has no positives
+        pd.testing.assert_frame_equal(a, b)
+
+
+def test_cells_are_packed_by_set_and_block_and_large_clusters_are_added_up(monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 5000
+    slot = np.where(rng.random(n) < 0.4, 7, rng.integers(0, 90, n))
+    scores, y = rng.integers(0, 6, (n, 2)).astype(float), rng.integers(0, 2, n)
+    lots = [[40, None] if s % 2 else [40, 41] for s in slot]
+    rows = pa.table({"slot": slot, "__p": pa.array(y, pa.int32()), "__q": pa.array(1 - y, pa.int32()), "__first": np.full(n, 10), "__lots": pa.array(lots, pa.list_(pa.int64())), "__scores": scores.tolist()})
+    want = Counter()
+    for s, c, label, own in zip(slot, scores, y, lots):
+        for place, (score, lot) in enumerate(zip(c, own)):
+            if lot is not None:
+                want[lot, s // 20, 10 + place, int(bootstrap._falling(np.array([score]))[0]), s, label] += 1
+    for hot in (1 << 12, 100):
+        monkeypatch.setattr(bootstrap, "HOT", hot)
+        got, sent = Counter(), 0
+        for batch in bootstrap._packed_cells(iter(rows.to_batches(max_chunksize=700)), 20):
+            for lot, block, number, blob in zip(*(batch.column(c).to_pylist() for c in ("__lot", "__block", "__set", "cells"))):
+                for c in np.frombuffer(blob, bootstrap._CELL):
+                    sent += int(c["slot"] == 7)
+                    for label, name in ((1, "p"), (0, "q")):
+                        got[lot, block, number, int(c["key"]), int(c["slot"]), label] += int(c[name])
+        assert +got == want
+        assert (sent <= 6) == (hot == 100)  # one set, six scores
+
+
+def test_scores_keep_their_order_as_numbers():
+    values = np.array([np.nan, np.inf, 1e300, 2.5, 0.0, -0.0, -2.5, -np.inf])
+    keys = bootstrap._falling(values)
+    assert (np.diff(keys) >= 0).all() and len(np.unique(keys)) == 7 and keys[4] == keys[5]
+    big = np.array([2**62 + 1, 2**62, 0, -5])
+    assert (np.diff(bootstrap._falling(big)) > 0).all()

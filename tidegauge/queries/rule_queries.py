@@ -9,7 +9,7 @@ from tidegauge.operators.small import literal_table
 from tidegauge.plans import stages
 from tidegauge.queries import base
 from tidegauge.queries.base import query, rounded
-from tidegauge.queries.split_queries import N_BOOT, REAL_SETS, TESTS_SQL, ap_sql, gains_sql, rank_sql, test_scores
+from tidegauge.queries.split_queries import MODELS, N_BOOT, REAL_SETS, TESTS_SQL, ap_sql, gains_sql, rank_sql, score_arrays, test_scores
 from tidegauge.session import materialize
 
 QUEUES = ["1", "5"]
@@ -19,11 +19,21 @@ SELECT 'a' AS target, job_id, user_id, queue, split, model, feature_set, score,
 UNION ALL SELECT 'b', job_id, user_id, queue, split, model, feature_set, score, target_b FROM ({TESTS_SQL}) WHERE target_b IS NOT NULL"""
 
 
-def predictions(spark, sf):
-    rows = test_scores(spark, sf)
+def _by_target(rows, *columns):
+    """Labelled rows of both targets."""
     cells = F.array(F.struct(F.lit("a").alias("target"), F.col("target_a").alias("y")), F.struct(F.lit("b").alias("target"), F.col("target_b").alias("y")))
     long = rows.withColumn("c", F.explode(F.filter(cells, lambda c: c["y"].isNotNull())))
-    return materialize(long.select("c.target", "job_id", "user_id", "queue", "split", "model", "feature_set", "score", "c.y"), "predictions")
+    return long.select("c.target", *columns, "c.y")
+
+
+def predictions(spark, sf):
+    return materialize(_by_target(test_scores(spark, sf), "job_id", "user_id", "queue", "split", "model", "feature_set", "score"), "predictions")
+
+
+def array_predictions(spark, sf, sets):
+    """Predictions with an array of scores, one for each of ``sets``; written once per order, both targets."""
+    rows = materialize(score_arrays(spark, sf, sets).drop("job_id").filter("target_a IS NOT NULL OR target_b IS NOT NULL"), "predictions")
+    return _by_target(rows, "user_id", "queue", "split", "score")
 
 
 def gains(spark, sf):
@@ -157,10 +167,10 @@ r AS (SELECT split, model, feature_set, p, row_number() OVER (PARTITION BY split
 SELECT substr(split, 1, 1) AS target, substr(split, 2) AS split, model, feature_set, p, round(least(1.0, max((m - i + 1) * p) OVER (PARTITION BY split, model ORDER BY i)), 9) AS p_holm FROM r""")
 def holm(spark, sf):
     """Holm over the real sets of every target and model, in the main test and the pooled blocks, from 1,000 resamples."""
-    preds = evaluate.pooled(predictions(spark, sf), split="split", parts=stages.BLOCKS)
-    preds = preds.filter("split IN ('main', 'pooled') AND feature_set NOT LIKE 'placebo%'")
+    sets = [(m, s) for m in MODELS for s in ["B0", *REAL_SETS]]
+    preds = evaluate.pooled(array_predictions(spark, sf, sets), split="split", parts=stages.BLOCKS).filter("split IN ('main', 'pooled')")
     out = evaluate.paired_gains(
-        preds, test_keys=["target", "split"], set_keys=["model", "feature_set"], set_col="feature_set", baseline="B0", y="y", score="score", cluster="user_id", n_boot=N_BOOT
+        preds, test_keys=["target", "split"], set_keys=["model", "feature_set"], set_col="feature_set", baseline="B0", y="y", score="score", cluster="user_id", n_boot=N_BOOT, sets=sets
     )
     adjusted = ranking.holm(out, ["target", "split", "model"], "p")
     return rounded(adjusted.select("target", "split", "model", "feature_set", "p", "p_holm"), "p_holm", digits=9)
