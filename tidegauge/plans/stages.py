@@ -11,6 +11,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.operators import bootstrap as bootstrap_operator
 from tidegauge.operators import cohort, completeness, evaluate, features, inventory, models, ordering, ranking, rules, splits, windows
 from tidegauge.operators.small import literal_table
 from tidegauge.plans import settings
@@ -271,6 +272,12 @@ def fit_stage(
     return preds, imps
 
 
+def score_table(predictions: DataFrame, *, keys: Sequence[str], queue: str, sets: Sequence[Sequence[str]] | None = None) -> DataFrame:
+    """(keys, model, feature_set, split, queue, score, tp, fp): one pass over the predictions, a row per distinct score."""
+    names = ["model", "feature_set"]
+    return evaluate.score_cells(predictions, keys=[*keys, *names, "split", queue], y="y", score="score", set_keys=names, sets=sets)
+
+
 def gains_stage(
     predictions: DataFrame,
     importance: DataFrame,
@@ -282,6 +289,8 @@ def gains_stage(
     n_boot: int,
     seed: int = 42,
     bootstrap: str | None = None,
+    sets: Sequence[Sequence[str]] | None = None,
+    cells: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (keys, model, feature set): main, pooled, block and queue gains, intervals, Holm p, importance.
 
@@ -289,22 +298,32 @@ def gains_stage(
     score, y), a written table.  ``importance``: (keys, model, feature_set,
     importance).  ``bootstrap``: an SQL condition on the rows that get
     intervals (all of them by default); the point figures are for every set.
+    ``sets``: (model, feature set) of each place, where ``score`` is an array.
+    ``cells``: a written :func:`score_table` of the predictions, if known; every
+    point figure is made from it.
     """
     keys = list(keys)
     row = [*keys, "model", "feature_set"]
+    if cells is None:
+        cells = materialize(score_table(predictions, keys=keys, queue=queue, sets=sets), "score-table")
     pooled = evaluate.pooled(predictions, split="split", parts=BLOCKS)
-    tests = evaluate.subset_tags(pooled, split="split", main="main", queue=queue, queues=queues)
-    ap = evaluate.average_precision(tests, keys=[*row, "split"], y="y", score="score", name="ap")
-    pos = tests.groupBy(*row, "split").agg(F.sum("y").cast("bigint").alias("pos"))
+    pooled_cells = evaluate.pooled(cells, split="split", parts=BLOCKS)
+    tests = evaluate.subset_tags(pooled_cells, split="split", main="main", queue=queue, queues=queues)
+    tests = materialize(evaluate.added_cells(tests, [*row, "split"], "score"), "test-cells")
+    ap = evaluate.average_precision_of_cells(tests, keys=[*row, "split"], score="score", name="ap")
+    pos = tests.groupBy(*row, "split").agg(F.sum("tp").cast("bigint").alias("pos"))
     point = evaluate.gain_over_baseline(ap, keys=[*keys, "model", "split"], set_col="feature_set", baseline="B0", value="ap", name="delta")
     names = ["main", "pooled", *BLOCKS, *[f"queue {q}" for q in queues]]
     wide = evaluate.wide_by(point.join(pos, [*row, "split"]), row, "split", names, ["delta", "pos"])
-    booted = pooled.filter(F.col("split").isin("main", "pooled"))
+    both = F.col("split").isin("main", "pooled")
+    booted, known_cells = pooled.filter(both), tests.filter(both)
     if bootstrap is not None:
-        booted = booted.filter(bootstrap)
+        if sets is not None:
+            booted, sets = bootstrap_operator.unfolded(booted, set_keys=["model", "feature_set"], score="score", sets=sets), None
+        booted, known_cells = booted.filter(bootstrap), None
     ci = evaluate.paired_gains(
         booted, test_keys=[*keys, "split"], set_keys=["model", "feature_set"], set_col="feature_set", baseline="B0", y="y", score="score",
-        cluster=cluster, n_boot=n_boot, seed=seed,
+        cluster=cluster, n_boot=n_boot, seed=seed, sets=sets, cells=known_cells,
     )
     spread = evaluate.wide_by(ci, row, "split", ["main", "pooled"], ["ci_low", "ci_high", "p"])
     spread = spread.select(*row, *[F.col(f"ci_{side}_{s}").alias(f"ci_{s}_{side}") for s in ("main", "pooled") for side in ("low", "high")], "p_main", "p_pooled")
