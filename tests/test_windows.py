@@ -5,6 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from tidegauge import session
 from tidegauge.functions import columns as C
 from tidegauge.operators import checks, windows
 
@@ -159,3 +160,17 @@ def test_asof_tasks_follow_the_counted_rows(spark, monkeypatch):
     for r in out.collect():
         ahead = [t for t in rows[r.node] if r["at"] <= t <= r["at"] + 100]
         assert r.match_ts == min(ahead, default=None)
+
+
+def test_asof_deals_only_readings_of_nodes_with_points_from_short_files(spark, monkeypatch):
+    """One node of fifty has points: the others' readings are not sent, and the rest stands in files of few rows."""
+    monkeypatch.setattr(windows, "FILE_ROWS", 25, raising=False)
+    written = []
+    write = session.materialize
+    monkeypatch.setattr(windows, "materialize", lambda df, name, **more: written.append((name, write(df, name, **more))) or written[-1][1], raising=False)
+    r = spark.range(5000).select((F.col("id") % 50).alias("node"), F.col("id").alias("ts"), F.col("id").cast("double").alias("value")).coalesce(1)
+    g = spark.range(100).select(F.lit(7).cast("bigint").alias("node"), (F.col("id") * 50).alias("at"))
+    got = windows.asof_match(g, r, node="node", at="at", ts="ts", value="value", tolerance_ms=60).collect()
+    assert len(got) == 100 and all(x.match_ts == x["at"] + 7 for x in got)
+    kept = dict(written)["asof-readings"]
+    assert kept.count() == 100 and len(kept.inputFiles()) == 4

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import columns as C
 from tidegauge.operators import ordering
+from tidegauge.session import materialize
+
+#: Rows of a file of written readings: Spark counts 4 MB for opening each, so few of them are one task, however well they pack.
+FILE_ROWS = 1 << 18
 
 
 
@@ -127,17 +131,23 @@ def asof_match(
     (forward, nearest) or the largest (last reading).
 
     Points and readings are merged per (node, stretch of time as long as the
-    tolerance): a running window each way finds the neighbours, and nothing is
-    joined, so no point meets more than one reading a side.  A neighbour can lie
+    tolerance): a running window each way finds the neighbours, and no point is
+    joined to a reading, so no point meets more than one reading a side.  A neighbour can lie
     in the stretch before or behind; the first and last reading of every stretch
     are handed over to those, and the node's last reading marks its own and the next.
-    Both sides are counted first, so that a task has a bounded number of rows to sort.
+    Only readings of nodes that have a point are merged, and both sides are counted
+    first, so that a task has a bounded number of rows to sort.  They are written in
+    files of ``FILE_ROWS`` before they are dealt: a row group of any size is one task
+    of a scan, which would hold all of its rows while it deals them.
     """
     if direction not in ("forward", "nearest"):
         raise ValueError(f"unknown direction: {direction}")
     stretch = max(int(tolerance_ms), 1)
     chunk = lambda t: F.floor(F.col(t) / F.lit(stretch)).alias("__chunk")
     slim = readings.select(F.col(node).alias("__node"), F.col(ts).cast("bigint").alias("__t"), F.col(value).alias("__v")).filter("__node IS NOT NULL AND __t IS NOT NULL")
+    # written, so that Spark sees how few they are; other nodes' readings are never sent or held
+    nodes = materialize(grid.select(F.col(node).alias("__node")).filter("__node IS NOT NULL").distinct(), "asof-nodes")
+    slim = materialize(slim.join(nodes, "__node", "left_semi"), "asof-readings", rows=FILE_ROWS)
     n = slim.count()
     placed = ordering.sized(slim.select("*", chunk("__t")), n, "__node", "__chunk")
     reading = F.struct(F.col("__t").alias("ts"), "lo", "hi").alias("__r")
