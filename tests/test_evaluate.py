@@ -242,3 +242,89 @@ def test_scores_keep_their_order_as_numbers():
     assert (np.diff(keys) >= 0).all() and len(np.unique(keys)) == 7 and keys[4] == keys[5]
     big = np.array([2**62 + 1, 2**62, 0, -5])
     assert (np.diff(bootstrap._falling(big)) > 0).all()
+
+
+@pytest.mark.parametrize("dense, clusters", [(4, 120), (0, 120), (4, 3)])
+def test_a_block_counts_the_draws_that_are_sent_to_it(monkeypatch, dense, clusters):
+    """As counts of half a byte, as draws, and where counts pass 15; several blocks of draws, a last quad of three."""
+    monkeypatch.setattr(bootstrap, "BLOCK", 50)
+    monkeypatch.setattr(bootstrap, "DENSE", dense)
+    n_boot, size, seed = 11, 32, 3
+    units = [(q, block) for q in range(3) for block in range(-(-clusters // 50))]
+    if clusters == 3:  # the same words for many slots: every draw falls on one slot
+        monkeypatch.setattr(bootstrap, "_quad_words", lambda seed, q, first, count: np.zeros((4, count), np.uint32))
+        clusters, units = 40, [(q, 0) for q in range(3)]
+    table = pa.RecordBatch.from_pydict({"k": ["x"] * len(units), "clusters": [clusters] * len(units), "q": [u[0] for u in units], "block": [u[1] for u in units]})
+    sent = pa.Table.from_batches(list(bootstrap._dealt(iter([table]), ["k"], n_boot, seed, size)))
+    assert set(sent.column("dense").to_pylist()) == ({False} if clusters == 40 or not dense else {True} if clusters % 50 == 0 else {True, False})
+    want = np.zeros((-(-clusters // size) * size, n_boot), int)
+    for b in range(n_boot):
+        for i in range(clusters):
+            h = hashlib.md5(f"{seed}|{b // 4}|{i}".encode()).hexdigest() if clusters != 40 else "0" * 32
+            want[int(h[8 * (b % 4) : 8 * (b % 4) + 8], 16) * clusters >> 32, b] += 1
+    for chunk in range(-(-clusters // size)):
+        own = sent.filter(pa.array([c == chunk for c in sent.column("chunk").to_pylist()]))
+        got = bootstrap._block_weights(own, n_boot, size)
+        assert got.shape == (size + 1, 16) and not got[size].any() and not got[:, n_boot:].any()
+        assert (got[:size, :n_boot] == want[chunk * size : (chunk + 1) * size]).all()
+
+
+def test_coarser_sets_are_added_up_from_finer_ones(monkeypatch):
+    """Three steps of one score are gathered once; a set of other rows or another order is gathered for itself."""
+    rng = np.random.default_rng(4)
+    n, n_boot, size = 3000, 21, 64
+    slot, y = rng.integers(0, size, n) + 2 * size, rng.integers(0, 2, n)
+    fine, other = rng.integers(0, 50, n), rng.integers(0, 9, n)
+    scores = {5: fine, 6: fine // 3, 7: fine // 7, 8: other, 9: 20 - other}
+    counts = rng.poisson(1, (6, 4, size)).astype(np.uint8)
+    sent = pa.table({"q": np.arange(6), "dense": [True] * 6, "draws": pa.array([(c[0::2] | c[1::2] << 4).tobytes() for c in counts], pa.binary())})
+    number, blobs, want = [], [], {}
+    w = counts.reshape(24, size)[:n_boot].T.astype(int)
+    for s, score in scores.items():
+        for a in range(0, n, 700):
+            cells = np.zeros(len(slot[a : a + 700]), bootstrap._CELL)
+            cells["key"], cells["slot"], cells["p"], cells["q"] = bootstrap._falling(score[a : a + 700].astype(float)), slot[a : a + 700], y[a : a + 700], 1 - y[a : a + 700]
+            if s == 6:  # a merged cell counts for more than one row
+                cells["p"] *= 3
+            number.append(s)
+            blobs.append(cells.tobytes())
+        for v in np.unique(score):
+            rows = score == v
+            times = 3 if s == 6 else 1
+            want[s, int(bootstrap._falling(np.array([float(v)]))[0])] = ((w[slot[rows] - 2 * size] * (times * y[rows])[:, None]).sum(axis=0), (w[slot[rows] - 2 * size] * (1 - y[rows])[:, None]).sum(axis=0))
+    calls, sums = [], bootstrap._level_sums
+    monkeypatch.setattr(bootstrap, "_level_sums", lambda *args: calls.append(args[4]) or sums(*args))
+    left = pa.table({"__block": np.full(len(number), 2), "__set": number, "cells": pa.array(blobs, pa.binary())})
+    out = bootstrap._block_sums(left, sent, n_boot, size, 64)
+    assert sorted(calls) == [9, 9, 17, 17, 50, 50]  # 7 comes from 5, 9 from 8; 6 has other counts
+    got = {}
+    for r in out.to_pylist():
+        keys = np.frombuffer(r["keys"], "<i8")
+        tp, fp = (np.frombuffer(r[c], f"<u{len(r[c]) // (len(keys) * r['width'])}").reshape(len(keys), -1) for c in ("tp", "fp"))
+        got.update({(r["__set"], int(k)): (p, q) for k, p, q in zip(keys, tp, fp)})
+    assert got.keys() == want.keys() and all((got[k][0] == want[k][0]).all() and (got[k][1] == want[k][1]).all() for k in want)
+
+
+def test_sets_by_blocks_write_no_weights(spark, scored, monkeypatch):
+    pdf, _ = scored
+    df = spark.createDataFrame(pdf[pdf.k == 0].assign(fs="B0"))
+    written, write = [], bootstrap.materialize
+    monkeypatch.setattr(bootstrap, "materialize", lambda df, name, **more: written.append(name) or write(df, name, **more))
+    bootstrap.average_precision(df, test_keys=["k"], set_keys=["fs"], y="y", score="score", cluster="u", n_boot=5, seed=5, tied=0)
+    assert "bootstrap-vectors" not in written and "bootstrap-lots" in written
+
+
+def test_scores_of_arrays_are_added_up_before_they_are_sent(spark, monkeypatch):
+    """No row is made per place; several flushes, NULL and NaN keys and scores, both zeros, a NULL label, no row at all."""
+    monkeypatch.setattr(evaluate, "HELD", 7)
+    nan = float("nan")
+    data = [(k, [0.0 if i % 2 else -0.0, float(i % 3), None if i % 5 == 0 else nan], [1.0, 0.0, None][i % 3], 0.5 + i % 2) for i in range(40) for k in ("a", None)]
+    df = spark.createDataFrame(data, "k string, score array<double>, y double, w double").coalesce(2)
+    sets = [("m", "x"), ("m", "z"), ("n", "x")]
+    for weight in (None, "w"):
+        args = dict(keys=["k", "model", "fs"], y="y", score="score", weight=weight)
+        got = evaluate.score_cells(df, **args, set_keys=["model", "fs"], sets=sets)
+        assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+        want = evaluate.score_cells(bootstrap.unfolded(df, set_keys=["model", "fs"], score="score", sets=sets), **args)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and want.count() == 2 * 6
+    assert evaluate.score_cells(df.filter("k = 'none'"), **args, set_keys=["model", "fs"], sets=sets).count() == 0
