@@ -328,3 +328,98 @@ def test_scores_of_arrays_are_added_up_before_they_are_sent(spark, monkeypatch):
         want = evaluate.score_cells(bootstrap.unfolded(df, set_keys=["model", "fs"], score="score", sets=sets), **args)
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and want.count() == 2 * 6
     assert evaluate.score_cells(df.filter("k = 'none'"), **args, set_keys=["model", "fs"], sets=sets).count() == 0
+
+
+def array_rows(n, low, high, slots, seed=6, first=10, lots=(40, None, 41)):
+    rng = np.random.default_rng(seed)
+    slot, y, scores = rng.integers(0, slots, n), rng.integers(0, 2, n), rng.integers(low, high, (n, 3)).astype(float)
+    slot = np.where(rng.random(n) < 0.3, 7, slot)
+    columns = {"slot": slot, "__p": pa.array(y, pa.int32()), "__q": pa.array(1 - y, pa.int32()), "__first": np.full(n, first)}
+    return pa.table({**columns, "__lots": pa.array([list(lots)] * n, pa.list_(pa.int64())), "__scores": scores.tolist()})
+
+
+@pytest.mark.parametrize("hot, odd", [(1 << 12, None), (100, None), (1 << 12, 0.5), (1 << 12, 1e6), (1 << 12, float("nan"))])
+def test_rows_are_packed_once_for_all_sets(monkeypatch, hot, odd):
+    """The same cells as a cell per set gives, in less than a third of the bytes where scores are whole and small."""
+    rows = array_rows(4000, -5, 9, 90)
+    if odd is not None:
+        scores = rows.column("__scores").to_pylist()
+        scores[5][0] = odd
+        rows = rows.set_column(rows.schema.get_field_index("__scores"), "__scores", pa.array(scores))
+    monkeypatch.setattr(bootstrap, "HOT", hot)
+    want, got, size = Counter(), Counter(), [0, 0]
+    for batch in bootstrap._packed_cells(iter(rows.to_batches(max_chunksize=700)), 20):
+        for lot, block, number, blob in zip(*(batch.column(c).to_pylist() for c in ("__lot", "__block", "__set", "cells"))):
+            size[0] += len(blob)
+            for c in np.frombuffer(blob, bootstrap._CELL).tolist():
+                want[lot, block, number, c[0], c[1], 1] += c[2]
+                want[lot, block, number, c[0], c[1], 0] += c[3]
+    packed = pa.Table.from_batches(list(bootstrap._packed_rows(iter(rows.to_batches(max_chunksize=700)), 20)))
+    for lot, block in set(zip(*(packed.column(c).to_pylist() for c in ("__lot", "__block")))):
+        own = packed.filter(pa.array([a == (lot, block) for a in zip(*(packed.column(c).to_pylist() for c in ("__lot", "__block")))]))
+        for number, cells, keys, code in bootstrap._sets_of(own):
+            assert (np.diff(keys) > 0).all()
+            for (slot, p, q), key in zip(cells.tolist(), keys[code].tolist()):
+                got[lot, block, number, key, slot, 1] += p
+                got[lot, block, number, key, slot, 0] += q
+    assert +got == +want and {k[2] for k in got} == {10, 12}
+    size[1] = sum(len(x or b"") for c in ("cells", "scores") for x in packed.column(c).to_pylist())
+    if odd is None and hot > 100:
+        assert size[1] <= 4000 * 2 * (12 + 2) < size[0]
+
+
+def test_rows_of_a_test_need_equally_many_scores():
+    rows = array_rows(3, 0, 5, 4)
+    rows = rows.set_column(rows.schema.get_field_index("__scores"), "__scores", pa.array([[1.0, 2.0, 3.0], [1.0], [1.0, 2.0, 3.0]]))
+    with pytest.raises(ValueError, match="different numbers of scores"):
+        list(bootstrap._packed_rows(iter(rows.to_batches()), 20))
+
+
+def test_near_blocks_are_added_up_before_they_are_sent():
+    rows = array_rows(4000, 0, 30, 96, lots=(40, 40, 40))
+    left = pa.Table.from_batches(list(bootstrap._packed_rows(iter(rows.to_batches()), 32)))
+    counts = np.random.default_rng(1).poisson(1, (3, 40, 4, 32)).astype(np.uint8)
+    right = pa.table({"__block": np.repeat(np.arange(3), 40), "q": np.tile(np.arange(40), 3), "dense": [True] * 120, "draws": pa.array([(c[0::2] | c[1::2] << 4).tobytes() for b in counts for c in b], pa.binary())})
+    near = bootstrap._near_sums(left, right, 157, 32, 64)
+    assert near.num_rows == 3 * 2  # a row per set and slice, not per block
+    w = counts.reshape(3, 160, 32).transpose(0, 2, 1).reshape(96, 160)[:, :157].astype(int)
+    slot, label, score = rows.column("slot").to_numpy(), rows.column("__p").to_numpy(), np.array(rows.column("__scores").to_pylist())
+    for r in near.to_pylist():
+        keys = np.frombuffer(r["keys"], "<i8")
+        own = score[:, r["__set"] - 10]
+        for c, y in (("tp", label), ("fp", 1 - label)):
+            sums = np.frombuffer(r[c], f"<u{len(r[c]) // (len(keys) * r['width'])}").reshape(len(keys), -1)
+            want = [(w[slot[own == v]] * y[own == v][:, None]).sum(axis=0) for v in np.unique(own)[::-1]]
+            assert (sums == np.array(want)[:, r["b0"] : r["b0"] + r["width"]]).all()
+
+
+def test_whole_small_scores_of_arrays_are_counted(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    data = [(["a", None][i % 2], [float(x) for x in rng.integers(-40, 40, 3)], float(i % 3 == 0)) for i in range(500)]
+    df = spark.createDataFrame(data, "k string, score array<double>, y double").coalesce(1)
+    args = dict(keys=["k", "fs"], y="y", score="score")
+    sets = [("x",), ("z",), ("w",)]
+    want = evaluate.score_cells(bootstrap.unfolded(df, set_keys=["fs"], score="score", sets=sets), **args).collect()
+    got = evaluate.score_cells(df, **args, set_keys=["fs"], sets=sets).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    one = pa.array([[1.0, -2.0], [1.0, 5.0], [1.0, -2.0]])
+    code, place, score, tp, fp = evaluate._counted_places(one, np.array([0, 0, 1]), pa.array([1.0, 0.0, 1.0]), pa.array([0.0, 1.0, 0.0]))
+    assert list(zip(code.tolist(), *(x.to_pylist() for x in (place, score, tp, fp)))) == [(0, 0, 1.0, 1.0, 1.0), (1, 0, 1.0, 1.0, 0.0), (0, 1, -2.0, 1.0, 0.0), (0, 1, 5.0, 0.0, 1.0), (1, 1, -2.0, 1.0, 0.0)]
+    for other in ([[1.0], [0.5]], [[1.0], [None]], [[1.0], [float("nan")]], [[1.0], [1e5]], [[1.0], [1.0, 2.0]], [[], []]):
+        assert evaluate._counted_places(pa.array(other, pa.list_(pa.float64())), np.array([0, 0]), pa.array([1.0, 0.0]), pa.array([0.0, 1.0])) is None
+
+
+def test_what_is_known_of_gains_is_not_made_again(spark, scored, monkeypatch):
+    pdf, _ = scored
+    rows = pdf[pdf.k == 0]
+    df = spark.createDataFrame(pd.concat([rows.assign(fs="B0"), rows.assign(fs="g", score=-rows.score)]))
+    args = dict(test_keys=["k"], set_keys=["fs"], set_col="fs", baseline="B0", y="y", score="score", cluster="u", n_boot=20, seed=1)
+    want = evaluate.paired_gains(df, **args).collect()
+    cells = evaluate.score_cells(df, keys=["k", "fs"], y="y", score="score").cache()
+    known = dict(cells=cells, ap=evaluate.average_precision_of_cells(cells, keys=["k", "fs"], score="score", name="ap"), slots=bootstrap.indexed_clusters(df, keys=["k"], cluster="u"))
+    written = []
+    for module in (bootstrap, evaluate):
+        monkeypatch.setattr(module, "materialize", lambda df, name, write=module.materialize, **more: written.append(name) or write(df, name, **more))
+    got = evaluate.paired_gains(df, **args, **known).collect()
+    assert not {"score-cells", "bootstrap-clusters"} & set(written) and "bootstrap-lots" in written
+    assert sorted(map(repr, got)) == sorted(map(repr, want))

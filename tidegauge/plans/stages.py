@@ -278,6 +278,17 @@ def score_table(predictions: DataFrame, *, keys: Sequence[str], queue: str, sets
     return evaluate.score_cells(predictions, keys=[*keys, *names, "split", queue], y="y", score="score", set_keys=names, sets=sets)
 
 
+def booted_rows(predictions: DataFrame) -> DataFrame:
+    """The rows that are resampled: the main test and the pooled blocks."""
+    return evaluate.pooled(predictions, split="split", parts=BLOCKS).filter(F.col("split").isin("main", "pooled"))
+
+
+def booted_clusters(predictions: DataFrame, *, keys: Sequence[str], cluster: str) -> DataFrame:
+    """The numbered clusters of :func:`booted_rows`, written."""
+    slots = bootstrap_operator.indexed_clusters(booted_rows(predictions), keys=[*keys, "split"], cluster=cluster)
+    return materialize(slots, "bootstrap-clusters")
+
+
 def gains_stage(
     predictions: DataFrame,
     importance: DataFrame,
@@ -291,6 +302,7 @@ def gains_stage(
     bootstrap: str | None = None,
     sets: Sequence[Sequence[str]] | None = None,
     cells: DataFrame | None = None,
+    slots: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (keys, model, feature set): main, pooled, block and queue gains, intervals, Holm p, importance.
 
@@ -300,13 +312,13 @@ def gains_stage(
     intervals (all of them by default); the point figures are for every set.
     ``sets``: (model, feature set) of each place, where ``score`` is an array.
     ``cells``: a written :func:`score_table` of the predictions, if known; every
-    point figure is made from it.
+    point figure is made from it.  ``slots``: :func:`booted_clusters`, if known
+    (without ``bootstrap``).
     """
     keys = list(keys)
     row = [*keys, "model", "feature_set"]
     if cells is None:
         cells = materialize(score_table(predictions, keys=keys, queue=queue, sets=sets), "score-table")
-    pooled = evaluate.pooled(predictions, split="split", parts=BLOCKS)
     pooled_cells = evaluate.pooled(cells, split="split", parts=BLOCKS)
     tests = evaluate.subset_tags(pooled_cells, split="split", main="main", queue=queue, queues=queues)
     tests = materialize(evaluate.added_cells(tests, [*row, "split"], "score"), "test-cells")
@@ -316,14 +328,14 @@ def gains_stage(
     names = ["main", "pooled", *BLOCKS, *[f"queue {q}" for q in queues]]
     wide = evaluate.wide_by(point.join(pos, [*row, "split"]), row, "split", names, ["delta", "pos"])
     both = F.col("split").isin("main", "pooled")
-    booted, known_cells = pooled.filter(both), tests.filter(both)
+    booted, known_cells, known_ap = booted_rows(predictions), tests.filter(both), ap.filter(both)
     if bootstrap is not None:
         if sets is not None:
             booted, sets = bootstrap_operator.unfolded(booted, set_keys=["model", "feature_set"], score="score", sets=sets), None
-        booted, known_cells = booted.filter(bootstrap), None
+        booted, known_cells, known_ap, slots = booted.filter(bootstrap), None, None, None
     ci = evaluate.paired_gains(
         booted, test_keys=[*keys, "split"], set_keys=["model", "feature_set"], set_col="feature_set", baseline="B0", y="y", score="score",
-        cluster=cluster, n_boot=n_boot, seed=seed, sets=sets, cells=known_cells,
+        cluster=cluster, n_boot=n_boot, seed=seed, sets=sets, cells=known_cells, ap=known_ap, slots=slots,
     )
     spread = evaluate.wide_by(ci, row, "split", ["main", "pooled"], ["ci_low", "ci_high", "p"])
     spread = spread.select(*row, *[F.col(f"ci_{side}_{s}").alias(f"ci_{s}_{side}") for s in ("main", "pooled") for side in ("low", "high")], "p_main", "p_pooled")

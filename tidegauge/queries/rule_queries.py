@@ -10,7 +10,7 @@ from tidegauge.plans import stages
 from tidegauge.queries import base
 from tidegauge.queries.base import query, rounded
 from tidegauge.queries.split_queries import MODELS, N_BOOT, REAL_SETS, SETS, TESTS_SQL, ap_sql, gains_sql, rank_sql, score_arrays, test_scores
-from tidegauge.session import materialize
+from tidegauge.session import at_once, materialize
 
 QUEUES = ["1", "5"]
 FLOOR = 300
@@ -39,14 +39,18 @@ def array_predictions(spark, sf, sets):
 def gains(spark, sf):
     sets = [(m, s) for m in MODELS for s in SETS]
     preds = array_predictions(spark, sf, sets)
-    cells = materialize(stages.score_table(preds, keys=["target"], queue="queue", sets=sets), "score-table")
     row = ["target", "model", "feature_set"]
-    main = materialize(evaluate.added_cells(cells.filter("split = 'main'"), row, "score"), "main-cells")
-    ap = evaluate.average_precision_of_cells(main, keys=row, score="score", name="pr_auc")
-    prevalence = main.groupBy(*row).agg((F.sum("tp") / F.sum(F.col("tp") + F.col("fp"))).alias("prevalence"))
-    # stands in for permutation importance: how far the set ranks above chance
-    importance = ap.join(prevalence, row).select(*row, (F.col("pr_auc") - F.col("prevalence")).alias("importance"))
-    return stages.gains_stage(preds, importance, keys=["target"], cluster="user_id", queue="queue", queues=QUEUES, n_boot=N_BOOT, sets=sets, cells=cells)
+
+    def points():
+        cells = materialize(stages.score_table(preds, keys=["target"], queue="queue", sets=sets), "score-table")
+        main = materialize(evaluate.added_cells(cells.filter("split = 'main'"), row, "score"), "main-cells")
+        ap = evaluate.average_precision_of_cells(main, keys=row, score="score", name="pr_auc")
+        prevalence = main.groupBy(*row).agg((F.sum("tp") / F.sum(F.col("tp") + F.col("fp"))).alias("prevalence"))
+        # stands in for permutation importance: how far the set ranks above chance
+        return cells, ap.join(prevalence, row).select(*row, (F.col("pr_auc") - F.col("prevalence")).alias("importance"))
+
+    (cells, importance), slots = at_once(spark, points, lambda: stages.booted_clusters(preds, keys=["target"], cluster="user_id"))
+    return stages.gains_stage(preds, importance, keys=["target"], cluster="user_id", queue="queue", queues=QUEUES, n_boot=N_BOOT, sets=sets, cells=cells, slots=slots)
 
 
 def final_table(spark, sf):
